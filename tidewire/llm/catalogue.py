@@ -6,19 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import quality
+from tidewire.llm import mixing, quality
 from tidewire.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = mixing.mix(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op10_quality,)}
+    return {f.__name__: f for f in (op2_mixing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": mixing.ORACLE}
