@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import mixing, quality
+from tidewire.llm import mixing, near, quality
 from tidewire.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,13 +17,17 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.groups(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_mixing, op10_quality)}
+    return {f.__name__: f for f in (op2_mixing, op5_near, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.ORACLE}
+    return {"op2_mixing": mixing.ORACLE, "op5_near": near.ORACLE}
