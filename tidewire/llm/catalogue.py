@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import mixing, near, quality
+from tidewire.llm import mixing, near, packing, quality
 from tidewire.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,12 +21,23 @@ def op5_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groups(table(spark, sf_dir, "documents"))
 
 
+def tokenizer() -> str:
+    """Path of the vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_mixing, op5_near, op10_quality)}
+    return {f.__name__: f for f in (op2_mixing, op5_near, op8_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
