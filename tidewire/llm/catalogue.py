@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import linededup, mixing, near, packing, quality
+from tidewire.llm import linededup, mixing, near, packing, quality, sharding
 from tidewire.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,8 +40,12 @@ def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.clean(table(spark, sf_dir, "documents"))
 
 
+def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_mixing, op4_lines, op5_near, op8_packing, op10_quality)}
+    return {f.__name__: f for f in (op2_mixing, op3_shards, op4_lines, op5_near, op8_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
