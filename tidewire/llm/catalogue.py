@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import linededup, mixing, near, packing, quality, sharding
+from tidewire.llm import fingerprint, linededup, mixing, near, packing, privacy, quality, sharding
 from tidewire.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,8 +44,17 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op9_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = privacy.detect(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compared(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_mixing, op3_shards, op4_lines, op5_near, op8_packing, op10_quality)}
+    return {f.__name__: f for f in (op2_mixing, op3_shards, op4_lines, op5_near, op6_fingerprint, op8_packing, op9_privacy, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
