@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import fingerprint, linededup, mixing, near, packing, privacy, quality, sharding
+from tidewire.llm import fingerprint, linededup, mixing, near, packing, privacy, quality, sharding, toxicity
 from tidewire.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,8 +53,12 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compared(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_mixing, op3_shards, op4_lines, op5_near, op6_fingerprint, op8_packing, op9_privacy, op10_quality)}
+    return {f.__name__: f for f in (op2_mixing, op3_shards, op4_lines, op5_near, op6_fingerprint, op7_toxicity, op8_packing, op9_privacy, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
