@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewire.llm import fingerprint, linededup, mixing, near, packing, privacy, quality, sharding, toxicity
+from tidewire.llm import fingerprint, linededup, media, mixing, near, packing, privacy, quality, sharding, toxicity
 from tidewire.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,8 +58,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return media.recordings(docs.select("doc_id", F.col("text").cast("binary").alias("samples")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_mixing, op3_shards, op4_lines, op5_near, op6_fingerprint, op7_toxicity, op8_packing, op9_privacy, op10_quality)}
+    return {f.__name__: f for f in (op1_media, op2_mixing, op3_shards, op4_lines, op5_near, op6_fingerprint, op7_toxicity, op8_packing, op9_privacy, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
