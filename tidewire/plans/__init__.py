@@ -1 +1,6 @@
+"""The registered queries of the engine."""
 
+from tidewire.plans import corpus, events  # noqa: F401
+from tidewire.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
