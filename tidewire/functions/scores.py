@@ -117,7 +117,8 @@ def signal(action: Column, dwell: Column) -> Column:
 
 
 def ewma_step(weight: Column, s: Column, alpha: float = 0.25) -> Column:
-    return F.round(clamp((1.0 - alpha) * weight + alpha * clamp((s + 1.0) / 2.0)), 4)
+    # four digits by plain arithmetic, which any engine repeats bit for bit
+    return F.floor(clamp((1.0 - alpha) * weight + alpha * clamp((s + 1.0) / 2.0)) * 10000 + 0.5) / 10000
 
 
 def mean_affinity(weights: Column) -> Column:

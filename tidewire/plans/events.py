@@ -118,7 +118,7 @@ def daily_report(t):
     return t.events.agg(F.count_if(F.col("event_type").isin("view", "click")).alias("green"), F.count_if(F.col("event_type") == "signup").alias("yellow"), F.count_if(bad).alias("red"), F.count_if(day).alias("added_24h"), F.count_if(day & bad).alias("failed_24h"), F.round(F.count_if(bad) / F.nullif(F.count("*"), F.lit(0)), 4).alias("failure_rate"))
 
 
-PAIRS = """i AS (SELECT event_id AS id, event_type AS lang, epoch(ts)::BIGINT AS at FROM events), p AS (SELECT x.id, y.id AS other, y.at AS other_at FROM i x JOIN i y ON x.lang = y.lang AND x.id <> y.id AND abs(x.at - y.at) <= {s}),
+PAIRS = """i AS (SELECT event_id AS id, event_type AS lang, epoch_us(ts) // 1000000 AS at FROM events), p AS (SELECT x.id, y.id AS other, y.at AS other_at FROM i x JOIN i y ON x.lang = y.lang AND x.id <> y.id AND abs(x.at - y.at) <= {s}),
 r AS (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY other_at DESC, other DESC) AS rank FROM p), k AS (SELECT * FROM r WHERE rank <= {n})"""
 
 
