@@ -53,7 +53,7 @@ def backpressure(backlog: Column, priority: Column, trust: Column) -> Column:
 
 def decay(age_hours: Column, kind: Column) -> Column:
     """1 now, a half after the kind's half-life; 0.5 for an unknown age."""
-    return F.coalesce(F.exp(-F.log(F.lit(2.0)) * F.greatest(age_hours, F.lit(0.0)) / mapping(kind, HALF_LIVES, 24.0)), F.lit(0.5))
+    return F.when(age_hours.isNull(), 0.5).otherwise(F.exp(-F.log(F.lit(2.0)) * F.greatest(age_hours, F.lit(0.0)) / mapping(kind, HALF_LIVES, 24.0)))
 
 
 def final_score(rerank: Column, retrieval: Column, trust: Column, grade_: Column, freshness: Column, zone: Column, value: Column | None = None, match: Column | None = None) -> Column:

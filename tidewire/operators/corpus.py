@@ -5,7 +5,7 @@ Documents are (doc_id, text). Counts combine on the map side before they are shu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
@@ -17,6 +17,11 @@ def terms(docs: DataFrame, least: int = 1, keep=None) -> DataFrame:
     return made if keep is None else made.where(keep(F.col("term")))
 
 
+def _after(count: Column, rule: Column) -> Column:
+    """The rule where the count's condition holds. A plain filter on the grouping key would be pushed below the aggregation and run once an occurrence."""
+    return F.when(count, rule).otherwise(False)
+
+
 def vocabulary(docs: DataFrame, least: int = 2, floor: int = 3) -> DataFrame:
     """(term, doc_frequency, collection_frequency) of informative terms with at least ``floor`` occurrences.
 
@@ -25,7 +30,7 @@ def vocabulary(docs: DataFrame, least: int = 2, floor: int = 3) -> DataFrame:
     """
     own = terms(docs, least).groupBy("term", "doc_id").agg(F.count("*").alias("n"))
     all_ = own.groupBy("term").agg(F.count("*").alias("doc_frequency"), F.sum("n").alias("collection_frequency"))
-    return all_.where((F.col("collection_frequency") >= floor) & T.is_informative(F.col("term")))
+    return all_.where(_after(F.col("collection_frequency") >= floor, T.is_informative(F.col("term"))))
 
 
 def pairs(docs: DataFrame, least: int = 2) -> DataFrame:
@@ -38,8 +43,8 @@ def pairs(docs: DataFrame, least: int = 2) -> DataFrame:
 def collocations(docs: DataFrame, least: int = 2, frequency: int = 5, pmi: float = 3.0) -> DataFrame:
     """(term_a, term_b, pmi_score, frequency) of neighbours that are seen together more than chance has it (natural logarithm)."""
     # counted first, so that the rules run once a pair or term
-    seen = pairs(docs, least).groupBy("a", "b").agg(F.count("*").alias("n")).where(T.is_informative_pair(F.col("a"), F.col("b")))
-    single = terms(docs, least).groupBy("term").agg(F.count("*").alias("n")).where(T.is_informative(F.col("term")))
+    seen = pairs(docs, least).groupBy("a", "b").agg(F.count("*").alias("n")).where(_after(F.col("n") > 0, T.is_informative_pair(F.col("a"), F.col("b"))))
+    single = terms(docs, least).groupBy("term").agg(F.count("*").alias("n")).where(_after(F.col("n") > 0, T.is_informative(F.col("term"))))
     total = seen.agg(F.sum("n").alias("pairs")).crossJoin(single.agg(F.sum("n").alias("singles")))  # one row
     a, b = (single.select(F.col("term").alias(k), F.col("n").alias(f"n_{k}")) for k in "ab")
     rows = seen.where(F.col("n") >= frequency).join(a, "a").join(b, "b").crossJoin(F.broadcast(total))
