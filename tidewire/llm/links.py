@@ -1,76 +1,119 @@
 """Links between items that share a bucket, checked on their full data, and the components they form.
 
 Buckets hold star-shaped candidate edges: each member is paired with the bucket's
-leader (the smallest id), so a bucket of n members gives n - 1 pairs. Checks come in
-three rounds, each followed by components, and a pair whose ends are already in one
-component isn't checked:
+leader, so a bucket of n members gives n - 1 pairs. The leader is the member that shares
+most places in buckets over all its buckets: the original among its variants. Checks
+come in three rounds, each followed by components, and a pair whose ends are already in
+one component isn't checked:
 
 1. each item with the leader that it shares most buckets with;
 2. each item with its other leaders;
-3. the exact rest: in buckets that still hold several components, every member outside
-   the bucket's largest component against all members of other components.
+3. buckets that still hold several components: in those of up to SMALL members all pairs
+   of different components, in larger ones a second star around the most central member
+   outside the bucket's largest component.
 
-After these, two members of one bucket that should be linked are in one component.
+Pairs grow with the number of bucket members, never with its square. Two linked items
+miss each other only if neither leads any of the large buckets that they share and no
+path of other links joins them; the README has measured figures.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.store import settle
+from tidewire.llm.store import Shelf
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Rows of a table that one task takes; tables of links are small beside the corpus.
+LEAN = 50_000
+
+
+def components(edges: DataFrame, at: DataFrame | None = None, shelf: Shelf | None = None) -> DataFrame:
     """(id, comp) for each end of ``edges`` (u, v): comp is the smallest id that is reachable.
 
     Labels pass over edges and then to the label of the label (pointer jumping), so
     rounds grow with the logarithm of a path's length. Each round is written to the
-    shared folder. A node with very many edges is summed on the map side first.
+    shared folder and the one before deleted. A node with very many edges is summed on the map side
+    first. With ``at``, the labels so far, only the graph of labels that new edges join is walked.
     """
-    both = settle(edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).where("u <> v").distinct())
-    at = settle(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.least("u", "v").alias("comp")))
+    shelf = shelf or Shelf(edges.sparkSession)
+    if at is not None:
+        return _joined(edges, at, shelf)
+    both = shelf.put(edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).where("u <> v").distinct())
+    tasks = both.count() // LEAN + 1
+    at = shelf.put(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.lit(0).cast("long").alias("old"), F.least("u", "v").alias("comp")), tasks)
     while True:
         near = both.join(at.select(F.col("id").alias("v"), "comp"), "v").groupBy("u").agg(F.min("comp").alias("near"))
-        step = at.join(near, at.id == near.u).select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
+        step = shelf.put(at.drop("old").join(near, F.col("id") == F.col("u")).select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("comp")), tasks)
         jump = step.select(F.col("id").alias("old_comp"), F.col("comp").alias("far"))
-        done = settle(step.join(jump, step.comp == jump.old_comp, "left").select("id", "old", F.least("comp", "far").alias("comp")))
+        done = shelf.put(step.join(jump, F.col("comp") == F.col("old_comp"), "left").select("id", "old", F.least("comp", "far").alias("comp")), tasks)
         changed = done.where("old <> comp").limit(1).count()
-        at = done.select("id", "comp")
+        shelf.drop(at, step)
+        at = done
         if not changed:
-            return at
+            shelf.drop(both)
+            return at.select("id", "comp")
+
+
+def _joined(edges: DataFrame, at: DataFrame, shelf: Shelf) -> DataFrame:
+    u, v = (at.select(F.col("id").alias(k), F.col("comp").alias(f"comp_{k}")) for k in "uv")
+    labels = edges.join(u, "u", "left").join(v, "v", "left").select(F.coalesce("comp_u", "u").alias("u"), F.coalesce("comp_v", "v").alias("v"))
+    merged = components(labels, shelf=shelf)
+    moved = at.join(merged.select(F.col("id").alias("comp"), F.col("comp").alias("to_comp")), "comp", "left").select("id", F.coalesce("to_comp", "comp").alias("comp"))
+    fresh = merged.join(at, "id", "left_anti").select("id", "comp")
+    return shelf.put(moved.union(fresh), at.count() // LEAN + 2)
+
+
+#: Members up to which a bucket's pairs are all checked.
+SMALL = 6
 
 
-def star_links(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame], could: str = "true") -> DataFrame:
-    """The checked links (u, v), u < v, that join all linked items of ``buckets`` (bucket long, id long, n long) into components.
+def star_components(buckets: DataFrame, payload: Callable[[DataFrame], DataFrame], linked: Callable[[str, str], Column], could: str = "true") -> DataFrame:
+    """(id, comp) of the items of ``buckets`` (bucket long, id long, n long) that have a link.
 
-    alike: from pairs (u, v) those that are links. could: SQL condition on ``n`` and
-    ``m``, the two items' sizes, that a link can't fail.
+    payload: from items (id) their full data (id, own), made once for those that share a
+    bucket. linked: whether two columns of such data are a link. could: SQL condition on
+    ``n`` and ``m``, the two items' sizes, that a link can't fail.
     """
-    shared = buckets.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("lead"), F.max("id").alias("top")).where("lead.id < top").select("bucket", F.col("lead.id").alias("lead"), F.col("lead.n").alias("m"))
-    held = settle(buckets.join(shared, "bucket"))
-    pairs = settle(held.where(f"id > lead AND {could}").groupBy("id", "lead").count())
-    best = pairs.groupBy("id").agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("lead"))
-    links = settle(alike(best.select(F.col("lead").alias("u"), F.col("id").alias("v"))))
-    at = components(links)
-
-    def apart(rows: DataFrame, u: str, v: str) -> DataFrame:
-        a, b = (at.select(F.col("id").alias(k), F.col("comp").alias(f"comp_{k}")) for k in (u, v))
-        own = [F.coalesce(F.col(f"comp_{k}"), F.col(k)) for k in (u, v)]
-        return rows.join(a, u, "left").join(b, v, "left").where(own[0] != own[1])
-
-    rest = apart(pairs.join(best, ["id", "lead"], "left_anti"), "lead", "id")
-    more = settle(alike(rest.select(F.col("lead").alias("u"), F.col("id").alias("v"))))
-    links = links.union(more)
-    at = components(links)
-    own = held.select("bucket", "id", "n").join(at, "id", "left").select("bucket", "id", "n", F.coalesce("comp", "id").alias("comp"))
-    kinds = own.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
+    shelf = Shelf(buckets.sparkSession)
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    held = shelf.put(buckets.join(shared, "bucket"))
+    score = shelf.put(held.groupBy("id").agg(F.sum("members").alias("score")))
+    own = shelf.put(payload(score.select("id")))
+    scored = held.join(score, "id")
+    lead = scored.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"), "n")).alias("lead"))
+    marked = shelf.put(scored.join(lead.select("bucket", (-F.col("lead.minus")).alias("lead"), F.col("lead.score").alias("lead_score"), F.col("lead.n").alias("m")), "bucket"))
+    shelf.drop(held, score)
+
+    def links(pairs: DataFrame) -> DataFrame:
+        u, v = (own.select(F.col("id").alias(k), F.col("own").alias(f"own_{k}")) for k in "uv")
+        return shelf.put(pairs.join(u, "u").join(v, "v").where(linked("own_u", "own_v")).select("u", "v"))
+
+    pairs = shelf.put(marked.where(f"id <> lead AND {could}").groupBy("id", "lead").agg(F.count("*").alias("count"), F.first("lead_score").alias("lead_score")))
+    best = shelf.put(pairs.groupBy("id").agg(F.max_by("lead", F.struct("count", "lead_score", "lead")).alias("lead")))
+    at = components(links(_ordered(best, "lead", "id")), shelf=shelf)
+    rest = _apart(pairs.join(best, ["id", "lead"], "left_anti"), at, "lead", "id")
+    at = components(links(_ordered(rest, "lead", "id")), at, shelf)
+    named = marked.join(at, "id", "left").select("bucket", "id", "n", "score", "members", F.coalesce("comp", "id").alias("comp"))
+    kinds = named.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
     mixed = kinds.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("bucket", F.col("main.comp").alias("main"))
-    left = settle(own.join(mixed, "bucket"))
-    stray = left.where("comp <> main").select("bucket", F.col("id").alias("id_"), F.col("n").alias("m"), F.col("comp").alias("comp_"))
-    cross = left.join(stray, "bucket").where(f"comp <> comp_ AND (id < id_ OR comp = main) AND {could}")
-    cross = cross.select(F.least("id", "id_").alias("u"), F.greatest("id", "id_").alias("v")).distinct()
-    known = pairs.select(F.col("lead").alias("u"), F.col("id").alias("v"))
-    return links.union(settle(alike(cross.join(known, ["u", "v"], "left_anti"))))
+    left = shelf.put(named.join(mixed, "bucket"))
+    stray = left.where("comp <> main").select("bucket", F.col("id").alias("id_"), F.col("n").alias("m"), F.col("comp").alias("comp_"), "members", "score")
+    second = stray.where(f"members > {SMALL}").groupBy("bucket").agg(F.max_by(F.struct("id_", "m", "comp_"), F.struct("score", -F.col("id_"))).alias("s")).select("bucket", "s.*")
+    few = stray.where(f"members <= {SMALL}").select("bucket", "id_", "m", "comp_")
+    cross = left.join(second.union(few), "bucket").where(f"comp <> comp_ AND {could}")
+    known = _ordered(pairs, "lead", "id")
+    return shelf.keep_only(components(links(_ordered(cross, "id", "id_").join(known, ["u", "v"], "left_anti")), at, shelf))
+
+
+def _ordered(rows: DataFrame, a: str, b: str) -> DataFrame:
+    return rows.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()
+
+
+def _apart(rows: DataFrame, at: DataFrame, a: str, b: str) -> DataFrame:
+    """The rows whose ends are in different components."""
+    x, y = (at.select(F.col("id").alias(k), F.col("comp").alias(f"comp_{k}")) for k in (a, b))
+    return rows.join(x, a, "left").join(y, b, "left").where(F.coalesce(F.col(f"comp_{a}"), F.col(a)) != F.coalesce(F.col(f"comp_{b}"), F.col(b)))

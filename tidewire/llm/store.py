@@ -24,10 +24,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that all machines see: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    return (found or tempfile.mkdtemp(prefix="tidewire-")).rstrip("/")
+
+
+class Shelf:
+    """Tables written as Parquet under the shared folder, to be deleted when they are no longer read.
+
+    Plans over them start at a scan, so they stay small however many rounds came before,
+    and their sizes are known to the planner.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base, self.paths = spark, f"{shared(spark)}/tables/{uuid.uuid4().hex}", {}
+
+    def put(self, df: DataFrame, tasks: int | None = None) -> DataFrame:
+        path = f"{self.base}/{len(self.paths)}"
+        (df.coalesce(tasks) if tasks else df).write.parquet(path)
+        made = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = made
+        return made
+
+    def drop(self, *tables: DataFrame) -> None:
+        for path, made in self.paths.items():
+            if any(made is t for t in tables):
+                self._delete(path)
+
+    def keep_only(self, table: DataFrame) -> DataFrame:
+        self.drop(*(t for t in self.paths.values() if t is not table))
+        return table
+
+    def _delete(self, path: str) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The table written as Parquet under the shared folder, and read again."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewire-")
-    path = f"{shared.rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    return Shelf(df.sparkSession).put(df)
