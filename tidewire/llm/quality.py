@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,11 +97,13 @@ def sample_labels(labels: DataFrame, label: str, sample: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
 
-def sampled(docs: DataFrame, labels: DataFrame, label: str, sample: int, made: Column) -> pd.DataFrame:
-    """The sample's rows (y, made) on the driver, in one order whatever the partitions; ``sample`` bounds what is broadcast and collected."""
+def sampled(docs: DataFrame, labels: DataFrame, label: str, sample: int, made: Column) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The sample's labels and int32 arrays (views of one Arrow table) on the driver, in one order whatever the partitions; ``sample`` bounds what is broadcast and collected."""
     few = F.broadcast(sample_labels(labels, label, sample))
-    got = docs.select("doc_id", "text").join(few, "doc_id").select("doc_id", "y", made.alias("made")).toPandas()
-    return got.sort_values("doc_id", kind="stable", ignore_index=True)
+    got = docs.select("doc_id", "text").join(few, "doc_id").select("doc_id", "y", made.alias("made")).toArrow()
+    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
+    cells = [x for chunk in got["made"].chunks for x in chunk]
+    return got["y"].to_numpy()[order].astype(float), [np.frombuffer(cells[i].as_buffer(), np.int32) for i in order]
 
 
 def packed(bits: int) -> Callable:
@@ -121,20 +122,19 @@ def packed(bits: int) -> Callable:
     return pack
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bits: int = 18, sample: int = 8192, epochs: int = 4, seed: int = 7) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bits: int = 18, sample: int = 4096, epochs: int = 4, seed: int = 7) -> np.ndarray:
     """Weights (float32, 2**bits places and the bias). ``sample`` is the bound of labelled rows that are learnt."""
-    rows = sampled(docs, labels, label, sample, packed(bits)(F.col("text")))
-    model = Follow(1 << bits)
-    if len(rows):
-        parsed = []
-        for y, made in zip(rows["y"], rows["made"], strict=True):
-            place, count = np.frombuffer(made, np.int32).reshape(2, -1)
-            parsed.append((np.append(place, 1 << bits), np.append(count / np.sqrt(max(1, count.sum())), 1.0), float(y)))
-        rng = np.random.default_rng(seed)
-        for _ in range(epochs):
-            for i in rng.permutation(len(parsed)):
-                model.update(*parsed[i])
-    return model.weights(slice(None)).astype(np.float32)
+    y, rows = sampled(docs, labels, label, sample, packed(bits)(F.col("text")))
+    model, bias = Follow(1 << bits), np.array([1 << bits])
+    rng = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for i in rng.permutation(len(rows)):
+            place, count = rows[i].reshape(2, -1)
+            model.update(np.concatenate([place, bias]), np.append(count / np.sqrt(max(1, count.sum())), 1.0), y[i])
+    weights = model.weights(slice(None)).astype(np.float32)
+    del rows
+    pa.default_memory_pool().release_unused()
+    return weights
 
 
 def scorer(weights: np.ndarray, bits: int = 18) -> Callable:
