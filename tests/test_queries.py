@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
 
 def rows(df):
     df = df[sorted(df.columns)].astype(object)
-    return sorted(tuple("~" if v is None or v != v or str(v) in ("<NA>", "NaT") else f"{float(v):.5g}" if isinstance(v, float) or type(v).__name__ in ("float64", "Decimal") else str(v) for v in r) for r in df.itertuples(index=False))
+    return sorted(tuple("~" if v is None or str(v) in ("<NA>", "NaT", "nan") else f"{float(v):.5g}" if isinstance(v, float) or type(v).__name__ in ("float64", "Decimal") else str(v) for v in r) for r in df.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
