@@ -35,7 +35,7 @@ from tidewire.llm.store import settle
 
 LENGTH, END, BUCKETS = 1024, 2, 256
 #: Different parts of words whose ids a worker remembers.
-MEMO = 600_000
+MEMO = 250_000
 #: Letters (two bytes at most) beside which the byte classes below agree with the tokenizer's; texts with other signs are split by the tokenizer itself.
 _ODD = re.compile("[^\t-\r -~À-ÖØ-öø-ſ]")
 _LETTER = np.zeros(256, bool)
