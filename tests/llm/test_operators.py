@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.llm import fingerprint, kernels, linededup, media, mixing, near, packing, privacy, quality, sharding, toxicity
+from tidewire.llm import fingerprint, kernels, linededup, links, media, mixing, near, packing, privacy, quality, sharding, toxicity
 
 WORDS = [f"w{i}" for i in range(400)]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, bucket string, `row` string"
@@ -107,6 +107,28 @@ def test_near_groups_equal_brute_force(docs):
     assert kept.count() == int(got["kept"].sum())
 
 
+@pytest.mark.parametrize("block", [3, 1 << 17])
+def test_links_of_a_large_bucket_are_all_found(spark, monkeypatch, block):
+    monkeypatch.setattr(links, "BLOCK", block)
+    rng = random.Random(6)
+    # values within 1 are linked; in bucket 0 id 1 leads and is alone, and pairs of leftover members are linked
+    value = {i: 1000 * i for i in range(1, 21)} | {16: 15001, 18: 17001, 20: 19001} | {i: rng.randrange(60) for i in range(21, 81)}
+    held = [(0, i) for i in range(1, 21)] + [(b, i) for b in (1, 2, 3) for i in rng.sample(range(21, 81), 25)]
+    buckets = spark.createDataFrame([(b, i, 1) for b, i in held], "bucket long, id long, n long")
+    full = spark.createDataFrame([(i, bytearray(v.to_bytes(8, "little"))) for i, v in value.items()], "id long, own binary")
+
+    def close(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([abs(int.from_bytes(x.as_py(), "little") - int.from_bytes(y.as_py(), "little")) <= 1 for x, y in zip(a, b, strict=True)], pa.bool_())
+
+    root = {i: i for i in value}
+    for (b, i), (c, j) in ((x, y) for x in held for y in held):
+        if b == c and abs(value[i] - value[j]) <= 1 and root[i] != root[j]:
+            low, high = sorted((root[i], root[j]))
+            root = {k: low if r == high else r for k, r in root.items()}
+    got = {i: i for i in value} | {r["id"]: r["comp"] for r in links.star_components(buckets, lambda ids: full.join(ids, "id", "left_semi"), close).collect()}
+    assert got == root
+
+
 def test_near_empty(empty):
     assert near.groups(empty).count() == 0
 

@@ -198,7 +198,7 @@ def recordings(media: DataFrame) -> DataFrame:
     def pairs_with_codes(pairs: DataFrame) -> DataFrame:
         return pairs.join(own.select(F.col("id").alias("u"), F.col("codes").alias("codes_u")), "u").join(own.select(F.col("id").alias("v"), F.col("codes").alias("codes_v")), "v")
 
-    comp = star_components(buckets, lambda ids: own.join(ids, "id", "left_semi").select("id", F.col("codes").alias("own")), F.arrow_udf(_check, "boolean"))
+    comp = star_components(buckets, lambda ids: own.join(ids, "id", "left_semi").select("id", F.col("codes").alias("own")), _check)
     member = comp.where("id <> comp").select(F.col("comp").alias("u"), F.col("id").alias("v"))
     aligned = pairs_with_codes(member).select("u", "v", F.arrow_udf(_measure, "struct<shift: bigint, bit_error: double>")("codes_u", "codes_v").alias("m"))
     named = items.select("k", "crc", "n_codes", "id").join(aligned, F.col("id") == F.col("v"), "left").select("k", "crc", "n_codes", F.coalesce("u", "id").alias("class_id"), F.when(F.col("v").isNull(), 0).otherwise(F.col("m.shift")).alias("shift"), F.when(F.col("v").isNull(), 0.0).otherwise(F.col("m.bit_error")).alias("bit_error"))

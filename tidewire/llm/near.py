@@ -120,7 +120,7 @@ def groups(docs: DataFrame) -> DataFrame:
         # should ids repeat, one of their texts speaks for them
         return few.select("id", F.arrow_udf(packed_set, "binary")(F.col("text")).alias("own")).dropDuplicates(["id"])
 
-    comp = star_components(buckets, payload, F.arrow_udf(alike_sets, "boolean"), f"100 * least(n, m) >= {SHARE} * greatest(n, m)")
+    comp = star_components(buckets, payload, alike_sets, f"100 * least(n, m) >= {SHARE} * greatest(n, m)")
     named = items.select("k1", "k2", "doc_id").join(comp, F.col("doc_id") == F.col("id"), "left").select("k1", "k2", F.coalesce("comp", "doc_id").alias("group"))
     made = slim.where("n > 0 AND doc_id IS NOT NULL").join(named, ["k1", "k2"]).select("doc_id", "n", F.col("group"))
     alone = slim.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("group"))
