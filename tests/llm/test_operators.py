@@ -371,6 +371,20 @@ def test_disclosing_terms(spark, docs, empty):
     assert privacy.detect(docs).count() == len(corpus())
 
 
+def test_disclosing_terms_far_from_the_entity_and_without_it(spark):
+    rng = random.Random(8)
+    talk = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    rows = [(i, f"é {talk(3)} Kim {talk(40)} contact bob@corp.example {talk(4)} Ann {talk(2)}") for i in range(12)]
+    rows += [(12, f"{talk(9)} ann, {talk(30)} KIM {talk(3)}"), (13, f"Annex {talk(9)}")] + [(i, f"é contact {talk(12)}") for i in range(14, 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [s.split(":") for s in r["spans"].split(",") if s] for r in privacy.detect(df).collect()}
+    for i, text in rows:
+        found = [text[int(a) : int(b)] for k, a, b in got[i] if k == "term"]
+        assert found == (["Kim", "Ann"] if i < 12 else ["ann", "KIM"] if i == 12 else [])
+    clean = {r["doc_id"]: r["text"] for r in privacy.sanitised(df).collect()}
+    assert "ann" not in clean[12] and "KIM" not in clean[12] and "Kim" not in clean[0] and clean[13] == rows[13][1]
+
+
 def test_recordings(spark, docs, empty):
     rng = np.random.default_rng(0)
     base = rng.integers(60, 200, 12000).astype(np.uint8)

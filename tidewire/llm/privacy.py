@@ -2,11 +2,12 @@
 
 The patterns find e-mail and IP addresses, card and telephone numbers. Each value found
 is a protected entity. A term discloses an entity as far as the corpus shows them
-together: with p(e|t) the share of the term's documents in which it stands within
-NEAR words of the entity, disclosure = PMI(t; e) / IC(e) = 1 - log p(e|t) / log p(e),
-which is 1 where the term gives the entity away. Terms at THRESHOLD or above, seen near
-the entity in at least SUPPORT different contexts (copies of one passage count once),
-become spans of kind ``term``. Sanitised texts have pattern spans and terms at REMOVE
+together: with p(e|t) the share of the term's documents that hold the entity, within
+NEAR words or anywhere in the text (the larger counts), disclosure = PMI(t; e) / IC(e) = 1 - log p(e|t) / log p(e),
+which is 1 where the term gives the entity away. Terms of any length at THRESHOLD or above, seen
+with the entity in at least SUPPORT different contexts (the words around the entity, or
+around the term; copies of one passage count once), become spans of kind ``term``
+wherever they stand in any text, but for places inside pattern spans. Sanitised texts have pattern spans and terms at REMOVE
 replaced by their kind, and other terms generalised to their first letter.
 
 Counts of terms cover every document. They are made for terms whose hash prefix is
@@ -83,14 +84,18 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def near_terms(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """Spans of the words of four letters and more among the NEAR words on each side."""
+    """Spans of the NEAR words on each side."""
     left, right = max(0, start - _REACH), min(len(text), end + _REACH)
     before = [m.span() for m in _TERM.finditer(text, left, start) if m.start() > left or not left]
     after = [m.span() for m in _TERM.finditer(text, end, right) if m.end() < right or right == len(text)]
-    return [(a, b) for a, b in before[-NEAR:] + after[:NEAR] if b - a >= 4]
+    return [(a, b) for a, b in before[-NEAR:] + after[:NEAR]]
 
 
-FOUND = "struct<n_email: bigint, n_ip: bigint, n_card: bigint, n_phone: bigint, base: string, base_sha256: string, near: array<struct<e: bigint, t: bigint, c: bigint, a: int, b: int>>>"
+def entity(text: str, kind: str, start: int, end: int) -> str:
+    return f"{kind} {text[start:end] if kind in ('email', 'ip') else ''.join(_DIGITS.findall(text[start:end]))}"
+
+
+FOUND = "struct<n_email: bigint, n_ip: bigint, n_card: bigint, n_phone: bigint, base: string, base_sha256: string, es: array<bigint>, near: array<struct<e: bigint, t: bigint, c: bigint, a: int, b: int>>>"
 _NEAR = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("c", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
 
 
@@ -101,7 +106,7 @@ def _hashed(values: list[str]) -> list[int]:
 
 
 def find(text: pa.Array) -> pa.Array:
-    counts, bases, shas, near, keys = [], [], [], [], []
+    counts, bases, shas, near, ents, keys = [], [], [], [], [], []
     for x in text:
         value = x.as_py() or ""
         spans = base_spans(value)
@@ -109,19 +114,49 @@ def find(text: pa.Array) -> pa.Array:
         counts.append([kinds.count(k) for k in KINDS])
         bases.append(joined(spans))
         shas.append(hashlib.sha256(bases[-1].encode()).hexdigest())
-        mine = []
+        mine, own = [], []
         for kind, a, b in spans:
-            plain = value[a:b] if kind in ("email", "ip") else "".join(_DIGITS.findall(value[a:b]))
             places = near_terms(value, a, b)
             terms = [value[i:j] for i, j in places]
             first = len(keys)
-            keys += [f"{kind} {plain}", " ".join(terms) or " ", *terms]
+            own.append(first)
+            keys += [entity(value, kind, a, b), " ".join(terms) or " ", *terms]
             mine += [(first, first + 2 + k, first + 1, i, j) for k, (i, j) in enumerate(places)]
         near.append(mine)
+        ents.append(own)
     h = _hashed(keys) if keys else []
     near = pa.array([[{"e": h[e], "t": h[t], "c": h[c], "a": a, "b": b} for e, t, c, a, b in mine] for mine in near], _NEAR)
     n = np.array(counts, np.int64).reshape(-1, 4)
-    return pa.StructArray.from_arrays([*(pa.array(n[:, k]) for k in range(4)), pa.array(bases, pa.string()), pa.array(shas, pa.string()), near], ["n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "near"])
+    return pa.StructArray.from_arrays([*(pa.array(n[:, k]) for k in range(4)), pa.array(bases, pa.string()), pa.array(shas, pa.string()), pa.array([sorted({h[e] for e in own}) for own in ents], pa.list_(pa.int64())), near], ["n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "es", "near"])
+
+
+def terms_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, hash, and start and end in code points of each term, in order."""
+    data, offsets = K.view(text)
+    letter = (data >= 128) | ((data | 32) >= 97) & ((data | 32) <= 122)
+    turn = np.diff(letter.astype(np.int8), prepend=0, append=0)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    inside = edge[1:-1] & letter[1:] & letter[:-1] if len(data) else np.zeros(0, bool)
+    cut = np.flatnonzero(inside) + 1  # a text ends and the next begins within letters
+    starts = np.sort(np.concatenate([np.flatnonzero(turn == 1), cut]))
+    ends = np.sort(np.concatenate([np.flatnonzero(turn == -1), cut]))
+    row = np.searchsorted(offsets, starts, "right") - 1
+    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    first = points[offsets[row]]
+    return row, K.hashes(K.LOWER[data], starts, ends), points[starts] - first, points[ends] - first
+
+
+def _in(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return bitmap[(h.view(K.U) >> K.U(64 - PREFIX)).astype(np.int64)]
+
+
+def _free(spans: list[tuple[str, int, int]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the ranges touch no span."""
+    free = np.ones(len(a), bool)
+    for _, i, j in spans:
+        free[np.searchsorted(b, i, "right") : np.searchsorted(a, j)] = False
+    return free
 
 
 def counter(bitmap: np.ndarray):
@@ -131,19 +166,9 @@ def counter(bitmap: np.ndarray):
         for batch in batches:
             text = batch.column(0)
             for a, b in K.steps(text):
-                data, offsets = K.view(text.slice(a, b - a))
-                letter = (data >= 128) | ((data | 32) >= 97) & ((data | 32) <= 122)
-                turn = np.diff(letter.astype(np.int8), prepend=0, append=0)
-                edge = np.zeros(len(data) + 1, bool)
-                edge[offsets] = True
-                inside = edge[1:-1] & letter[1:] & letter[:-1] if len(data) else np.zeros(0, bool)
-                cut = np.flatnonzero(inside) + 1  # a text ends and the next begins within letters
-                starts = np.sort(np.concatenate([np.flatnonzero(turn == 1), cut]))
-                ends = np.sort(np.concatenate([np.flatnonzero(turn == -1), cut]))
-                h = K.hashes(K.LOWER[data], starts, ends)
-                keep = bitmap[(h >> K.U(64 - PREFIX)).astype(np.int64)]
-                doc = np.searchsorted(offsets, starts[keep], "right")
-                h = h[keep]
+                doc, h, _, _ = terms_of(text.slice(a, b - a))
+                keep = _in(bitmap, h)
+                doc, h = doc[keep], h[keep]
                 order = np.lexsort((doc, h))
                 h, doc = h[order], doc[order]
                 new = np.ones(len(h), bool)
@@ -154,18 +179,86 @@ def counter(bitmap: np.ndarray):
     return count
 
 
+def together(bitmap: np.ndarray):
+    """mapInArrow function: (doc_id, fp, e, t, c) for each entity whose prefix is in the bitmap and each term of a text outside its spans; c is the hash of the words around the term's first place."""
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in K.steps(batch.column(2)):
+                text = batch.column(2).slice(a, b - a)
+                for i, value in enumerate(text.to_pylist()):
+                    spans = base_spans(value or "")
+                    es = np.array(sorted(set(_hashed([entity(value, *s) for s in spans]))) if spans else [], np.int64)
+                    es = es[_in(bitmap, es)]
+                    if not len(es):
+                        continue
+                    _, h, start, end = terms_of(text.slice(i, 1))
+                    with np.errstate(over="ignore"):
+                        padded, c = np.concatenate([np.zeros(NEAR, K.U), h, np.zeros(NEAR, K.U)]), np.zeros(len(h), K.U)
+                        for k in range(2 * NEAR + 1):
+                            c += padded[k : k + len(h)] * K._COEF[k]
+                        c = K.mix(c)
+                    free = _free(spans, start, end)
+                    t, at = np.unique(h[free], return_index=True)
+                    c, n = c[free][at], len(es)
+                    # a document with very many of both is given out an entity at a time
+                    for own in np.array_split(es, n if n * len(t) > 1 << 16 else 1):
+                        m = len(own) * len(t)
+                        ids = pa.array([batch.column(0)[a + i].as_py()] * m, batch.schema.field(0).type)
+                        yield pa.RecordBatch.from_arrays([ids, pa.array([batch.column(1)[a + i].as_py()] * m, pa.int64()), pa.array(np.repeat(own, len(t))), pa.array(np.tile(t, len(own)).view(np.int64)), pa.array(np.tile(c, len(own)).view(np.int64))], ["doc_id", "fp", "e", "t", "c"])
+
+    return pair
+
+
+def places(bitmap: np.ndarray):
+    """mapInArrow function: (doc_id, fp, t, a, b) for each place, outside spans, of a term whose prefix is in the bitmap."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in K.steps(batch.column(2)):
+                text = batch.column(2).slice(a, b - a)
+                row, h, start, end = terms_of(text)
+                keep = _in(bitmap, h)
+                row, h, start, end = row[keep], h[keep], start[keep], end[keep]
+                free = np.ones(len(row), bool)
+                edges = np.searchsorted(row, np.arange(b - a + 1))
+                for i in np.flatnonzero(np.diff(edges)):
+                    mine = slice(edges[i], edges[i + 1])
+                    free[mine] = _free(base_spans(text[int(i)].as_py()), start[mine], end[mine])
+                rows = pa.array(row[free] + a)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(h[free].view(np.int64)), pa.array(start[free].astype(np.int32)), pa.array(end[free].astype(np.int32))], ["doc_id", "fp", "t", "a", "b"])
+
+    return place
+
+
+def _prefixes(table: DataFrame, column: str) -> np.ndarray:
+    """Bitmap of the column's hash prefixes: at most 2**PREFIX values are collected, whatever the corpus."""
+    bitmap = np.zeros(1 << PREFIX, bool)
+    bitmap[[r[0] for r in table.select(F.shiftrightunsigned(column, 64 - PREFIX)).distinct().collect()]] = True
+    return bitmap
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias("fp"), "text")
+
+
+def _id(docs: DataFrame) -> str:
+    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint"
+
+
 def disclosing(docs: DataFrame, rows: DataFrame, near: int = NEAR, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
-    """(e, t, disclosure) of terms that disclose an entity. rows: doc_id, fp, near."""
+    """(e, t, disclosure) of terms that disclose an entity. rows: doc_id, fp, es, near."""
     seen = rows.where("size(near) > 0").select("doc_id", "fp", F.explode("near").alias("x")).select("doc_id", "fp", "x.*")
     # a document counts once; rows that repeat whole are one document here
-    pairs = seen.groupBy("e", "t", "c", "doc_id", "fp").agg(F.lit(1).alias("one")).groupBy("e", "t", "c").agg(F.count("*").alias("docs"))
-    pairs = settle(pairs.groupBy("e", "t").agg(F.sum("docs").alias("together"), F.count("*").alias("contexts")).where(F.col("contexts") >= support))
-    # at most 2**PREFIX values, whatever the corpus
-    prefixes = [r[0] for r in pairs.select(F.shiftrightunsigned("t", 64 - PREFIX)).distinct().collect()]
-    bitmap = np.zeros(1 << PREFIX, bool)
-    bitmap[prefixes] = True
+    entity = settle(rows.select("doc_id", "fp", F.explode("es").alias("e")).distinct().groupBy("e").agg(F.count("*").alias("entity_docs")))
+    # only an entity of SUPPORT documents has as many texts that a term shares with it
+    whole = _texts(docs).mapInArrow(together(_prefixes(entity.where(F.col("entity_docs") >= support), "e")), f"{_id(docs)}, e bigint, t bigint, c bigint")
+    both = seen.select("doc_id", "fp", "e", "t", "c", F.lit(False).alias("w")).union(whole.select("doc_id", "fp", "e", "t", "c", F.lit(True)))
+    pairs = both.groupBy("e", "t", "w", "c", "doc_id", "fp").agg(F.lit(1).alias("one")).groupBy("e", "t", "w", "c").agg(F.count("*").alias("docs"))
+    pairs = pairs.groupBy("e", "t", "w").agg(F.sum("docs").alias("together"), F.count("*").alias("contexts"))
+    pairs = settle(pairs.groupBy("e", "t").agg(F.max("together").alias("together"), F.max("contexts").alias("contexts")).where(F.col("contexts") >= support))
+    bitmap = _prefixes(pairs, "t")
     terms = docs.select("text").mapInArrow(counter(bitmap), "t bigint, docs bigint").groupBy("t").agg(F.sum("docs").alias("df"))
-    entity = seen.groupBy("e", "doc_id", "fp").agg(F.lit(1).alias("one")).groupBy("e").agg(F.count("*").alias("entity_docs"))
     total = rows.count()
     of_term = F.least(F.col("together") / F.col("df"), F.lit(1.0))
     score = 1 - F.log(of_term) / F.log(F.col("entity_docs") / F.lit(float(max(2, total))))
@@ -175,18 +268,19 @@ def disclosing(docs: DataFrame, rows: DataFrame, near: int = NEAR, support: int
 def detect(docs: DataFrame, **how) -> DataFrame:
     """doc_id, fp (hash of the text), counts by kind, base, base_sha256, terms (array of start, end, disclosure), spans for every row of ``docs``."""
     rows = settle(docs.select("doc_id", F.xxhash64("text").alias("fp"), F.arrow_udf(find, FOUND)(F.col("text")).alias("f")).select("doc_id", "fp", "f.*"))
-    told = settle(disclosing(docs, rows, **how))
-    hits = rows.where("size(near) > 0").select("doc_id", "fp", F.explode("near").alias("x")).select("doc_id", "fp", "x.*").join(told, ["e", "t"])
+    told = settle(disclosing(docs, rows, **how).groupBy("t").agg(F.max("disclosure").alias("disclosure")))
+    # every place of a disclosing term in every text
+    hits = _texts(docs).mapInArrow(places(_prefixes(told, "t")), f"{_id(docs)}, t bigint, a int, b int").join(told, "t")
     terms = hits.groupBy("doc_id", "fp", "a", "b").agg(F.max("disclosure").alias("disclosure")).groupBy("doc_id", "fp").agg(F.array_sort(F.collect_list(F.struct("a", "b", "disclosure"))).alias("terms"))
     right = terms.select(F.col("doc_id").alias("id_"), F.col("fp").alias("fp_"), "terms")
-    made = rows.drop("near").join(right, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("fp") == F.col("fp_")), "left").drop("id_", "fp_")
+    made = rows.drop("near", "es").join(right, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("fp") == F.col("fp_")), "left").drop("id_", "fp_")
     also = F.transform(F.coalesce("terms", F.array()), lambda x: F.concat(F.lit("term:"), x["a"].cast("string"), F.lit(":"), x["b"].cast("string")))
     return made.withColumn("spans", F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), also))
 
 
 def sanitised(docs: DataFrame, remove: float = REMOVE, **how) -> DataFrame:
     """doc_id, text of every row: base spans and terms at ``remove`` give way to [kind], other disclosing terms to their first letter and an ellipsis."""
-    found = detect(docs, **how).select(F.col("doc_id").alias("id_"), F.col("fp").alias("fp_"), "base", "terms").where("base <> ''").dropDuplicates(["id_", "fp_"])
+    found = detect(docs, **how).select(F.col("doc_id").alias("id_"), F.col("fp").alias("fp_"), "base", "terms").where("base <> '' OR terms IS NOT NULL").dropDuplicates(["id_", "fp_"])
 
     def rewrite(text: pa.Array, base: pa.Array, terms: pa.Array) -> pa.Array:
         out = []
