@@ -309,6 +309,15 @@ def test_restoration_of_disguised_words(spark):
     assert toxicity.restored(pa.array(["such a cl0wn.", None, "fine text", "m o r o n!"]), d).to_pylist() == ["such a clown.", "", "fine text", "moron!"]
 
 
+def test_restoration_of_long_words_and_letters_outside_ascii(spark):
+    clean = spark.createDataFrame([(i, "you are an idiot and a clown said the stupid moron to the worthless loser") for i in range(40)], "doc_id long, text string")
+    d = toxicity.Decoder(toxicity.language_model(clean))
+    long = ["id" + "i" * 60 + "ot", "i" * 3 + "d" * 30000, " ".join("stupidmoronstupidmoronidiot"), "crétééén", "crééé", "éton"]
+    found = [[t.encode()[a:b].decode() for r, a, b in toxicity.suspects(pa.array(long)) if r == i] for i, t in enumerate(long)]
+    assert found == [[long[0]], [long[1]], [long[2]], [long[3]], [long[4]], []]
+    assert toxicity.restored(pa.array(long[:1]), d).to_pylist() == ["idiot"]
+
+
 @pytest.mark.parametrize("score", [quality.scored, toxicity.scored])
 def test_scores(spark, docs, labels, empty, score):
     got = score(docs, labels).toPandas()

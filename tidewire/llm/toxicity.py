@@ -91,11 +91,15 @@ class Decoder:
 
     def __init__(self, costs: np.ndarray):
         self.costs = costs.tolist()
-        self.decode = lru_cache(maxsize=200_000)(self._decode)
+        self.remembered = lru_cache(maxsize=200_000)(self._decode)
+
+    def decode(self, token: str) -> str:
+        """The likeliest reading; those of words of up to LONGEST signs are remembered."""
+        return self.remembered(token) if len(token) <= LONGEST else self._decode(token)
 
     def _decode(self, token: str) -> str:
-        # state: (symbol before, last symbol, last letter) -> (cost, text)
-        best = {(0, 0, ""): (0.0, "")}
+        # state: (symbol before, last symbol, last letter) -> (cost, chain of letters, last first)
+        best: dict = {(0, 0, ""): (0.0, None)}
         for sign in token.lower():
             letters = [(sign, KEEP)] if sign.isalpha() else [(x, LIKE) for x in LOOKALIKES.get(sign, "")]
             step: dict = {}
@@ -105,7 +109,7 @@ class Decoder:
                     total = cost + channel + self.costs[x][y][z]
                     key = (y, z, letter)
                     if key not in step or total < step[key][0]:
-                        step[key] = (total, out + letter)
+                        step[key] = (total, (out, letter))
                     if letter == last and cost + channel + REPEAT < step.get((x, y, last), (math.inf,))[0]:
                         step[x, y, last] = (cost + channel + REPEAT, out)
                 if not sign.isalpha():
@@ -115,9 +119,14 @@ class Decoder:
                         step[x, y, last] = (total, out)
                     total = cost + (BLANK if free else BORDER) + self.costs[x][y][0]
                     if y and total < step.get((y, 0, ""), (math.inf,))[0]:
-                        step[y, 0, ""] = (total, out + " ")
+                        step[y, 0, ""] = (total, (out, " "))
             best = dict(sorted(step.items(), key=lambda kv: kv[1][0])[:BEAM])
-        return min(((c + self.costs[x][y][0], out) for (x, y, _), (c, out) in best.items()), default=(0.0, ""))[1]
+        out = min(((c + self.costs[x][y][0], out) for (x, y, _), (c, out) in best.items()), key=lambda r: r[0], default=(0.0, None))[1]
+        letters = []
+        while out:
+            out, letter = out
+            letters.append(letter)
+        return "".join(reversed(letters))
 
 
 #: What frames a word: punctuation, and signs that are repeated at its end.
@@ -135,16 +144,17 @@ def suspects(column: pa.Array) -> Iterator[tuple[int, int, int]]:
     inner[:-1] = mark[:-1] & (letter[1:] | mark[1:])
     closed = offsets[1:][np.diff(offsets) > 0] - 1  # last bytes: what follows is another text's
     inner[closed] = False
-    three = np.zeros(len(data), bool)
-    if len(data) > 2:
-        low = K.LOWER[data]
-        three[:-2] = (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]) & letter[:-2]
-        three[closed] = three[np.maximum(closed - 1, 0)] = False
+    three = np.zeros(len(data), bool)  # a letter (code point, not byte) three times
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    kinds, kind = np.unique(np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4"), return_inverse=True)
+    low = np.array([ord(c) if len(c := chr(x).lower()) == 1 else x for x in kinds])[kind]
+    alpha = np.array([chr(x).isalpha() for x in kinds])[kind]
+    text = np.searchsorted(offsets, at, "right")
+    three[at[:-2]] = (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]) & alpha[:-2] & (text[:-2] == text[2:])
     count = lambda flags: np.add.reduceat(flags, first) if len(first) else np.zeros(0)  # noqa: E731  blanks between words are no flags
     size = last - first
     letters, marks = count(letter.astype(np.int32)), count(inner.astype(np.int32))
     odd = (letters > 0) & (marks > 0) & (marks + letters + 2 >= size) | (count(three.astype(np.int32)) > 0)
-    odd &= size <= LONGEST
     closing = np.isin(data[last - 1], np.frombuffer(b".,;:!?", np.uint8)) & (size == 2)
     single = ((size == 1) | closing) & (letter[first] | _LIKE[data[first]])
     row = np.searchsorted(offsets, first, "right") - 1
@@ -154,7 +164,8 @@ def suspects(column: pa.Array) -> Iterator[tuple[int, int, int]]:
     for a, b in zip(edge[::2], edge[1::2], strict=True):
         cuts = [a, *(np.flatnonzero(np.diff(row[a:b])) + a + 1), b]
         for s, t in zip(cuts, cuts[1:], strict=False):
-            found += [(k, min(t, k + LONGEST // 2)) for k in range(s, t, LONGEST // 2) if min(t, k + LONGEST // 2) - k >= 3]
+            if t - s >= 3:
+                found.append((s, t))
     for i, j in sorted(found):
         r = int(row[i])
         yield r, int(first[i] - offsets[r]), int(last[j - 1] - offsets[r])
