@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -182,6 +183,49 @@ def test_sharding_laws(docs):
     assert (spread - 1).sum() <= 15 + 5
 
 
+@pytest.mark.parametrize("n", [200, 20000])
+def test_propagation_cuts_fewer_links_than_the_start(spark, n):
+    rng = random.Random(4)
+    rows = [(i, f"t{rng.randrange(n // 6)}" if i % 3 else f"own {i}") for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sharding.shard(df, 4).toPandas()
+    sizes = got.groupby("shard").size()
+    assert len(got) == n and sizes.max() - sizes.min() <= 1
+    start = df.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("s")).toPandas().set_index("doc_id")["s"]
+    got["start"], got["text"] = got["doc_id"].map(start), got["doc_id"].map(dict(rows))
+
+    def cut(column):
+        # pairs of equal texts in different shards
+        inside = got.groupby(["text", column]).size()
+        whole = got.groupby("text").size()
+        return int((whole * (whole - 1) // 2).sum() - (inside * (inside - 1) // 2).sum())
+
+    assert cut("shard") < 0.1 * cut("start")
+
+
+def test_propagation_over_links(spark, empty):
+    rng = random.Random(7)
+    # 24 communities of 50; each document is in two hubs of its own community and at times in one of another
+    rows, links = [], []
+    for i in range(1200):
+        c = i % 24
+        rows.append((i, f"text {i}"))
+        links += [(i, f"h{c}.{rng.randrange(6)}"), (i, f"h{c}.{rng.randrange(6)}")]
+        if rng.random() < 0.1:
+            links.append((i, f"h{rng.randrange(24)}.{rng.randrange(6)}"))
+    df, edges = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(links, "doc_id long, hub string")
+    got = sharding.shard(df, 4, edges).toPandas().set_index("doc_id")["shard"]
+    sizes = got.value_counts()
+    assert len(got) == 1200 and sizes.max() - sizes.min() <= 1
+    of = defaultdict(list)
+    for i, h in links:
+        of[h].append(i)
+    start = df.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("s")).toPandas().set_index("doc_id")["s"]
+    cut = lambda shard: sum(shard[a] != shard[b] for own in of.values() for k, a in enumerate(own) for b in own[:k])
+    assert cut(got) < 0.6 * cut(start)
+    assert sharding.shard(df, 4, edges.limit(0)).count() == 1200 and sharding.shard(empty, 4, edges.limit(0)).count() == 0
+
+
 def test_sharding_empty(empty):
     assert sharding.shard(empty).count() == 0
 
@@ -242,18 +286,67 @@ def test_token_ids_of_odd_texts():
         assert got.tolist() == ids.encode(t).tolist()
 
 
+def packed_lines(*texts):
+    lines, _, bounds = linededup.line_hashes(pa.array(texts))
+    return [lines[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
+
+
 def test_patience_alignment():
-    a, b = [1, 2, 3, 4, 5, 6], [9, 2, 3, 4, 8, 6, 7]
-    assert linededup.aligned(a, b, {2, 3, 4, 6}) == [1, 2, 3, 5]
-    assert linededup.aligned([1, 2, 0, 3, 4], [3, 4, 7, 1, 2], {1, 2, 3, 4}) == [0, 1, 3, 4]
-    assert linededup.aligned([1, 0, 2], [1, 0, 2], {1, 2}) == [0, 1, 2]
-    assert linededup.aligned([1], [2], {2}) == []
+    assert linededup.patience([1, 2, 3, 4, 5, 6], [9, 2, 3, 4, 8, 6, 7]) == [(1, 1), (2, 2), (3, 3), (5, 5)]
+    assert linededup.patience([1, 2, 3], [1, 2, 3]) == [(0, 0), (1, 1), (2, 2)] and linededup.patience([1], [2]) == []
+    assert linededup.patience([7, 1, 7, 2], [7, 3, 7, 2]) == [(0, 0), (2, 2), (3, 3)]
     assert linededup.rising([3, 1, 2, 5, 4]) in ([1, 2, 3], [1, 2, 4])
+    ten = "one two three four five six seven eight nine ten"
+    a, b, c = packed_lines(f"x\n{ten} a\n\n{ten} b\ny", f"{ten} a\n{ten} b\nz\nx", f"x\n\ny\n{ten} a")
+    assert linededup.aligned(a, b) == [(0, 1)] and linededup.aligned(a, c) == []
+
+
+def test_blocks_in_another_order_go_if_they_are_long():
+    rng = random.Random(1)
+    one, two = ("\n".join(prose(rng, 9) for _ in range(n)) for n in (7, 12))
+    a, b = packed_lines(f"{one}\n{two}", f"{two}\n{one}")
+    assert linededup.aligned(a, b) == [(0, 11), (12, 18)]
+
+
+def holds_run(a, b):
+    """Whether two documents share a run of lines that is a block, by brute force."""
+    x, y = ([" ".join(v.split()) for v in t.split("\n") if v.split()] for t in (a, b))
+    for i in range(len(x)):
+        for j in range(len(y)):
+            n = 0
+            while i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n]:
+                n += 1
+            if n and linededup.is_block(sum(len(v.split()) for v in x[i : i + n]), n):
+                return True
+    return False
+
+
+@pytest.mark.parametrize("rare", [64, 2])
+def test_line_dedup_equals_aligning_all_pairs(spark, monkeypatch, rare):
+    monkeypatch.setattr(linededup, "RARE", rare)
+    rng = random.Random(12)
+    pool = ["\n".join(prose(rng, rng.randrange(4, 12)) for _ in range(rng.randrange(3, 6))) for _ in range(14)]
+    texts = {}
+    for i in range(60):
+        parts = []
+        for k in sorted(rng.sample(range(14), rng.randrange(0, 5))):
+            parts += [prose(rng, rng.randrange(1, 14)), pool[k], "menu"]
+        texts[i] = "\n".join([*parts, prose(rng, 5)])
+    want = {}
+    for i in texts:
+        gone = set()
+        for j in range(i):
+            if holds_run(texts[j], texts[i]):
+                for x, y in linededup.aligned(*packed_lines(texts[j], texts[i])):
+                    gone |= set(range(x, y + 1))
+        want[i] = "\n".join(v for k, v in enumerate(texts[i].split("\n")) if k not in gone)
+    got = {r["doc_id"]: r["text"] for r in linededup.clean(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)).collect()}
+    assert got == want and sum(len(texts[i]) - len(want[i]) for i in texts) > 3000
 
 
 def test_line_dedup_takes_blocks_from_the_later(spark, docs, empty):
     block = "this line has five words\nshort\nanother line of six words here"
-    rows = [(1, f"first own line of five words\n{block}\nend"), (2, f"{block}\nunique second line stays right here"), (3, block), (4, None), (5, ""), (6, "short\nend"), (2, f"{block}\nunique second line stays right here"), (None, block)]
+    rows = [(1, f"first own line of five words\n{block}\nend"), (2, f"{block}\nunique second line stays right here"), (3, block), (4, None), (5, ""), (6, "short\nend"), (2, f"{block}\nunique second line stays right here"), (None, block), (7, "this line has five words")]
     made = spark.createDataFrame(rows, "doc_id long, text string")
     got = defaultdict(list)
     for r in linededup.clean(made).collect():
@@ -262,20 +355,21 @@ def test_line_dedup_takes_blocks_from_the_later(spark, docs, empty):
     assert got[2] == [("unique second line stays right here", 4, 3)] * 2
     assert got[3] == [("", 3, 3)]
     assert got[4] == [(None, 0, 0)] and got[5] == [("", 1, 0)] and got[6] == [("short\nend", 2, 0)] and got[None] == [(block, 3, 0)]
+    assert got[7] == [("this line has five words", 1, 0)]  # a lone common line is no block
     kept = linededup.cleaned(docs)
     assert kept.columns == docs.columns
     assert kept.where("text IS NOT NULL AND n_chars <> char_length(text) AND doc_id IS NOT NULL").count() == 0
-    assert linededup.clean(empty).count() == 0
+    assert linededup.clean(empty).count() == 0 and linededup.cleaned(empty).count() == 0
 
 
-def test_line_dedup_leaves_no_shared_line(docs):
-    out = {r["doc_id"]: r["text"] for r in linededup.clean(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])).collect()}
-    seen = set()
-    for i in sorted(out):
-        for line in {" ".join(x.split()) for x in (out[i] or "").split("\n")}:
-            if len(line.split()) >= 5:
-                assert line not in seen
-                seen.add(line)
+def test_line_dedup_pairs_all_holders_and_short_lines(spark):
+    rng = random.Random(5)
+    middle = prose(rng, 12)
+    block = f"{prose(rng, 8)}\n{middle}\n{prose(rng, 8)}"
+    short = "\n".join(f"a{i} b{i}" for i in range(200))
+    rows = [(1, f"{prose(rng, 9)}\n{middle}\n{prose(rng, 9)}"), (2, f"{prose(rng, 9)}\n{block}"), (3, f"{block}\n{prose(rng, 4)}"), (4, short), (5, short)]
+    got = {r["doc_id"]: r for r in linededup.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["n_removed"] for i in (1, 2, 3, 4, 5)] == [0, 0, 3, 0, 200]
 
 
 def test_fingerprints_are_homomorphic():
@@ -380,6 +474,72 @@ def test_disclosing_terms(spark, docs, empty):
     assert privacy.detect(docs).count() == len(corpus())
 
 
+def test_entities_in_all_documents_and_far_words(spark):
+    df = spark.createDataFrame([(i, f"w{i} call bob@corp.example now please") for i in range(8)], "doc_id long, text string")
+    assert {r["spans"].count("term") for r in privacy.detect(df).collect()} == {0}
+    one = spark.createDataFrame([(1, "a@b.cd near")], "doc_id long, text string")
+    assert privacy.detect(one).first()["n_private"] == 1
+    text = f"alpha {'1' * 3000} bob@corp.example {'2' * 3000} omega"
+    at = text.index("bob@")
+    assert [text[a:b] for a, b in privacy.near_terms(text, at, at + 16)] == ["alpha", "omega"]
+    key = "cb1a9fee807a05366fcb8b6c95c7c565ede51a72"
+    assert privacy.secrets(f'token = "{key}" and {"a1" * 20} x {"9" * 30}', []) == [("secret", 9, 49)]
+
+
+def disclosure_by_brute_force(rows):
+    """(entity value, term) at the threshold, from definitions."""
+    n, where, held, near = len(rows), defaultdict(set), defaultdict(set), defaultdict(lambda: defaultdict(set))
+    inside = defaultdict(lambda: defaultdict(set))
+    for i, t in rows:
+        spans = privacy.base_spans(t)
+        terms = [(m[0].lower(), *m.span()) for m in re.finditer(r"[A-Za-z\x80-\U0010ffff]+", t)]
+        for w, _, _ in terms:
+            held[w].add(i)
+        free = [(k, w) for k, (w, a, b) in enumerate(terms) if not any(a < y and b > x for _, x, y in spans)]
+        for kind, a, b in spans:
+            e = privacy.entity(t, kind, a, b)
+            where[e].add(i)
+            around = [w for w, x, y in terms if y <= a][-8:] + [w for w, x, y in terms if x >= b][:8]
+            for w in around:
+                near[e, w][tuple(around)].add(i)
+            seen = set()
+            for k, w in free:
+                if w not in seen:
+                    seen.add(w)
+                    c = tuple(terms[j][0] if 0 <= j < len(terms) else None for j in range(k - 8, k + 9))
+                    inside[e, w][c].add(i)
+    out = set()
+    for table in (near, inside):
+        for (e, w), contexts in table.items():
+            if max(len(near.get((e, w), ())), len(inside.get((e, w), ()))) >= privacy.SUPPORT and len(where[e]) < n:
+                together = max(sum(map(len, t[e, w].values())) if (e, w) in t else 0 for t in (near, inside))
+                p = min(1.0, together / len(held[w]))
+                if 1 - np.log(p) / np.log(len(where[e]) / n) >= privacy.THRESHOLD:
+                    out.add(w)
+    return out
+
+
+def test_disclosing_terms_equal_brute_force(spark):
+    rng = random.Random(14)
+    names = [f"n{''.join(rng.choice('abcdef') for _ in range(4))}" for _ in range(30)]
+    mails = [f"{x}@corp.example" for x in names[:8]]
+    rows = []
+    for i in range(240):
+        words = [rng.choice(WORDS[:120]).replace("w", "w" + "xyz"[i % 3]).translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(rng.randrange(5, 30))]
+        if i % 4 == 0:
+            k = rng.randrange(8)
+            words.insert(rng.randrange(len(words)), mails[k])
+            words.insert(rng.randrange(len(words)), names[10 + k])
+        elif i % 7 == 0:
+            words.append(rng.choice(names))
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = set()
+    for r in privacy.detect(df).collect():
+        found |= {dict(rows)[r["doc_id"]][int(a) : int(b)].lower() for k, a, b in (s.split(":") for s in r["spans"].split(",") if s) if k == "term"}
+    assert found == disclosure_by_brute_force(rows) and len(found) >= 6
+
+
 def test_disclosing_terms_far_from_the_entity_and_without_it(spark):
     rng = random.Random(8)
     talk = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
@@ -394,19 +554,70 @@ def test_disclosing_terms_far_from_the_entity_and_without_it(spark):
     assert "ann" not in clean[12] and "KIM" not in clean[12] and "Kim" not in clean[0] and clean[13] == rows[13][1]
 
 
+def wav_file(data, channels, rate, bits, form=1):
+    head = struct.pack("<HHIIHH", form, channels, rate, rate * channels * bits // 8, channels * bits // 8, bits)
+    return b"RIFF\0\0\0\0WAVE" + b"LIST\x05\0\0\0data\0\0" + b"fmt \x10\0\0\0" + head + b"data" + len(data).to_bytes(4, "little") + data
+
+
+def test_wav_files():
+    left = (np.sin(np.arange(3000) / 9) * 3000).astype("<i2")
+    got = media.samples(wav_file(np.stack([left, -left // 2], axis=1).tobytes(), 2, 8000, 16), 8000)
+    assert np.allclose(got, (left.astype(float) + (-left // 2)) / 512, atol=1e-3)
+    half = media.samples(wav_file(left.tobytes(), 1, 8000, 16), 4000)
+    assert len(half) == 1500 and np.allclose(half, left[::2] / 256, atol=1e-3)
+    for bad in (wav_file(b"abcd", 1, 8000, 24), wav_file(b"abcd", 1, 8000, 8, 3), b"RIFF\0\0\0\0WAVE", b"", None):
+        assert len(media.samples(bad, 8000)) == 0
+    assert media.samples(b"\x80\x81", 8000).tolist() == [0, 1]
+
+
+def tune(rng, shape, frames):
+    n = frames * shape.hop
+    at, out = np.arange(n) / shape.rate, np.zeros(n)
+    step = int(shape.hop * rng.integers(6, 12))
+    for i in range(0, n, step):
+        for f in 440 * 2 ** (rng.integers(-12, 12, 3) / 12):
+            out[i : i + step] += np.sin(2 * np.pi * f * at[i : i + step])
+    return np.clip(128 + 25 * out, 0, 255)
+
+
+@pytest.mark.parametrize("shape", [media.AUDIO, media.TEXT])
+def test_recordings_that_are_alike_share_a_class(spark, shape):
+    """All pairs by brute force against classes: at least 0.9 of the linked pairs, noisy, cut and shifted, and no other pair."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(14):
+        base = tune(rng, shape, int(rng.choice([60, 120])))
+        for k, noise in enumerate((0, 6, 15, 6)):
+            x = np.clip(base + rng.normal(0, noise, len(base)), 0, 255)
+            x = x[shape.hop * int(rng.integers(0, 12)) :] if k >= 2 else x
+            x = x[int(rng.integers(0, shape.hop // 3)) :] if k == 3 else x
+            rows.append((10 * i + k, bytearray(x.astype(np.uint8).tobytes())))
+    own = dict(zip((i for i, _ in rows), media.codes([media.samples(bytes(x), shape.rate) for _, x in rows], shape), strict=True))
+    ids = sorted(own)
+    pairs = {(i, j) for i in ids for j in ids if i < j and media.linked(len(own[i]), len(own[j]), *media.align(own[i], own[j])[1:])}
+    root = {i: i for i in ids}
+    for i, j in sorted(pairs):
+        a, b = sorted((root[i], root[j]))
+        root = {k: a if r == b else r for k, r in root.items()}
+    got = {r["doc_id"]: r["class_id"] for r in media.recordings(spark.createDataFrame(rows, "doc_id long, samples binary"), shape).collect()}
+    assert len(pairs) > 30
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.9 * len(pairs)
+    assert all(root[i] == root[j] for i in ids for j in ids if got[i] == got[j])
+
+
 def test_recordings(spark, docs, empty):
     rng = np.random.default_rng(0)
     base = rng.integers(60, 200, 12000).astype(np.uint8)
-    cut = base[32 * 40 :]
+    cut = base[64 * 40 :]
     noisy = base.copy()
     noisy[rng.integers(0, len(base), 60)] += 3
     other = rng.integers(60, 200, 12000).astype(np.uint8)
-    wav = b"RIFF\0\0\0\0WAVEfmt \x10\0\0\0" + bytes(16) + b"data\0\0\0\0" + base.tobytes()
-    a, b, c = media.codes([base, cut, other])
+    wav = wav_file(base[:, None].repeat(2, axis=1).tobytes(), 2, 2048, 8)
+    a, b, c = media.codes([x.astype(np.float32) - 128 for x in (base, cut, other)], media.TEXT)
     assert media.align(a, b)[0] == 40 and media.align(a, b)[2] == 0
     made = spark.createDataFrame([(1, bytearray(base)), (2, bytearray(cut)), (3, bytearray(noisy)), (4, bytearray(other)), (5, None), (6, bytearray()), (7, bytearray(wav)), (1, bytearray(base)), (None, bytearray(base))], "doc_id long, samples binary")
     got = defaultdict(list)
-    for r in media.recordings(made).collect():
+    for r in media.recordings(made, media.TEXT).collect():
         got[r["doc_id"]].append(r)
     assert [got[i][0]["class_id"] for i in (1, 2, 3, 4, 5, 6, 7)] == [1, 1, 1, 4, 5, 6, 1]
     assert got[2][0]["shift"] == 40 and got[2][0]["bit_error"] == 0 and len(got[1]) == 2 and got[None][0]["class_id"] is None

@@ -47,7 +47,7 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = privacy.detect(table(spark, sf_dir, "documents"))
-    return made.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    return made.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_private")
 
 
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return media.recordings(docs.select("doc_id", F.col("text").cast("binary").alias("samples")))
+    return media.recordings(docs.select("doc_id", F.col("text").cast("binary").alias("samples")), media.TEXT)
 
 
 def queries() -> dict[str, Query]:

@@ -5,8 +5,9 @@ fingerprint is the sum of its paragraphs' vectors modulo powers of two. So the o
 paragraphs doesn't matter, equal multisets have equal fingerprints, and a paragraph is
 inserted or deleted by adding or subtracting its vector (``add``, ``subtract``). The vector has
 
-* DENSE lanes modulo 2**64, each a hash of the whole paragraph: these decide equality;
-* LANES lanes modulo 2**16, to which each run of three words of the paragraph adds 1 or
+* DENSE lanes modulo 2**64, each made from the paragraph's 128-bit BLAKE2b hash: these decide
+  equality, and two paragraphs meet in all lanes only if their 128 bits do;
+* LANES lanes modulo 2**32, to which each run of three words of the paragraph adds 1 or
   -1 in one lane (a count sketch): the cosine of two documents' lanes estimates how
   many word runs they share. It is cut to 0..1, and is 1 for equal fingerprints.
 
@@ -16,7 +17,7 @@ streamed, and the first document of each range is sent to the range before it as
 (the first of all to the last). Texts are shuffled once.
 
 A null text is empty: n_chars 0, fingerprint of no paragraphs. A null id comes first.
-Equal ids are ordered by text hash. A single document is its own next. Repeated rows
+Ids are integers. Equal ids are ordered by text hash. A single document is its own next. Repeated rows
 stand side by side. Empty tables give no rows.
 """
 
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm import kernels as K
+from tidewire.llm.store import lean
 
 DENSE, LANES = 32, 256
 #: Quantiles at most, rows a range about, and parts of a quantile's range at most.
@@ -40,9 +42,18 @@ _SALT = K.mix(np.arange(DENSE, dtype=K.U) + K.U(1 << 32))
 _FIRST = -(1 << 63)
 
 
+def _dense(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, of_text: np.ndarray) -> np.ndarray:
+    """Dense lanes: by text the sums of its paragraphs' lanes."""
+    raw = data.tobytes()
+    digests = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+    low, high = np.frombuffer(digests, "<u8").reshape(-1, 2).T
+    with np.errstate(over="ignore"):
+        return np.stack([K.sums(K.mix(K.mix(low + s) + high * (s | K.U(1))), of_text) for s in _SALT], axis=1)
+
+
 def vectors(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Dense (uint64) and sketch (int16) lanes of each text."""
-    dense, lanes = [np.zeros((0, DENSE), K.U)], [np.zeros((0, LANES), np.int16)]
+    """Dense (uint64) and sketch (int32) lanes of each text."""
+    dense, lanes = [np.zeros((0, DENSE), K.U)], [np.zeros((0, LANES), np.int32)]
     for a, b in K.steps(text):
         data, offsets = K.view(text.slice(a, b - a))
         ink = data != 10
@@ -52,29 +63,27 @@ def vectors(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         starts = np.flatnonzero(turn)
         ends = np.append(starts[1:], len(data))
         starts, ends = (x[ink[starts]] for x in (starts, ends)) if len(data) else (starts[:0], ends[:0])
-        h = K.hashes(data, starts, ends)
         of_text = np.searchsorted(starts, offsets)
-        with np.errstate(over="ignore"):
-            dense.append(np.stack([K.sums(K.mix(h + s), of_text) for s in _SALT], axis=1))
+        dense.append(_dense(data, starts, ends, of_text))
         first, last = K.spans(data, offsets)
         words = K.hashes(data, first, last)
         runs, at = K.shingles(words, np.append(np.searchsorted(first, starts), len(first)), 3)
         doc = np.repeat(np.repeat(np.arange(b - a), np.diff(of_text)), np.diff(at)) if len(starts) else np.zeros(0, np.int64)
         cell = doc * LANES + (runs >> K.U(56)).astype(np.int64)
         sign = np.where(runs & K.U(1), 1.0, -1.0)
-        lanes.append(np.bincount(cell, sign, (b - a) * LANES).astype(np.int64).astype(np.int16).reshape(b - a, LANES))
+        lanes.append(np.bincount(cell, sign, (b - a) * LANES).astype(np.int64).astype(np.int32).reshape(b - a, LANES))
     return np.concatenate(dense), np.concatenate(lanes)
 
 
 def encoded(dense: np.ndarray, lanes: np.ndarray) -> list[str]:
     """Base64 of each row's little-endian lanes."""
-    raw = np.concatenate([np.ascontiguousarray(dense.astype("<u8")).view(np.uint8).reshape(len(dense), -1), np.ascontiguousarray(lanes.astype("<i2")).view(np.uint8).reshape(len(lanes), -1)], axis=1)
+    raw = np.concatenate([np.ascontiguousarray(dense.astype("<u8")).view(np.uint8).reshape(len(dense), -1), np.ascontiguousarray(lanes.astype("<i4")).view(np.uint8).reshape(len(lanes), -1)], axis=1)
     return [base64.b64encode(r.tobytes()).decode() for r in raw]
 
 
 def decoded(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     raw = base64.b64decode(fingerprint)
-    return np.frombuffer(raw[: 8 * DENSE], "<u8"), np.frombuffer(raw[8 * DENSE :], "<i2")
+    return np.frombuffer(raw[: 8 * DENSE], "<u8"), np.frombuffer(raw[8 * DENSE :], "<i4")
 
 
 def add(a: str, b: str) -> str:
@@ -143,7 +152,7 @@ def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def compared(docs: DataFrame) -> DataFrame:
     """Fingerprint of every row of ``docs``, of its edited text, and their likeness and that to the next document."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST))
-    n = docs.count()
+    n = lean(docs).count()
     parts = max(1, min(QUANTILES, n // RANGE_ROWS))
     cuts = sorted({int(x) for x in docs.select(key.cast("double").alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], 1 / (4 * parts))}) if parts > 1 else []
     finer = min(PARTS, n // (QUANTILES * 100 * RANGE_ROWS) + 1)

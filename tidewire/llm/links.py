@@ -77,37 +77,36 @@ SMALL = 6
 BLOCK, STEP = 1 << 17, 1 << 22
 
 
-def star_components(buckets: DataFrame, payload: Callable[[DataFrame], DataFrame], linked: Callable[[pa.Array, pa.Array], pa.Array], could: str = "true") -> DataFrame:
+def star_components(buckets: DataFrame, payload: Callable[[DataFrame], DataFrame], linked: Callable[[pa.Array, pa.Array], pa.Array], could: str = "true", keep: bool = True) -> DataFrame:
     """(id, comp) of the items of ``buckets`` (bucket long, id long, n long) that have a link.
 
-    payload: from items (id) their full data (id, own), made once for those that share a
-    bucket. linked: whether the values of two arrays of such data are links. could: SQL condition on
+    payload: from items (id) their full data (id, own), for those that share a bucket; with ``keep`` it is
+    written once, else read anew in each round (where it is a table already). linked: whether the values of two arrays of such data are links. could: SQL condition on
     ``n`` and ``m``, the two items' sizes, that a link can't fail.
     """
     shelf, check = Shelf(buckets.sparkSession), F.arrow_udf(linked, "boolean")
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     held = shelf.put(buckets.join(shared, "bucket"))
     score = shelf.put(held.groupBy("id").agg(F.sum("members").alias("score")))
-    own = shelf.put(payload(score.select("id")))
-    scored = held.join(score, "id")
-    lead = scored.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"), "n")).alias("lead"))
-    marked = shelf.put(scored.join(lead.select("bucket", (-F.col("lead.minus")).alias("lead"), F.col("lead.score").alias("lead_score"), F.col("lead.n").alias("m")), "bucket"))
-    shelf.drop(held, score)
+    own = payload(score.select("id"))
+    own = shelf.put(own) if keep else own
+    lead = held.join(score, "id").groupBy("bucket").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"), "n")).alias("lead"))
+    lead = lead.select("bucket", (-F.col("lead.minus")).alias("lead"), F.col("lead.score").alias("lead_score"), F.col("lead.n").alias("m"))
 
     def links(pairs: DataFrame) -> DataFrame:
         u, v = (own.select(F.col("id").alias(k), F.col("own").alias(f"own_{k}")) for k in "uv")
         return shelf.put(pairs.join(u, "u").join(v, "v").where(check("own_u", "own_v")).select("u", "v"))
 
-    pairs = shelf.put(marked.where(f"id <> lead AND {could}").groupBy("id", "lead").agg(F.count("*").alias("count"), F.first("lead_score").alias("lead_score")))
+    pairs = shelf.put(held.join(lead, "bucket").where(f"id <> lead AND {could}").groupBy("id", "lead").agg(F.count("*").alias("count"), F.first("lead_score").alias("lead_score")))
     best = shelf.put(pairs.groupBy("id").agg(F.max_by("lead", F.struct("count", "lead_score", "lead")).alias("lead")))
     at = components(links(_ordered(best, "lead", "id")), shelf=shelf)
     rest = _apart(pairs.join(best, ["id", "lead"], "left_anti"), at, "lead", "id")
     at = components(links(_ordered(rest, "lead", "id")), at, shelf)
-    named = marked.join(at, "id", "left").select("bucket", "id", "n", "score", "members", F.coalesce("comp", "id").alias("comp"))
+    named = held.join(at, "id", "left").select("bucket", "id", "n", "members", F.coalesce("comp", "id").alias("comp"))
     kinds = named.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
     mixed = kinds.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("bucket", F.col("main.comp").alias("main"))
-    left = shelf.put(named.join(mixed, "bucket"))
-    shelf.drop(marked, best)
+    left = shelf.put(named.join(mixed, "bucket").join(score, "id"))
+    shelf.drop(held, best)
     stray = left.where("comp <> main").select("bucket", F.col("id").alias("id_"), F.col("n").alias("m"), F.col("comp").alias("comp_"), "members", "score")
     second = stray.where(f"members > {SMALL}").groupBy("bucket").agg(F.max_by(F.struct("id_", "m", "comp_"), F.struct("score", -F.col("id_"))).alias("s")).select("bucket", "s.*")
     few = stray.where(f"members <= {SMALL}").select("bucket", "id_", "m", "comp_")

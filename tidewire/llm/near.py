@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm import kernels as K
 from tidewire.llm.links import star_components
-from tidewire.llm.store import settle
+from tidewire.llm.store import lean, settle
 
 WORDS, SHARE = 5, 75
 BANDS, ROWS = 48, 5
@@ -110,6 +110,7 @@ def alike_sets(a: pa.Array, b: pa.Array) -> pa.Array:
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+    lean(docs)
     slim = settle(docs.select("doc_id", F.arrow_udf(sketch, SKETCH)(F.col("text")).alias("s")).select("doc_id", "s.*"))
     # one item for each word sequence: its smallest id
     items = settle(slim.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "bands")).alias("i")).select("k1", "k2", "i.*"))
@@ -129,8 +130,8 @@ def groups(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without those that aren't their group's first."""
-    gone = groups(docs).where("NOT kept").select(F.col("doc_id").alias("_gone_")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone_"), "left_anti")
+    gone = groups(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.alias("all").join(gone.alias("gone"), F.col("all.doc_id") == F.col("gone.doc_id"), "left_anti")
 
 
 #: Exact links by counting shared shingles, then a recursive walk: for small tables only.

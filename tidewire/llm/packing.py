@@ -11,7 +11,8 @@ number of different lengths (at most ``length``), not on that of pieces: the dri
 sees one histogram of at most ``length`` rows.
 
 Pieces get their places by rank among the pieces of their length. Ranks come from
-counts by (length, bucket of id hash) and row numbers within these, so no length's
+counts by (length, bucket of id hash) and row numbers within these. A length has a bucket for
+each EACH of its pieces (more a bucket only beyond MOST buckets in all), so no length's
 pieces meet in one task, even when a third of all have it.
 
 A null or empty text is the end id alone (one piece of length 1). Equal lengths are
@@ -31,9 +32,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm import kernels as K
-from tidewire.llm.store import settle
+from tidewire.llm.store import lean, settle
 
-LENGTH, END, BUCKETS = 1024, 2, 256
+LENGTH, END = 1024, 2
+#: Pieces of a bucket about, and buckets of all lengths about, at most.
+EACH, MOST = 512, 1 << 20
 #: Different parts of words whose ids a worker remembers.
 MEMO = 250_000
 #: Letters (two bytes at most) beside which the byte classes below agree with the tokenizer's; texts with other signs are split by the tokenizer itself.
@@ -240,13 +243,15 @@ def placed(bins: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.ndarra
 
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every row of ``docs``. tokenizer: path of a file for ``tokenizers``, on every machine."""
-    cells = docs.select("doc_id", F.explode(pieces_of(tokenizer, length)(F.col("text"))).alias("p")).select("doc_id", "p.*")
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int")
-    cells = settle(cells.withColumn("bucket", bucket))
+    cells = lean(docs).select("doc_id", F.explode(pieces_of(tokenizer, length)(F.col("text"))).alias("p")).select("doc_id", "p.*")
+    cells = settle(cells.withColumn("hash", F.xxhash64("doc_id", "piece", "ids_crc32")))
+    stock = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``length`` rows
+    each = max(EACH, sum(stock.values()) // MOST)
+    many = docs.sparkSession.createDataFrame([(k, 1 + n // each) for k, n in stock.items()], "length long, many int")
+    cells = cells.join(F.broadcast(many), "length").withColumn("bucket", F.expr("int(pmod(hash, many))")).drop("hash", "many")
     counts = cells.groupBy("length", "bucket").count()
     before = F.sum("count").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     counts = settle(counts.withColumn("before", F.coalesce(before, F.lit(0))))
-    stock = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most ``length`` rows
     table = placed(fill(stock, length))
 
     def place(size: pa.Array, rank: pa.Array) -> pa.Array:
@@ -262,7 +267,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
                 offset[own] = rows[at, 3] + into % n * size[own]
         return pa.StructArray.from_arrays([pa.array(sequence), pa.array(offset)], ["sequence_id", "offset"])
 
-    # at most BUCKETS counts a length, BUCKETS * length rows in all
+    # at most MOST + length counts
     ranked = cells.join(F.broadcast(counts.select("length", "bucket", "before")), ["length", "bucket"])
     within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "start"))
     ranked = ranked.withColumn("rank", F.col("before") + within - 1)

@@ -7,7 +7,8 @@ sparse dot product and a bias through the logistic function.
 
 Fitting reads a bounded sample: the ``sample`` labelled rows of smallest
 ``xxhash64(doc_id)``, so the model and the driver's memory have one size at any
-scale. Only these few ids are broadcast. Scores are made for every row and whole text.
+scale. Only these few ids are broadcast; a row comes to the driver as its distinct places, so the
+longest text takes 8 * 2**bits bytes. Scores are made for every row and whole text.
 
 Nulls and empty texts have no tokens: their score is that of the bias alone. With no
 usable label the score is 0.5, with labels of one kind the bias learns it. Repeated
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm import kernels as K
+from tidewire.llm.store import lean
 
 KIND = np.full(256, 3, np.uint8)
 KIND[K.SPACE] = 0
@@ -155,12 +157,12 @@ def scorer(weights: np.ndarray, bits: int = 18) -> Callable:
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label: str = "quality", **how) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
-    score = scorer(fit(docs, labels, label, **how), how.get("bits", 18))
+    score = scorer(fit(lean(docs), labels, label, **how), how.get("bits", 18))
     made = docs.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), score(F.col("text")).alias("score"))
     return made.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **how) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is at least ``threshold``. Labels only fit the model; they never decide a row."""
-    score = scorer(fit(docs, labels, **how), how.get("bits", 18))
+    score = scorer(fit(lean(docs), labels, **how), how.get("bits", 18))
     return docs.where(score(docs["text"]) >= threshold)

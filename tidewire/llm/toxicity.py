@@ -5,7 +5,9 @@ and repetition (idiiiot). Words that may be disguised are decoded by Viterbi sea
 over a lattice: each sign may stand for itself, for letters it looks like, or for nothing
 (a separator, a repeated letter), at fixed channel costs; a language model of letter
 trigrams says which reading is likely. Its counts cover every text of the corpus: each
-task sums its own table of at most SYMBOLS**3 counts. Other words are as they were.
+task sums its own table of at most SYMBOLS**3 counts. Other words are as they were. The search keeps the BEAM best
+states a sign (of 28 x 28 pairs of symbols and the last sign read), so it is exact unless the best reading was worse than BEAM others midway;
+words and runs are decoded whole, at any length.
 
 The score is a logistic regression on the presence of hashed words of the restored text,
 fitted by follow-the-regularised-leader updates on a bounded sample of labelled rows
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm import kernels as K
 from tidewire.llm import quality
+from tidewire.llm.store import lean
 
 #: Blank, a to z, and one symbol for all other letters.
 SYMBOLS = 28
@@ -257,7 +260,7 @@ def learn(parsed: list[np.ndarray], y: np.ndarray, bits: int, least: int, epochs
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, bits: int = 20, **how) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
-    costs = language_model(docs)
+    costs = language_model(lean(docs))
     weights = fit(docs, labels, costs, bits, **how)
 
     def score(text: pa.Array) -> pa.Array:
