@@ -47,7 +47,7 @@ BLOCK = 1 << 21
 
 @dataclass(frozen=True)
 class Shape:
-    """Samples a second, samples of a frame and between frames, the frequencies that count, and successive keys of which one is a landmark."""
+    """Samples a second, samples of a frame and between frames, the frequencies that count, successive keys of which one is a landmark, and the difference (of logarithms) from which one side of a filter is well above the other."""
 
     rate: int = 11025
     frame: int = 4096
@@ -55,6 +55,7 @@ class Shape:
     low: float = 60.0
     high: float = 3520.0
     span: int = 8
+    level: float = 0.25
 
     def fold(self) -> np.ndarray:
         """Which pitch class each frequency of a frame's spectrum belongs to (rows: frequencies)."""
@@ -66,8 +67,8 @@ class Shape:
 
 
 AUDIO = Shape()
-#: 8 Hz between frequencies: neighbouring semitones are apart from 140 Hz on.
-TEXT = Shape(rate=2048, frame=256, hop=64, low=120.0, high=1000.0)
+#: 8 Hz between frequencies: neighbouring semitones are apart from 140 Hz on. The spectrum of texts is even, so small differences count.
+TEXT = Shape(rate=2048, frame=256, hop=64, low=120.0, high=1000.0, level=0.1)
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -79,7 +80,7 @@ def filters() -> list[tuple[int, int, int, int]]:
     return [(k % 4, 3 * k % 7, (2, 4, 6)[k % 3] if k % 4 != 1 else 6, (8, 12, 15, 16)[k // 4]) for k in range(16)]
 
 
-def _packed(chroma: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def _packed(chroma: np.ndarray, starts: np.ndarray, mid: float = 0.25) -> np.ndarray:
     """The integer of the window at each of ``starts`` (frames)."""
     image = np.zeros((len(chroma) + 1, 13))
     image[1:, 1:] = chroma.cumsum(axis=0).cumsum(axis=1)
@@ -102,7 +103,7 @@ def _packed(chroma: np.ndarray, starts: np.ndarray) -> np.ndarray:
             p = box(0, w // 2, y, y + h // 2) + box(w // 2, w // 2 * 2, y + h // 2, y + h)
             q = box(0, w // 2, y + h // 2, y + h) + box(w // 2, w // 2 * 2, y, y + h // 2)
         d = np.log((p + 0.05) / (q + 0.05))
-        level = (d > -0.25).astype(np.uint32) + (d > 0) + (d > 0.25)
+        level = (d > -mid).astype(np.uint32) + (d > 0) + (d > mid)
         packed = packed << np.uint32(2) | (level ^ level >> np.uint32(1)).astype(np.uint32)
     return packed
 
@@ -134,7 +135,7 @@ def codes(recordings: list[np.ndarray], shape: Shape = AUDIO) -> list[np.ndarray
     while a < len(recordings):
         b = max(a + 1, int(np.searchsorted(first + n, first[a] + (1 << 14), "right")))
         own = starts[ends[a] - m[a] : ends[b - 1]] - first[a]
-        packed = _packed(np.round(chroma[first[a] : first[b - 1] + n[b - 1]].astype(float), 6), own)
+        packed = _packed(np.round(chroma[first[a] : first[b - 1] + n[b - 1]].astype(float), 6), own, shape.level)
         out += np.split(packed, (ends[a:b] - (ends[a] - m[a]))[:-1])
         a = b
     return out
