@@ -18,8 +18,9 @@ def one(spark, column, **values):
 
 
 @pytest.mark.parametrize(("url", "want"), [
-    ("https://www.Example.com/path/to/story/?utm_source=rss&id=42#fragment", "https://example.com/path/to/story?id=42"),
+    ("https://www.News-Site.org/a/b//?UTM_medium=mail&page=7&fbclid=1#c", "https://news-site.org/a/b?page=7"),
     ("http://example.com:80", "http://example.com/"), ("https://a.www.example.com:8443/x/", "https://a.www.example.com:8443/x"),
+    ("https://example.com/?q=a%20b", "https://example.com/?q=a+b"), ("https://example.com/?q=a b", "https://example.com/?q=a+b"), ("https://example.com/?q=a+b&t=%7E*", "https://example.com/?q=a+b&t=~%2A"),
     ("https://user:pw@example.com/?from=x&b=", "https://example.com/?b="), ("", ""),
 ])
 def test_canonical_url(spark, url, want):
@@ -39,10 +40,20 @@ def test_text_expressions(spark):
     assert one(spark, T.title_parts(F.lit("a // b"))[0]) == "a" and one(spark, T.title_parts(F.lit("a // b"))[1]) == "b"
     assert one(spark, T.author(F.lit("x@y.z (Jo Do)"))) == "Jo Do"
     assert one(spark, T.snippet(F.lit("No. The cat sat. End."), F.array(F.lit("cat")))) == "The cat sat."
-    assert one(spark, T.best_passage(F.lit("A cat. A dog. A cat and dog."), F.array(F.lit("cat"), F.lit("dog")), 2)) == "A cat. A cat and dog."
+    pair = F.array(F.lit("cat"), F.lit("dog"))
+    assert one(spark, T.best_passage(F.lit("A cat. No. A dog. A cat and dog."), pair, 2)) == "A cat and dog. A cat."
+    assert one(spark, T.best_passage(F.lit("Nothing here at all."), pair, 2, 7)) == "Nothing" and one(spark, T.best_passage(F.lit("A cat. A cat and dog."), pair, 3, 9)) == "A cat and"
+    assert one(spark, T.unescape(F.lit("a&#1071;b&#x42F; &#0; &amp;#65; &#39"))) == "aЯbЯ &#0; &#65; '"
+    assert one(spark, T.sentences(F.lit("  One.  0 two 0. 1 three 1."))) == ["One.", "0 two 0.", "1 three 1."]
+    assert one(spark, T.rerank_document(F.lit(" T "), F.lit(None).cast("string"), F.lit("A cat. No."), pair)) == "T\nA cat."
+    assert one(spark, T.digest_content(F.array(F.lit("x"), F.lit("y")), F.array().cast("array<string>"), F.lit("lead"), F.lit("lead"), F.lit(600))) == "topics: x, y\nlead"
+    assert [one(spark, T.digest_budget(F.lit(n), 8000, 500)) for n in (0, 1, 10, 100)] == [1200, 1400, 1125, 600]
+    assert one(spark, T.is_smalltalk(F.lit("  Как   дела "))) and not one(spark, T.is_smalltalk(F.lit("дела")))
+    assert one(spark, T.is_refusal(F.lit("... не транслирует  мнение своих разработчиков"))) and one(spark, T.is_refusal(F.lit(None).cast("string"))) is False
+    assert one(spark, T.explanation(F.lit("m"), F.array(F.lit("e")), F.lit("title"), F.array().cast("array<string>"), F.array().cast("array<string>"), F.array(F.lit("k")), F.lit(True), F.lit("s"), F.lit(2))) == "retrieval=m | expansion=e | match in title | keywords=k | uncertain | source=s | grade=2"
     assert one(spark, T.is_breaking(F.lit("breaking: x"))) and one(spark, T.intent(F.lit("почему это важно"))[0]) == "CAPABILITY"
-    when, inferred = T.rfc2822(F.lit("Tue, 14 Apr 2026 10:00:00 +0300"))
-    assert str(one(spark, when.cast("string"))) == "2026-04-14 07:00:00" and one(spark, inferred) is False
+    when, inferred = T.rfc2822(F.lit("Sun, 03 Mar 2024 23:30:05 -0130"))
+    assert str(one(spark, when.cast("string"))) == "2024-03-04 01:00:05" and one(spark, inferred) is False
     assert one(spark, T.rfc2822(F.lit("garbage"))[0]) is None
 
 
@@ -110,3 +121,40 @@ def test_streams_equal_batches(spark, tmp_path):
     twice = stream.union(stream)
     stateful.deduplicated(twice.withColumn("id", F.concat_ws("-", "key", "seq")), "id", "ts").writeStream.format("memory").queryName("once").option("checkpointLocation", f"{tmp_path}/ck2").trigger(availableNow=True).start().awaitTermination(90)
     assert spark.table("once").count() == len(rows)
+
+
+def test_plugins_and_chunks(spark):
+    import pyarrow as pa
+
+    from tidewire import plugins
+    from tidewire.operators import articles
+
+    docs = spark.createDataFrame([(1, "Paris and Lyon. Paris!"), (2, None), (3, "")], "doc_id long, text string")
+    got = {(r["doc_id"], r["entity"]): (r["mentions"], r["name"]) for r in articles.entity_mentions(plugins.entities(docs), spark.createDataFrame([("lyon", "lugdunum")], "alias string, entity string")).collect()}
+    assert got == {(1, "paris"): (2, "Paris"), (1, "lugdunum"): (1, "Lyon")}
+
+    def make():
+        return lambda batch: pa.RecordBatch.from_arrays([batch.column(0), pa.array([["x"]] * batch.num_rows)], ["doc_id", "lemmas"])
+
+    assert {tuple(r["lemmas"]) for r in plugins.lemmas(docs, make).collect()} == {("x",)}
+    assert len(plugins.embeddings(docs).first()["vector"]) == 64
+    at, weight = plugins.lexical_weights(F.expr("map(7, 0.5, 3, 0.0, 2, 1.0)"))
+    assert one(spark, at) == [2, 7] and [float(x) for x in one(spark, weight)] == [1.0, 0.5]
+    body = " ".join(f"Sentence number {i} has six words." for i in range(40))
+    rows = spark.createDataFrame([(1, " Title ", body, None), (2, "", "  ", "Lead only."), (3, None, None, None)], "doc_id long, title string, body string, fallback string")
+    made = sorted(articles.chunks(rows, 60, 12).collect(), key=lambda r: (r["doc_id"], r["chunk_index"]))
+    first = [r for r in made if r["doc_id"] == 1]
+    assert (first[0]["zone"], first[0]["text"]) == ("title", "Title") and {r["total_chunks"] for r in first} == {len(first)}
+    assert [(r["start"], r["end"]) for r in first[1:]] == [(r["start"], r["start"] + len(r["text"])) for r in first[1:]] and all(body[r["start"] : r["end"]] == r["text"] for r in first[1:])
+    assert all(r["tokens"] <= 60 for r in first) and all(b["start"] < a["end"] for a, b in zip(first[1:], first[2:], strict=False))
+    assert [(r["doc_id"], r["text"]) for r in made if r["doc_id"] > 1] == [(2, "Lead only.")]
+
+
+def test_cooldown_stream(spark, tmp_path):
+    rows = [(k, f"2026-01-01 0{h}:{m:02d}:00") for k in ("a", "b") for h, m in ((0, 0), (0, 20), (0, 31), (0, 50), (1, 1), (2, 0))]
+    df = spark.createDataFrame(rows, "key string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    stateful.cooled_down(stream).writeStream.format("memory").queryName("cooled").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination(90)
+    got = sorted((r["key"], r["ts"].strftime("%H:%M")) for r in spark.table("cooled").collect())
+    assert got == [(k, t) for k in ("a", "b") for t in ("00:00", "00:31", "01:01", "02:00")]

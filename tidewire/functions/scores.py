@@ -17,7 +17,7 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
 
 
 def mapping(key: Column, table: dict, default) -> Column:
-    return reduce(lambda other, kv: F.when(key == kv[0], F.lit(kv[1])).otherwise(other), table.items(), F.lit(default))
+    return reduce(lambda other, kv: F.when(key == kv[0], F.lit(kv[1])).otherwise(other), table.items(), F.lit(default))  # null keys get the default
 
 
 def grade(reliability: Column, cluster_sources: Column, contradiction: Column) -> Column:
@@ -178,3 +178,46 @@ def jitter(key: Column, interval: Column, ratio: float) -> Column:
     """A stable shift within +-ratio of the interval, from a hash of the key."""
     unit = F.conv(F.substring(F.sha2(key.cast("string"), 256), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
     return (unit * 2 - 1) * ratio * interval
+
+
+def duration(started: Column, finished: Column) -> Column:
+    """Seconds between two times, 0 at least."""
+    return F.greatest(F.lit(0.0), (F.unix_micros(finished) - F.unix_micros(started)) / 1e6)
+
+
+# Hours after which a source is late, by key; seconds that results are cached, by kind of information.
+STALE_HOURS = {"tass": 1.0, "ria": 1.0, "lenta": 2.0, "ixbt": 12.0, "habr": 6.0, "kommersant_main": 24.0, "aif_articles": 24.0}
+CACHE_SECONDS = {"breaking": 120, "daily": 300, "analytics": 1800, "reference": 3600}
+
+
+def expected_staleness(key: Column, interval: Column, table: dict[str, float] = STALE_HOURS) -> Column:
+    """Hours after which a source is late: stated by key, else a fifteenth of its interval (minutes), 1 at least."""
+    return F.coalesce(mapping(key, table, None).cast("double"), F.greatest(F.lit(1.0), interval / 15.0))
+
+
+def staleness(latest: Column, as_of: Column, expected: Column) -> Column:
+    return F.try_divide((F.unix_micros(as_of) - F.unix_micros(latest)) / 3.6e9, F.when(expected > 0, expected))
+
+
+def next_interval(health_: Column, streak: Column, interval: Column, base: Column) -> Column:
+    """Twice the base at least while health is yellow or red; the base again after three successes in green."""
+    return F.when(health_.isin("yellow", "red"), F.greatest(interval, base * 2)).when((health_ == "green") & (streak >= 3), base).otherwise(interval)
+
+
+def cache_seconds(kinds: Column) -> Column:
+    """Seconds for which results of these kinds may be cached: that of the most urgent; of a day's news for none or unknown ones."""
+    known = F.transform(kinds, lambda k: mapping(k, CACHE_SECONDS, None).cast("int"))
+    return F.coalesce(F.array_min(known), F.lit(CACHE_SECONDS["daily"]))
+
+
+def candidate_limit(limit: Column) -> Column:
+    return F.greatest(F.lit(30), F.least(F.lit(100), limit * 5)).cast("int")
+
+
+def needs_correction(cited: Column, unsupported: Column, groundedness: Column, floor: float = 0.45) -> Column:
+    return ~cited | unsupported | (groundedness < floor)
+
+
+def quality_key(cited: Column, unsupported: Column, groundedness: Column, label: Column) -> Column:
+    """Answers compare by this: valid citations, no unsupported claim, groundedness, confidence."""
+    return F.struct(cited.cast("int").alias("a"), (~unsupported).cast("int").alias("b"), groundedness.alias("c"), mapping(label, {"LOW": 0, "MEDIUM": 1, "HIGH": 2, "TOP": 3}, 0).cast("int").alias("d"))

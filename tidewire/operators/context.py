@@ -33,22 +33,21 @@ def within_budget(docs: DataFrame, budget: int, overhead: Column) -> DataFrame:
 
 
 def chunk_windows(tokens: list[int], most: int = 420, overlap: int = 70) -> list[tuple[int, int]]:
-    """[first, last) sentence windows of at most ``most`` tokens (one sentence at least), each reaching back at least ``overlap`` tokens."""
-    out, a = [], 0
-    while a < len(tokens):
-        b, size = a, 0
-        while b < len(tokens) and (b == a or size + tokens[b] <= most):
-            size += tokens[b]
-            b += 1
-        out.append((a, b))
-        if b == len(tokens):
-            break
-        back, c = 0, b
-        while c > a and back < overlap:
-            c -= 1
-            back += tokens[c]
-        a = max(a + 1, c)
-    return out
+    """[first, last) sentence windows of at most ``most`` tokens (one sentence at least), each reaching back at least ``overlap`` tokens.
+
+    Both borders are places in the running sum of tokens: a window ends at the last sum within
+    ``most`` of its start, and the next starts at the last sum that lies ``overlap`` before that end.
+    """
+    import numpy as np
+
+    n, upto = len(tokens), np.concatenate([[0], np.cumsum(tokens)])
+    place = np.arange(n)
+    ends = np.maximum(place + 1, np.searchsorted(upto, upto[:-1] + most, "right") - 1)
+    following = np.maximum(place + 1, np.searchsorted(upto, upto[ends] - overlap, "right") - 1) if n else place
+    starts = [0] if n else []
+    while starts and ends[starts[-1]] < n:
+        starts.append(int(following[starts[-1]]))
+    return [(a, int(ends[a])) for a in starts]
 
 
 def sentence_chunks(docs: DataFrame, most: int = 420, overlap: int = 70) -> DataFrame:

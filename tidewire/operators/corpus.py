@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
+from tidewire.sources.store import settle
 
 
 def terms(docs: DataFrame, least: int = 1, keep=None) -> DataFrame:
@@ -41,13 +42,16 @@ def pairs(docs: DataFrame, least: int = 2) -> DataFrame:
 
 
 def collocations(docs: DataFrame, least: int = 2, frequency: int = 5, pmi: float = 3.0) -> DataFrame:
-    """(term_a, term_b, pmi_score, frequency) of neighbours that are seen together more than chance has it (natural logarithm)."""
-    # counted first, so that the rules run once a pair or term
-    seen = pairs(docs, least).groupBy("a", "b").agg(F.count("*").alias("n")).where(_after(F.col("n") > 0, T.is_informative_pair(F.col("a"), F.col("b"))))
-    single = terms(docs, least).groupBy("term").agg(F.count("*").alias("n")).where(_after(F.col("n") > 0, T.is_informative(F.col("term"))))
-    total = seen.agg(F.sum("n").alias("pairs")).crossJoin(single.agg(F.sum("n").alias("singles")))  # one row
+    """(term_a, term_b, pmi_score, frequency) of neighbours that are seen together more than chance has it (natural logarithm).
+
+    The rule on terms runs once a distinct term; pairs are joined to the terms that pass, counted, and written once for both of their uses.
+    """
+    single = settle(terms(docs, least).groupBy("term").agg(F.count("*").alias("n")).where(_after(F.col("n") > 0, T.is_informative(F.col("term")))))
     a, b = (single.select(F.col("term").alias(k), F.col("n").alias(f"n_{k}")) for k in "ab")
-    rows = seen.where(F.col("n") >= frequency).join(a, "a").join(b, "b").crossJoin(F.broadcast(total))
+    counted = pairs(docs, least).where(F.translate("a", "ё", "е") != F.translate("b", "ё", "е")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    seen = settle(counted.join(a, "a").join(b, "b"))
+    total = seen.agg(F.sum("n").alias("pairs")).crossJoin(single.agg(F.sum("n").alias("singles")))  # one row
+    rows = seen.where(F.col("n") >= frequency).crossJoin(F.broadcast(total))
     score = F.ln((F.col("n") / F.col("pairs")) / ((F.col("n_a") / F.col("singles")) * (F.col("n_b") / F.col("singles"))))
     return rows.withColumn("pmi_score", score).where(F.col("pmi_score") >= pmi).select(F.col("a").alias("term_a"), F.col("b").alias("term_b"), F.round("pmi_score", 4).alias("pmi_score"), F.col("n").alias("frequency"))
 
@@ -67,11 +71,15 @@ def keywords(docs: DataFrame, count: int = 8, least: int = 4) -> DataFrame:
     return tfidf(docs, least).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= count)
 
 
-def sparse_vectors(docs: DataFrame, least: int = 2, digits: int = 8) -> DataFrame:
-    """(doc_id, idx, val): token shares summed by hashed index."""
-    tf = terms(docs, least).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    size = tf.groupBy("doc_id").agg(F.sum("tf").alias("size"))
-    return tf.join(size, "doc_id").groupBy("doc_id", T.hash_number(F.col("term"), digits).alias("idx")).agg(F.round(F.sum(F.col("tf") / F.col("size")), 6).alias("val"))
+def sparse_vectors(docs: DataFrame, least: int = 2, digits: int = 8, wanted: DataFrame | None = None) -> DataFrame:
+    """(doc_id, idx, val): token shares summed by hashed index. wanted: the indices (idx) that are asked for; others go before they are shuffled."""
+    w = T.words(F.col("text"), least)
+    # tokens are a column first: what stands beside an explode is computed once a row it makes
+    tf = docs.select("doc_id", w.alias("w")).select("doc_id", F.size("w").alias("size"), F.explode("w").alias("term"))
+    if wanted is not None:
+        tf = tf.withColumn("idx", T.hash_number(F.col("term"), digits)).join(wanted.select("idx").distinct(), "idx", "left_semi")
+    tf = tf.groupBy("doc_id", "term", "size").agg(F.count("*").alias("tf"))
+    return tf.groupBy("doc_id", T.hash_number(F.col("term"), digits).alias("idx")).agg(F.round(F.sum(F.col("tf") / F.col("size")), 6).alias("val"))
 
 
 def sparse_dot(index: DataFrame, queries: DataFrame, limit: int) -> DataFrame:

@@ -26,9 +26,8 @@ def knn(vectors: DataFrame, queries: DataFrame, limit: int, where: Column | None
     by partition are merged, so no query's candidates meet in one task.
     """
     base = vectors if where is None else vectors.where(where)
-    dims = 1024
-    n = queries.count()
-    blocks = max(1, -(-n * dims // BROADCAST_NUMBERS))
+    numbers = queries.agg(F.sum(F.size("vector"))).first()[0] or 0
+    blocks = max(1, -(-numbers // BROADCAST_NUMBERS))
     parts = []
     for b in range(blocks):
         own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries

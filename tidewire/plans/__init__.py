@@ -1,6 +1,6 @@
 """The registered queries of the engine."""
 
-from tidewire.plans import context, corpus, events, pages, personal, relational, retrieval  # noqa: F401
+from tidewire.plans import answers, articles, context, corpus, events, pages, personal, relational, retrieval  # noqa: F401
 from tidewire.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -90,7 +90,7 @@ URL = """regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)),
 
 
 @query(f"""WITH p AS (SELECT page_id, lower(regexp_extract(trim(url), '^([A-Za-z]+):', 1)) AS scheme, {URL} AS host, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS q FROM pages),
-k AS (SELECT *, list_transform(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT starts_with(lower(string_split(x, '=')[1]), 'utm_') AND lower(string_split(x, '=')[1]) NOT IN ('yclid', 'ysclid', 'gclid', 'fbclid', 'from', 'fromrss', 'fromtg')), lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END) AS kept FROM p)
+k AS (SELECT *, list_transform(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT starts_with(lower(string_split(x, '=')[1]), 'utm_') AND lower(string_split(x, '=')[1]) NOT IN ('yclid', 'ysclid', 'gclid', 'fbclid', 'from', 'fromrss', 'fromtg')), lambda x: replace(url_encode(url_decode(replace(string_split(x, '=')[1], '+', ' '))), '%20', '+') || '=' || replace(url_encode(url_decode(replace(CASE WHEN contains(x, '=') THEN regexp_replace(x, '^[^=]*=', '') ELSE '' END, '+', ' '))), '%20', '+')) AS kept FROM p)
 SELECT page_id, scheme || '://' || host || CASE WHEN path IN ('', '/') THEN '/' ELSE regexp_replace(path, '/+$', '') END || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url FROM k""")
 def canonical_url(t):
     return t.pages.select("page_id", T.canonical_url(F.col("url")).alias("url"))
@@ -102,9 +102,14 @@ def url_dedup(t):
     return t.pages.groupBy(place.alias("place")).agg(F.min("page_id").alias("page_id"), F.count("*").alias("copies"))
 
 
-@query("SELECT page_id, md5(lower(trim(regexp_replace(coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), '\\s+', ' ', 'g')))) AS title_hash FROM pages WHERE NOT contains(regexp_extract(html, '<title>([^<]*)</title>', 1), '&')")
+UNESCAPED = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
+for _k, _v in T.ENTITIES.items():
+    UNESCAPED = f"replace({UNESCAPED}, '&{_k};', '" + _v.replace("'", "''") + "')"
+
+
+@query(f"SELECT page_id, md5(lower(trim(regexp_replace(replace(coalesce({UNESCAPED}, ''), '&amp;', '&'), '\\s+', ' ', 'g')))) AS title_hash FROM pages")
 def title_hash(t):
-    return t.pages.where(~F.regexp_extract("html", "<title>([^<]*)</title>", 1).contains("&")).select("page_id", T.title_hash(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title_hash"))
+    return t.pages.select("page_id", T.title_hash(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title_hash"))
 
 
 @query()

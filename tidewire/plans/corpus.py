@@ -71,7 +71,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9
 def tfidf_sparse_search(t):
     q = t.benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.words(F.col("text"), 3))).alias("term"))
     q = q.groupBy("query_id", T.hash_number(F.col("term")).alias("idx")).agg(F.count("*").cast("double").alias("val"))
-    return C.sparse_dot(C.sparse_vectors(t.documents), q, 20).withColumn("score", F.round("score", 6))
+    return C.sparse_dot(C.sparse_vectors(t.documents, wanted=q), q, 20).withColumn("score", F.round("score", 6))
 
 
 BM25 = f"""{QUERY_TERMS}, t AS (SELECT doc_id, unnest(list_filter({WORDS}, lambda w: length(w) >= 3)) AS term FROM documents),

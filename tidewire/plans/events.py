@@ -122,31 +122,31 @@ PAIRS = """i AS (SELECT event_id AS id, event_type AS lang, epoch_us(ts) // 1000
 r AS (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY other_at DESC, other DESC) AS rank FROM p), k AS (SELECT * FROM r WHERE rank <= {n})"""
 
 
-def cosine_pairs(t, hours, newest):
+def cosine_pairs(t):
     items = t.events.select(F.col("event_id").alias("id"), F.col("event_type").alias("lang"), F.col("ts").cast("timestamp").alias("ts"))
-    pairs = E.cluster_pairs(items, hours, newest)
-    vec = t.embeddings.select("vec_id", "embedding")
-    v = lambda k, as_: vec.select(F.col("vec_id").alias(f"v_{k}"), F.col("embedding").alias(as_))
-    rows = pairs.withColumn("v_id", F.col("id") % 500).withColumn("v_other", F.col("other") % 500).join(F.broadcast(v("id", "a")), "v_id").join(F.broadcast(v("other", "b")), "v_other")
-    return rows.select("id", "other", "rank", S.cosine(F.col("a"), F.col("b")).alias("score"))
+    pairs = E.cluster_pairs(items).withColumn("v_id", F.col("id") % 500).withColumn("v_other", F.col("other") % 500)
+    v = lambda k, as_: t.embeddings.select(F.col("vec_id").alias(f"v_{k}"), F.col("embedding").alias(as_))
+    # many events share a vector here: each pair of vectors is compared once
+    score = pairs.select("v_id", "v_other").distinct().join(v("id", "a"), "v_id").join(v("other", "b"), "v_other").select("v_id", "v_other", S.cosine(F.col("a"), F.col("b")).alias("score"))
+    return pairs.join(score, ["v_id", "v_other"]).select("id", "other", "rank", "score")
 
 
-@query(f"""WITH {PAIRS.format(s=3600, n=100)} SELECT id, other, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS score FROM k JOIN embeddings a ON a.vec_id = id % 500 JOIN embeddings b ON b.vec_id = other % 500 WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.2""")
+@query(f"""WITH {PAIRS.format(s=172800, n=100)} SELECT id, other, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS score FROM k JOIN embeddings a ON a.vec_id = id % 500 JOIN embeddings b ON b.vec_id = other % 500 WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.2""")
 def event_cluster_pairs(t):
-    return cosine_pairs(t, 1, 100).where("score >= 0.2").select("id", "other", F.round("score", 5).alias("score"))
+    return cosine_pairs(t).where("score >= 0.2").select("id", "other", F.round("score", 5).alias("score"))
 
 
-@query(f"""WITH RECURSIVE {PAIRS.format(s=3600, n=100)}, e AS (SELECT id AS u, other AS v FROM k JOIN embeddings a ON a.vec_id = id % 500 JOIN embeddings b ON b.vec_id = other % 500 WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.35),
+@query(f"""WITH RECURSIVE {PAIRS.format(s=172800, n=100)}, e AS (SELECT id AS u, other AS v FROM k JOIN embeddings a ON a.vec_id = id % 500 JOIN embeddings b ON b.vec_id = other % 500 WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.5),
 b2 AS (SELECT u, v FROM e UNION SELECT v, u FROM e), w AS (SELECT event_id AS id, event_id AS got FROM events UNION SELECT w.id, b2.v FROM w JOIN b2 ON w.got = b2.u) SELECT id, min(got) AS cluster FROM w GROUP BY id""")
 def event_cluster_labels(t):
-    edges = cosine_pairs(t, 1, 100).where("score >= 0.35").select(F.col("id").alias("u"), F.col("other").alias("v"))
+    edges = cosine_pairs(t).where("score >= 0.5").select(F.col("id").alias("u"), F.col("other").alias("v"))
     return E.cluster_labels(settle(edges), t.events.select(F.col("event_id").alias("id")), settle)
 
 
 @query()
 def event_clusters_online(t):
-    rows = t.events.where("event_type = 'error'").select(F.col("event_type").alias("lang"), F.col("event_id").alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), (F.col("event_id") % 500).alias("vec_id"))
-    return E.online_clusters(rows.join(t.embeddings.select("vec_id", F.col("embedding").alias("vector")), "vec_id"), 0.35, 1)
+    rows = t.events.select(F.col("event_type").alias("lang"), F.col("event_id").alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), (F.col("event_id") % 500).alias("vec_id"))
+    return E.online_clusters(rows.join(t.embeddings.select("vec_id", F.col("embedding").alias("vector")), "vec_id"), 0.5)
 
 
 @query("SELECT c_custkey AS id, CASE WHEN contradiction THEN 5 WHEN rel IN ('A', 'B') AND n >= 2 THEN 1 WHEN rel IN ('A', 'B') THEN 2 WHEN rel = 'C' THEN 3 WHEN rel IN ('D', 'E') THEN 4 ELSE 6 END AS grade, rel IN ('D', 'E') AND n <= 1 AS uncertain FROM (SELECT c_custkey, substr('ABCDEF', c_nationkey % 6 + 1, 1) AS rel, c_custkey % 4 AS n, c_custkey % 11 = 0 AS contradiction FROM customer)")

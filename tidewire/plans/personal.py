@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewire.functions import scores as S
+from tidewire.operators import events as E
 from tidewire.operators import personal as P
 from tidewire.operators.retrieval import ranked
 from tidewire.plans.registry import query
@@ -78,18 +79,26 @@ def digest_hash(t):
     return P.digest_hashes(P.digest(results(t), 12), "daily")
 
 
-@query("""WITH n AS (SELECT event_id AS news_id, user_id AS entity, event_type AS topic, value FROM events WHERE ts >= TIMESTAMP '2024-01-30'), u AS (SELECT c_custkey AS user_id, c_custkey % 150 AS entity, c_mktsegment FROM customer WHERE c_custkey <= 200),
-a AS (SELECT user_id, 'alert_news' AS alert_type, news_id, n.entity AS entity_id, NULL::VARCHAR AS topic_id, 0.9 AS score FROM n JOIN u ON n.entity = u.entity), b AS (SELECT user_id, 'breaking' AS alert_type, news_id, NULL::BIGINT AS entity_id, NULL::VARCHAR AS topic_id, 0.95 AS score FROM n, u WHERE topic = 'error' AND value > 90 AND user_id % 10 = 0),
-c AS (SELECT user_id, 'tracked_topic' AS alert_type, news_id, NULL::BIGINT AS entity_id, topic AS topic_id, 0.8 AS score FROM n JOIN u ON c_mktsegment = 'BUILDING' AND topic = 'purchase'), x AS (SELECT * FROM a UNION SELECT * FROM b UNION SELECT * FROM c),
-y AS (SELECT * FROM x WHERE NOT (alert_type = 'breaking' AND news_id % 2 = 0)), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, alert_type, news_id, entity_id NULLS FIRST, topic_id NULLS FIRST) AS rank FROM y) SELECT user_id, alert_type, news_id, entity_id, topic_id, score::DOUBLE AS score, rank FROM r WHERE rank <= 50""")
+@query("""WITH n AS (SELECT event_id AS news_id, user_id AS entity, event_type AS topic, value, props FROM events WHERE ts >= TIMESTAMP '2024-01-30'), u AS (SELECT c_custkey AS user_id, c_custkey % 150 AS entity, c_mktsegment, 'k": ' || (c_custkey % 100) || '}' AS keyword FROM customer),
+sp AS (SELECT entity FROM (SELECT user_id AS entity, count(*) FILTER (ts >= TIMESTAMP '2024-01-30' AND ts < TIMESTAMP '2024-01-31') AS cur, count(*) FILTER (ts < TIMESTAMP '2024-01-30') / 30.0 AS base FROM events GROUP BY ALL) WHERE cur >= 3 AND cur > 2 * base),
+a AS (SELECT user_id, 'alert_news' AS alert_type, news_id, n.entity AS entity_id, NULL::VARCHAR AS topic_id, 0.9 AS score FROM n JOIN u ON n.entity = u.entity), d AS (SELECT user_id, 'keyword_match' AS alert_type, news_id, NULL::BIGINT AS entity_id, keyword AS topic_id, 0.82 AS score FROM n JOIN u ON contains(props, keyword)),
+p AS (SELECT user_id, 'spike' AS alert_type, news_id, n.entity AS entity_id, NULL::VARCHAR AS topic_id, 0.85 AS score FROM n JOIN u ON n.entity = u.entity WHERE n.entity IN (SELECT entity FROM sp)),
+b AS (SELECT user_id, 'breaking' AS alert_type, news_id, NULL::BIGINT AS entity_id, NULL::VARCHAR AS topic_id, 0.95 AS score FROM n JOIN u ON c_mktsegment = 'MACHINERY' AND topic = 'error' AND value > 90 AND news_id % 2 = 1),
+c AS (SELECT user_id, 'tracked_topic' AS alert_type, news_id, NULL::BIGINT AS entity_id, topic AS topic_id, 0.8 AS score FROM n JOIN u ON c_mktsegment = 'BUILDING' AND topic = 'purchase'), x AS (SELECT * FROM a UNION SELECT * FROM b UNION SELECT * FROM c UNION SELECT * FROM d UNION SELECT * FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, alert_type, news_id, entity_id NULLS FIRST, topic_id NULLS FIRST) AS rank FROM x) SELECT user_id, alert_type, news_id, entity_id, topic_id, score::DOUBLE AS score, rank FROM r WHERE rank <= 50""")
 def alert_candidates(t):
-    n = t.events.where("ts >= '2024-01-30'").select(F.col("event_id").alias("news_id"), F.col("user_id").alias("entity"), F.col("event_type").alias("topic"), "value")
-    u = t.customer.where("c_custkey <= 200").select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 150).alias("entity"), "c_mktsegment")
+    """All five kinds for all customers. Breaking news and tracked topics go to everyone who follows a segment: of such a list, all of one score, nobody is shown more than the first 50, so only these are dealt out."""
+    n = t.events.where("ts >= '2024-01-30'").select(F.col("event_id").alias("news_id"), F.col("user_id").alias("entity"), F.col("event_type").alias("topic"), "value", "props")
+    u = t.customer.select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 150).alias("entity"), "c_mktsegment", (F.col("c_custkey") % 100).cast("string").alias("word"))
     none, no_id, s = F.lit(None).cast("string"), F.lit(None).cast("long"), P.ALERT_SCORES
     kind = lambda df, k, e, p: df.select("user_id", F.lit(k).alias("alert_type"), "news_id", e.alias("entity_id"), p.alias("topic_id"), F.lit(s[k]).alias("score"))
-    users = F.broadcast(u)  # subscribers of one shard, at most 200
-    a = kind(n.join(u, "entity"), "alert_news", F.col("entity"), none)
-    b = kind(n.where("topic = 'error' AND value > 90").crossJoin(users.where("user_id % 10 = 0").drop("entity")), "breaking", no_id, none)
-    c = kind(n.where("topic = 'purchase'").drop("entity").crossJoin(users.where("c_mktsegment = 'BUILDING'")), "tracked_topic", no_id, F.col("topic"))
-    cool = b.where("news_id % 2 = 0").select("user_id", "alert_type", "news_id").distinct()
-    return P.alerts([a, b, c], cool)
+    first = lambda rows: F.broadcast(rows.orderBy("news_id").limit(50).select("news_id", "topic"))  # noqa: E731  50 rows
+    day = F.lit("2024-01-31").cast("timestamp_ntz")
+    spikes = E.entity_profiles(t.events.select(F.col("user_id").alias("entity"), F.col("event_type").alias("source"), F.lit(1).alias("n"), "ts"), day).where("current >= 3 AND current > 2 * baseline").select("entity")
+    followed = n.join(u, "entity")
+    a, p = kind(followed, "alert_news", F.col("entity"), none), kind(followed.join(spikes, "entity", "left_semi"), "spike", F.col("entity"), none)
+    words = n.withColumn("word", F.regexp_extract("props", r"([0-9]+)\}", 1))  # one number a text here, so containment is equality
+    d = kind(words.drop("entity").join(u, "word"), "keyword_match", no_id, F.concat(F.lit('k": '), F.col("word"), F.lit("}")))
+    b = kind(first(n.where("topic = 'error' AND value > 90 AND news_id % 2 = 1")).crossJoin(u.where("c_mktsegment = 'MACHINERY'")), "breaking", no_id, none)
+    c = kind(first(n.where("topic = 'purchase'")).crossJoin(u.where("c_mktsegment = 'BUILDING'")), "tracked_topic", no_id, F.col("topic"))
+    return P.alerts([a, b, c, d, p])

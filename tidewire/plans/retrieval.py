@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewire.functions import scores as S
+from tidewire.functions import text as T
 from tidewire.operators import retrieval as R
 from tidewire.plans.corpus import BM25
 from tidewire.plans.registry import query
@@ -40,7 +41,10 @@ def ranking_metrics(t):
 
 
 LISTS = f"""{BM25}, a AS (SELECT query_id, 'lexical' AS list, doc_id AS id, rank FROM o WHERE rank <= 20),
-b AS (SELECT query_id, 'chars' AS list, id, rank FROM (SELECT item_id AS query_id, doc_id AS id, row_number() OVER (PARTITION BY item_id ORDER BY abs(n_chars - length(b.text)), doc_id) AS rank FROM documents d, benchmark b) WHERE rank <= 20),
+t2 AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 2)) AS term FROM documents), f2 AS (SELECT doc_id, term, count(*) AS tf FROM t2 GROUP BY ALL), z2 AS (SELECT doc_id, sum(tf) AS size FROM f2 GROUP BY doc_id),
+s2 AS (SELECT f2.doc_id, CAST('0x' || substr(sha256(f2.term), 1, 8) AS BIGINT) AS idx, round(sum(f2.tf::DOUBLE / z2.size), 6) AS val FROM f2 JOIN z2 ON f2.doc_id = z2.doc_id GROUP BY ALL),
+h2 AS (SELECT query_id, CAST('0x' || substr(sha256(term), 1, 8) AS BIGINT) AS idx, count(*)::DOUBLE AS w FROM q GROUP BY ALL), r2 AS (SELECT query_id, doc_id, sum(val * w) AS score FROM s2 JOIN h2 ON s2.idx = h2.idx GROUP BY ALL),
+b AS (SELECT query_id, 'sparse' AS list, doc_id AS id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM r2) WHERE rank <= 20),
 l AS (SELECT * FROM a UNION ALL SELECT * FROM b)"""
 
 
@@ -48,9 +52,9 @@ def lists_of(t):
     from tidewire.operators import corpus as C
 
     a = C.bm25(t.documents, t.benchmark.select(F.col("item_id").alias("query_id"), "text"), 20).select("query_id", F.lit("lexical").alias("list"), F.col("doc_id").alias("id"), "rank")
-    q = t.benchmark.select(F.col("item_id").alias("query_id"), F.char_length("text").alias("n"))
-    rows = t.documents.select(F.col("doc_id").alias("id"), "n_chars").crossJoin(F.broadcast(q))  # the benchmark is a dimension of fixed size
-    b = R.ranked(rows, ["query_id"], [F.abs(F.col("n_chars") - F.col("n")), F.col("id")], 20).select("query_id", F.lit("chars").alias("list"), "id", "rank")
+    q = t.benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.words(F.col("text"), 3))).alias("term"))
+    q = q.groupBy("query_id", T.hash_number(F.col("term")).alias("idx")).agg(F.count("*").cast("double").alias("val"))
+    b = C.sparse_dot(C.sparse_vectors(t.documents, wanted=q), q, 20).select("query_id", F.lit("sparse").alias("list"), F.col("doc_id").alias("id"), "rank")
     return a.union(b)
 
 
@@ -97,21 +101,23 @@ def final_score_blend(t):
     return t.lineitem.select(c("l_orderkey").alias("id"), c("l_linenumber").alias("line"), F.round(score, 4).alias("score"))
 
 
-TERMS4 = "q AS (SELECT item_id, text AS query, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda w: length(w) >= 3)) AS terms FROM benchmark WHERE item_id % 4 = 0)"
+TERMS4 = "q AS (SELECT item_id, text AS query, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda w: length(w) >= 3)) AS terms FROM benchmark)"
 
 
-@query(f"""WITH {TERMS4}, m AS (SELECT item_id, doc_id, len(list_filter(terms, lambda t: contains(lower(substr(d.text, 1, 80)), t)))::DOUBLE / len(terms) AS a, len(list_filter(terms, lambda t: contains(lower(substr(d.text, 1, 280)), t)))::DOUBLE / len(terms) AS b,
-len(list_filter(terms, lambda t: contains(lower(source), t)))::DOUBLE / len(terms) AS c, len(list_filter(terms, lambda t: contains(lower(substr(d.text, 1, 4000)), t)))::DOUBLE / len(terms) AS e FROM documents d, q WHERE doc_id < 1000000000)
-SELECT item_id, doc_id, round(0.42 * a + 0.24 * b + 0.22 * c + 0.12 * e, 6) AS match FROM m""")
+@query(f"""WITH {TERMS4}, {BM25.replace('q AS (SELECT DISTINCT', 'q0 AS (SELECT DISTINCT').replace('FROM q)', 'FROM q0)').replace('JOIN q ON', 'JOIN q0 q ON').replace('m AS (SELECT avg', 'm0 AS (SELECT avg').replace('doc_id, m)', 'doc_id, m0)')},
+h AS (SELECT q.item_id, d.doc_id, query, terms, d.text, lower(substr(d.text, 1, 80)) AS title, lower(substr(d.text, 1, 280)) AS lead, lower(source) AS meta, lower(substr(d.text, 1, 4000)) AS body FROM o JOIN q ON item_id = query_id JOIN documents d ON d.doc_id = o.doc_id WHERE rank <= 20),
+m AS (SELECT item_id, doc_id, 0.42::DOUBLE * (len(list_filter(terms, lambda t: contains(title, t)))::DOUBLE / len(terms)) + 0.24::DOUBLE * (len(list_filter(terms, lambda t: contains(lead, t)))::DOUBLE / len(terms)) + 0.22::DOUBLE * (len(list_filter(terms, lambda t: contains(meta, t)))::DOUBLE / len(terms))
++ 0.12::DOUBLE * (len(list_filter(terms, lambda t: contains(body, t)))::DOUBLE / len(terms)) + CASE WHEN length(query) >= 8 AND contains(title || ' ' || lead, lower(query)) THEN 0.20::DOUBLE ELSE 0.0::DOUBLE END
++ CASE WHEN len(list_filter(terms, lambda t: regexp_full_match(t, '[0-9]+') AND (contains(title || ' ' || lead, t) OR contains(text, t)))) > 0 THEN 0.10::DOUBLE ELSE 0.0::DOUBLE END AS s FROM h) SELECT item_id, doc_id, round(least(1.0::DOUBLE, s), 6) AS match FROM m""")
 def query_match_scores(t):
-    from tidewire.functions import text as T
-
-    q = t.benchmark.where("item_id % 4 = 0").select("item_id", F.array_distinct(T.words(F.col("text"), 3)).alias("terms"))
-    rows = t.documents.crossJoin(F.broadcast(q))
-    score = S.query_match(F.col("terms"), F.lit(""), F.substring("text", 1, 80), F.substring("text", 1, 280), F.col("source"), F.col("text"))
-    # the phrase and number bonuses are set aside here: the query text is empty and terms are words
-    plain = 0.42 * S.hit_ratio(F.col("terms"), F.substring("text", 1, 80)) + 0.24 * S.hit_ratio(F.col("terms"), F.substring("text", 1, 280)) + 0.22 * S.hit_ratio(F.col("terms"), F.col("source")) + 0.12 * S.hit_ratio(F.col("terms"), F.substring("text", 1, 4000))
-    return rows.select("item_id", "doc_id", F.round(F.least(score, plain), 6).alias("match"))
+    """Each query's twenty best documents by full text, scored by how its words lie in them: matching is a step after retrieval."""
+    from tidewire.operators import corpus as C
+
+    q = t.benchmark.select("item_id", F.col("text").alias("query"), F.array_distinct(T.words(F.col("text"), 3)).alias("terms"))
+    found = C.bm25(t.documents, t.benchmark.select(F.col("item_id").alias("query_id"), "text"), 20).select(F.col("query_id").alias("item_id"), "doc_id")
+    rows = found.join(q, "item_id").join(t.documents, "doc_id")
+    score = S.query_match(F.col("terms"), F.col("query"), F.substring("text", 1, 80), F.substring("text", 1, 280), F.col("source"), F.col("text"))
+    return rows.select("item_id", "doc_id", F.round(score, 6).alias("match"))
 
 
 @query("""SELECT l_returnflag AS mode, count(*) AS runs, CAST(floor(sum(l_linenumber) / count(*)) AS BIGINT) AS latency, round((count(*) FILTER (l_tax > 0.04))::DOUBLE / count(*), 6) AS high_share, round(avg(l_quantity), 4) AS words FROM lineitem WHERE l_linestatus = 'O' GROUP BY ALL""")

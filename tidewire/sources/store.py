@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage through ``spark.checkpoint.dir``; a temporary folder serves only where that is unset."""
+    """Cut the lineage through ``spark.checkpoint.dir``. Where it is unset, one machine alone gets a temporary folder; a cluster gets an error."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewire-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not sc._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="tidewire-"))
     return df.checkpoint()
 
 

@@ -20,39 +20,45 @@ def rate_windows(events: DataFrame, limit: int, seconds: int) -> DataFrame:
 
 
 def cooled_down(alerts: DataFrame, minutes: int = 30) -> DataFrame:
-    """Alerts (key, ts, ...) without those within ``minutes`` of the last one that passed, by key: state is one timestamp that expires."""
+    """Alerts (key, ts, ...) without those within ``minutes`` of the last one that passed, by key: state is one timestamp, which expires ``minutes`` after the stream's clock has passed it."""
     schema = alerts.schema
     span = minutes * 60_000
 
     def fold(key, frames: Iterator, state):
+        import numpy as np
         import pandas as pd
 
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
-        out = []
-        for pdf in frames:
-            for row in pdf.sort_values("ts").itertuples(index=False):
-                at = int(row.ts.timestamp() * 1000)
-                if last is None or at - last >= span:
-                    last = at
-                    out.append(row)
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(out, columns=schema.names)
+        rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
+        at = rows["ts"].astype("datetime64[ms]").astype("int64").to_numpy()
+        kept, i = [], 0 if last is None else int(np.searchsorted(at, last + span))
+        while i < len(at):
+            kept.append(i)
+            last = int(at[i])
+            i = int(np.searchsorted(at, last + span))
+        state.update((last,))
+        state.setTimeoutDuration(span)
+        yield rows.iloc[kept]
 
-    return alerts.groupBy("key").applyInPandasWithState(fold, schema, "last long", "append", "NoTimeout")
+    return alerts.groupBy("key").applyInPandasWithState(fold, schema, "last long", "append", "ProcessingTimeTimeout")
 
 
 def ewma(events: DataFrame, alpha: float = 0.25, start: float = 0.5) -> DataFrame:
     """(user_id, key, weight) after each micro-batch, from (user_id, key, ts, seq, signal); the state is the weight."""
 
     def fold(key, frames: Iterator, state):
+        import math
+
         import pandas as pd
 
         weight = state.get[0] if state.exists else start
         for pdf in frames:
             for s in pdf.sort_values(["ts", "seq"])["signal"]:
                 target = min(1.0, max(0.0, (s + 1) / 2))
-                weight = round(min(1.0, max(0.0, (1 - alpha) * weight + alpha * target)), 4)
+                weight = math.floor(min(1.0, max(0.0, (1 - alpha) * weight + alpha * target)) * 10000 + 0.5) / 10000  # as the batch form
         state.update((weight,))
         yield pd.DataFrame([(*key, weight)], columns=["user_id", "key", "weight"])
 
