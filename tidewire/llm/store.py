@@ -54,7 +54,7 @@ class Shelf:
         path, before = f"{self.base}/{len(self.paths)}", self.spark.conf.get(_CLEAN, "false")
         self.spark.conf.set(_CLEAN, "true")
         try:
-            (df.coalesce(tasks) if tasks else df).write.parquet(path)
+            (df.coalesce(tasks) if tasks else df).write.option("compression", "zstd").parquet(path)
         finally:
             self.spark.conf.set(_CLEAN, before)
         if not self.paths:
