@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.store import Shelf, hot, settle
 
-MOST, ROUNDS, FEW = 65536, 12, 0.0005
+MOST, ROUNDS, FEW = 32768, 12, 0.0005
 
 
 def _salted(edges: DataFrame, counts: DataFrame, heavy: DataFrame) -> DataFrame:
@@ -132,9 +132,9 @@ def shard(docs: DataFrame, shards: int = 16, links: DataFrame | None = None, rou
     single = rows.where("hub IS NOT NULL").join(heavy.select("hub"), "hub", "left_anti").join(sizes.select("hub"), "hub", "left_anti").unionByName(rows.where("hub IS NULL"))
     if edges is not None:
         single = rows.join(edges.select("node").distinct(), "node", "left_anti")
-    k = max(4, min(MOST, n // (shards * 4096)))  # buckets of a label
+    k = max(4, min(MOST, n // (shards * 4096)))  # buckets of a label; those without one are as many as all others may be
     named = settled.unionByName(single.withColumn("salt", F.lit(0)).withColumn("label", F.lit(-1)).select(*columns))
-    bucket = F.pmod(F.when(F.col("label") >= 0, F.xxhash64("hub", "salt")).otherwise(F.xxhash64("node", F.lit(5))), F.lit(k))
+    bucket = F.pmod(F.when(F.col("label") >= 0, F.xxhash64("hub", "salt")).otherwise(F.xxhash64("node", F.lit(5))), F.when(F.col("label") >= 0, F.lit(k)).otherwise(F.lit(k * shards)))
     made = settle(named.select("doc_id", "size", "text_crc32", "hub", "label", bucket.alias("bucket")))
     shelf.drop(*shelf.paths.values())
     return _cut(made, n, shards)
@@ -153,7 +153,7 @@ def _cut(named: DataFrame, n: int, shards: int) -> DataFrame:
     at = lambda values, i: F.get(array(values), i)
     before = F.sum("count").over(Window.partitionBy("label").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     within = F.row_number().over(Window.partitionBy("label", "bucket").orderBy("hub", "text_crc32", "doc_id", "size"))
-    # at most (shards + 1) * MOST counts
+    # at most 2 * shards * MOST counts
     ranked = named.join(F.broadcast(counts.select("label", "bucket", F.coalesce(before, F.lit(0)).alias("before"))), ["label", "bucket"]).withColumn("rank", F.col("before") + within - 1)
     stays = (F.col("label") >= 0) & (F.col("rank") < at(quota, F.col("label")))
     loose = F.when(F.col("label") < 0, F.col("rank")).otherwise(at(first, F.col("label")) + F.col("rank") - at(quota, F.col("label")))
