@@ -136,8 +136,12 @@ def event_cluster_pairs(t):
     return cosine_pairs(t).where("score >= 0.2").select("id", "other", F.round("score", 5).alias("score"))
 
 
-@query(f"""WITH RECURSIVE {PAIRS.format(s=172800, n=100)}, e AS (SELECT id AS u, other AS v FROM k JOIN embeddings a ON a.vec_id = id % 500 JOIN embeddings b ON b.vec_id = other % 500 WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.5),
-b2 AS (SELECT u, v FROM e UNION SELECT v, u FROM e), w AS (SELECT event_id AS id, event_id AS got FROM events UNION SELECT w.id, b2.v FROM w JOIN b2 ON w.got = b2.u) SELECT id, min(got) AS cluster FROM w GROUP BY id""")
+#: Checks ``event_cluster_labels`` on small tables: the walk takes the square of a cluster's size.
+LABELS = f"""WITH RECURSIVE {PAIRS.format(s=172800, n=100)}, e AS (SELECT id AS u, other AS v FROM k JOIN embeddings a ON a.vec_id = id % 500 JOIN embeddings b ON b.vec_id = other % 500 WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.5),
+b2 AS (SELECT u, v FROM e UNION SELECT v, u FROM e), w AS (SELECT event_id AS id, event_id AS got FROM events UNION SELECT w.id, b2.v FROM w JOIN b2 ON w.got = b2.u) SELECT id, min(got) AS cluster FROM w GROUP BY id"""
+
+
+@query()
 def event_cluster_labels(t):
     edges = cosine_pairs(t).where("score >= 0.5").select(F.col("id").alias("u"), F.col("other").alias("v"))
     return E.cluster_labels(settle(edges), t.events.select(F.col("event_id").alias("id")), settle)
