@@ -623,3 +623,35 @@ def test_recordings(spark, docs, empty):
     assert got[2][0]["shift"] == 40 and got[2][0]["bit_error"] == 0 and len(got[1]) == 2 and got[None][0]["class_id"] is None
     assert media.recordings(empty.select("doc_id", F.col("text").cast("binary").alias("samples"))).count() == 0
     assert media.recordings(docs.select("doc_id", F.col("text").cast("binary").alias("samples"))).count() == len(corpus())
+
+
+def test_packing_of_empty_and_repeated_rows(spark, empty):
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    assert packing.pack(empty, path).count() == 0
+    rows = [(1, "same text"), (1, "same text"), (None, "no id"), (2, None), (3, "")]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), path).toPandas()
+    assert len(got) == 5 and sorted(got["length"])[:2] == [1, 1] and got["sequence_id"].nunique() == 1
+    assert sorted(got["offset"]) == [0, *sorted(got.sort_values("offset")["length"].cumsum())[:-1]]
+
+
+def test_leader_updates_equal_a_plain_loop():
+    rng = random.Random(2)
+    model, z, n = quality.Follow(6), [0.0] * 7, [0.0] * 7
+
+    def weight(i):
+        if abs(z[i]) <= model.l1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * model.l1) / ((model.beta + np.sqrt(n[i])) / model.alpha + model.l2)
+
+    for _ in range(200):
+        at, y = sorted(rng.sample(range(6), 3)) + [6], rng.randrange(2)
+        x = [rng.random() for _ in at]
+        w = [weight(i) for i in at]
+        p = 1 / (1 + np.exp(-sum(a * b for a, b in zip(w, x, strict=True))))
+        model.update(np.array(at), np.array(x), y)
+        for i, v, own in zip(at, x, w, strict=True):
+            g = (p - y) * v
+            z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / model.alpha * own
+            n[i] += g * g
+    assert np.allclose(model.weights(slice(None)), [weight(i) for i in range(7)])
