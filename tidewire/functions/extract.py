@@ -77,3 +77,33 @@ def taxonomy(category: Column, table: dict[str, tuple[str, str]], default: tuple
     """Content type and information type of a source's category, with a default."""
     pick = lambda k: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for c, v in table.items() for x in (c, v[k])]), F.lower(category)), F.lit(default[k]))
     return pick(0), pick(1)
+
+
+def blocks(html: Column) -> Column:
+    """A page's headings, paragraphs and images in order, as structs (kind, text, url); those without text or address are left out."""
+    found = F.regexp_extract_all(html, F.lit(r"(?is)<h[1-6]\b[^>]*>.*?</h[1-6]>|<p\b[^>]*>.*?</p>|<img\b[^>]*>"), F.lit(0))
+
+    def made(x: Column) -> Column:
+        kind = F.when(x.rlike("(?i)^<h"), "heading").when(x.rlike("(?i)^<p"), "paragraph").otherwise("image")
+        address = F.nullif(T.unescape(F.regexp_extract(x, r"""(?is)\bsrc\s*=\s*["']([^"']*)""", 1)), F.lit(""))
+        return F.struct(kind.alias("kind"), F.when(kind != "image", T.html_text(x)).alias("text"), F.when(kind == "image", address).alias("url"))
+
+    return F.filter(F.transform(found, made), lambda b: F.coalesce(b["text"], b["url"], F.lit("")) != "")
+
+
+def letters(text: Column) -> Column:
+    """How many Latin or Cyrillic letters and digits a text has."""
+    return F.char_length(F.regexp_replace(text, "[^0-9A-Za-zА-Яа-яЁё]+", ""))
+
+
+def candidate_quality(text: Column, least: Column, paragraph_blocks: Column | None = None) -> Column:
+    """``ok``, or why an extracted candidate is refused: its length, lines of substance, lines of signs alone, and (where stated) paragraphs among its blocks."""
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    made = F.when(F.char_length(F.coalesce(text, F.lit(""))) < least, "turbo_too_short").when(F.size(F.filter(lines, lambda x: letters(x) >= 40)) < 2, "not_enough_meaningful_paragraphs").when(F.exists(lines, lambda x: letters(x) == 0), "punctuation_only_paragraph")
+    return (made.when(paragraph_blocks < 2, "not_enough_turbo_paragraph_blocks") if paragraph_blocks is not None else made).otherwise("ok")
+
+
+def fallback_is_better(fallback: Column, current: Column) -> Column:
+    """Whether a fallback's text is long by itself and much longer than the current one."""
+    new, old = (F.char_length(F.coalesce(c, F.lit(""))) for c in (fallback, current))
+    return (new >= 500) & (new >= F.greatest(old * 3, old + 400))

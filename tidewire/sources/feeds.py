@@ -53,3 +53,25 @@ def decoded(payload, declared: str | None = None):
     """Bytes as text: the declared charset, else UTF-8 where it is valid, else with replacements."""
     plain = F.try_validate_utf8(payload.cast("string"))
     return F.coalesce(F.decode(payload, declared), plain) if declared else F.coalesce(plain, F.make_valid_utf8(payload.cast("string")))
+
+
+def child(xml, name: str):
+    """Text of an item's first direct child of this name, with or without its prefix; null if there is none."""
+    plain = name.strip().split(":", 1)[-1]
+    path = f"/*/*[name() = '{name.strip()}' or name() = '{plain}'][1]"
+    return F.when(F.xpath_boolean(xml, F.lit(path)), F.xpath_string(xml, F.lit(path)))
+
+
+def related_links(xml, names: tuple[str, ...] = ("rbc_news:related_links", "yandex:related")):
+    """Links of an item's block of related ones, as structs (url, title, img); links without an address are left out."""
+    one = "|".join(names)
+    found = F.regexp_extract_all(F.regexp_extract(xml, rf"(?s)<(?:{one})\b[^>]*>(.*?)</(?:{one})>", 1), F.lit(r"(?s)<link\b[^>]*/>|<link\b[^>]*>.*?</link>"), F.lit(0))
+
+    def value(x, *attributes: str):
+        return F.coalesce(*(F.nullif(F.trim(T.unescape(F.regexp_extract(x, rf"""(?s)^<link\b[^>]*?\s{a}\s*=\s*["']([^"']*)""", 1))), F.lit("")) for a in attributes))
+
+    def made(x):
+        inner = F.nullif(T.html_text(F.regexp_extract(x, r"(?s)^<link\b[^>]*>(.*)</link>$", 1)), F.lit(""))
+        return F.struct(value(x, "url", "href").alias("url"), F.coalesce(value(x, "title"), inner).alias("title"), value(x, "img").alias("img"))
+
+    return F.filter(F.transform(found, made), lambda r: r["url"].isNotNull())
