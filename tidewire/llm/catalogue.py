@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import fingerprint, linededup, media, mixing, near, packing, privacy, quality, sharding, toxicity
+from tidewire.llm import centroids, divergence, fingerprint, linededup, media, mixing, near, packing, privacy, quality, sharding, simhash, toxicity
 from tidewire.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,9 +63,21 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.recordings(docs.select("doc_id", F.col("text").cast("binary").alias("samples")), media.TEXT)
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_media, op2_mixing, op3_shards, op4_lines, op5_near, op6_fingerprint, op7_toxicity, op8_packing, op9_privacy, op10_quality)}
+    return {f.__name__: f for f in (op1_media, op2_mixing, op3_shards, op4_lines, op5_near, op6_fingerprint, op7_toxicity, op8_packing, op9_privacy, op10_quality, op11_simhash, op12_divergence, op13_centroids)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.ORACLE, "op5_near": near.ORACLE}
+    return {"op2_mixing": mixing.ORACLE, "op5_near": near.ORACLE, "op12_divergence": divergence.ORACLE, "op13_centroids": centroids.ORACLE}
