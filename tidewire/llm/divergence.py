@@ -77,9 +77,9 @@ def _starts(*columns: pa.Array) -> np.ndarray:
 
 
 def run_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow function over records (lang, term, source, doc, n) in this order: (lang, term, source, docs, n) of each run. A run may span batches; documents change within it."""
+    """mapInArrow function over records (lang, term, source, n), one for each document, in this order: (lang, term, source, docs, n) of each run, docs its length. A run may span batches."""
     names = ["lang", "term", "source"]
-    held: tuple | None = None  # the last run, which the next batch may go on with: its key, documents, occurrences, last document
+    held: tuple | None = None  # the last run, which the next batch may go on with: its key, documents, occurrences
 
     def out(key: list, docs: list, n: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*(pa.array(k, pa.string()) for k in key), pa.array(docs, pa.int64()), pa.array(n, pa.int64())], [*names, "docs", "n"])
@@ -89,15 +89,14 @@ def run_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         key = [b[k] for k in names]
         first = np.flatnonzero(_starts(*key))
-        change = _starts(*key, b["doc"]).astype(np.int64)
-        docs, n = np.add.reduceat(change, first), np.add.reduceat(b["n"].to_numpy(), first)
+        docs, n = np.diff(np.append(first, b.num_rows)), np.add.reduceat(b["n"].to_numpy(), first)
         head = tuple(k[0].as_py() for k in key)
         if held and held[0] == head:
-            docs[0] += held[1] - (held[3] == b["doc"][0].as_py())
+            docs[0] += held[1]
             n[0] += held[2]
         elif held:
             yield out([[k] for k in held[0]], [held[1]], [held[2]])
-        held = (tuple(k[int(first[-1])].as_py() for k in key), int(docs[-1]), int(n[-1]), b["doc"][b.num_rows - 1].as_py())
+        held = (tuple(k[int(first[-1])].as_py() for k in key), int(docs[-1]), int(n[-1]))
         if len(first) > 1:
             at = pa.array(first[:-1])
             yield pa.RecordBatch.from_arrays([*(k.take(at) for k in key), pa.array(docs[:-1]), pa.array(n[:-1])], [*names, "docs", "n"])
@@ -201,7 +200,7 @@ def audit(docs: DataFrame) -> DataFrame:
     spread = rows.select("lang", "source", "doc", F.explode(F.arrow_udf(term_counts, TERMS)("text")).alias("t")).select("lang", "source", "doc", "t.*")
     # the first key is a number that orders most rows before strings are compared
     records = spread.select(F.xxhash64("lang", "term").alias("at"), "lang", "term", "source", "doc", "n").repartition("at", F.pmod("doc", F.lit(SALTS)))
-    runs = records.sortWithinPartitions("at", "lang", "term", "source", "doc").select("lang", "term", "source", "doc", "n").mapInArrow(run_lengths, "lang string, term string, source string, docs long, n long")
+    runs = records.sortWithinPartitions("at", "lang", "term", "source", "doc").select("lang", "term", "source", "n").mapInArrow(run_lengths, "lang string, term string, source string, docs long, n long")
     summed = runs.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
     whole = Window.partitionBy("lang", "term")
     kept = shelf.put(summed.withColumn("all_docs", F.sum("docs").over(whole)).withColumn("all_n", F.sum("n").over(whole)).where(f"all_docs >= {LEAST}").select("lang", "term", "source", "n", "all_n"))
