@@ -145,6 +145,7 @@ def test_audit_equals_dense_counts(spark, mixed, monkeypatch, salts, flush, cell
     """With small batches runs and terms cross their borders."""
     monkeypatch.setattr(divergence, "SALTS", salts)
     monkeypatch.setattr(divergence, "FLUSH", flush)
+    monkeypatch.setattr(divergence, "HOLD", flush)
     monkeypatch.setattr(divergence, "CELLS", cells)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
     try:
@@ -164,13 +165,13 @@ def test_audit_of_nothing(spark, empty):  # noqa: F811
 
 def test_runs_that_cross_batches_are_one():
     rng = random.Random(5)
-    rows = sorted((rng.choice("ab"), rng.choice("xyz"), rng.choice("st"), rng.randrange(6)) for _ in range(300))
+    rows = sorted((rng.choice("ab"), rng.choice("xyz"), rng.choice("st"), 1, rng.randrange(6)) for _ in range(300))
     want = defaultdict(lambda: [0, 0])
-    for lang, term, source, n in rows:
+    for lang, term, source, _, n in rows:
         want[lang, term, source][0] += 1
         want[lang, term, source][1] += n
     for size in (1, 2, 7, 300):
-        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + size], strict=True)], ["lang", "term", "source", "n"]) for k in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + size], strict=True)], ["lang", "term", "source", "docs", "n"]) for k in range(0, len(rows), size)]
         got = [r for b in divergence.run_lengths(iter(batches)) for r in b.to_pylist()]
         assert [(r["lang"], r["term"], r["source"], r["docs"], r["n"]) for r in got] == [(*k, d, n) for k, (d, n) in sorted(want.items())]
 

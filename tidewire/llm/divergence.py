@@ -6,10 +6,11 @@ kept term is 1 + floor(UNIT * (count + ADD) / (N + ADD * V)), N its count of kep
 over all kept terms (part ``pair``); a term marks a source by p - q, q of the language, where it is used and p > q
 (part ``term``, the first TOP). All numbers are exact: decimals of 38 digits where longs could overflow.
 
-Method. Each document gives its terms with their counts. These records are repartitioned by term and a salt of the
-document, so a term that every document has lies in SALTS tasks, and sorted within partitions by (lang, term,
-source, document). A scan over a sorted partition sees each (lang, term, source) as one run and emits its documents and
-occurrences; runs that salts cut are summed afterwards, from at most SALTS rows each. Kept terms (lang, term, source, p) are few
+Method. A task counts terms by language and source, documents and occurrences, and lets go of what it holds at HOLD entries: a record
+(lang, term, source, document, docs, n), named by the first of its documents. Records are repartitioned by term and a salt of the
+document, so a term that all have lies in SALTS tasks, and sorted within partitions by term, language, source and document (the term
+first: its bytes decide most comparisons). A scan over a sorted partition sees each (lang, term, source) as one run and emits its
+documents and occurrences; runs that salts cut are summed afterwards, from at most SALTS rows each. Kept terms (lang, term, source, p) are few
 beside the corpus; they are sorted by (lang, term, source) and scanned again: for a term that k sources use, the task adds what each pair
 of them shares to sums by pair, which it emits (FLUSH pairs at a time at most), and each source's best terms to a list of TOP.
 
@@ -40,8 +41,8 @@ from tidewire.llm import kernels as K
 from tidewire.llm.store import Shelf, lean
 
 LEAST, UNIT, ADD, TOP = 30, 1_000_000_000, 5, 50
-#: Tasks over which one term's records are dealt; pairs whose sums a scan holds before it emits them.
-SALTS, FLUSH = 64, 1 << 18
+#: Tasks over which one term's records are dealt; entries that a counting task holds, and pairs whose sums a scan holds, before they are emitted.
+SALTS, HOLD, FLUSH = 64, 1 << 18, 1 << 18
 
 _LETTERS = np.full(256, 32, np.uint8)
 _LETTERS[128:] = np.arange(128, 256)
@@ -49,21 +50,36 @@ for _a in (65, 97):
     _LETTERS[_a : _a + 26] = np.arange(97, 123)
 #: Bytes of terms as they are, A-Z lowered; all others blank.
 LETTERS = _LETTERS.tobytes()
-TERMS = "array<struct<term: string, n: bigint>>"
+RECORDS = "lang string, term string, source string, doc int, docs long, n long"
 
 
-def term_counts(text: pa.Array) -> pa.Array:
-    """Each text's distinct terms with their numbers of occurrences."""
-    data, at = K.view(text)
-    terms, counts, size = [], [], [0]
-    for a, b in zip(at[:-1], at[1:], strict=True):
-        found = Counter(data[a:b].tobytes().translate(LETTERS).split(b" "))
-        found.pop(b"", None)
-        terms += found.keys()
-        counts += found.values()
-        size.append(len(terms))
-    rows = pa.StructArray.from_arrays([pa.array(terms, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], ["term", "n"])
-    return pa.ListArray.from_arrays(pa.array(size, pa.int32()), rows)
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function over documents (lang, source, doc, text): RECORDS, summed as far as HOLD entries reach."""
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    size, first = 0, None
+
+    def records() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (docs, n) in held.items():
+            k = len(n)
+            same = lambda x, kind: pa.array([x], kind).take(pa.array(np.zeros(k, np.int64)))
+            term = pa.array(n.keys(), pa.binary()).cast(pa.string())
+            if k:
+                yield pa.RecordBatch.from_arrays([same(lang, pa.string()), term, same(source, pa.string()), same(first, pa.int32()), pa.array([docs[t] for t in n], pa.int64()), pa.array(n.values(), pa.int64())], ["lang", "term", "source", "doc", "docs", "n"])
+
+    for b in batches:
+        data, at = K.view(b["text"])
+        for i, (lang, source, doc) in enumerate(zip(b["lang"].to_pylist(), b["source"].to_pylist(), b["doc"].to_pylist(), strict=True)):
+            words = data[at[i] : at[i + 1]].tobytes().translate(LETTERS).split(b" ")
+            docs, n = held.setdefault((lang, source), (Counter(), Counter()))
+            before, first = len(n), doc if first is None else first
+            own = set(words) - {b""}
+            n.update(w for w in words if w) if b"" in words else n.update(words)
+            docs.update(own)
+            size += len(n) - before
+            if size >= HOLD:
+                yield from records()
+                held, size, first = {}, 0, None
+    yield from records()
 
 
 def _starts(*columns: pa.Array) -> np.ndarray:
@@ -77,7 +93,7 @@ def _starts(*columns: pa.Array) -> np.ndarray:
 
 
 def run_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow function over records (lang, term, source, n), one for each document, in this order: (lang, term, source, docs, n) of each run, docs its length. A run may span batches."""
+    """mapInArrow function over records (lang, term, source, docs, n), a run of equal (lang, term, source) in a row: its sums. A run may span batches."""
     names = ["lang", "term", "source"]
     held: tuple | None = None  # the last run, which the next batch may go on with: its key, documents, occurrences
 
@@ -89,7 +105,7 @@ def run_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         key = [b[k] for k in names]
         first = np.flatnonzero(_starts(*key))
-        docs, n = np.diff(np.append(first, b.num_rows)), np.add.reduceat(b["n"].to_numpy(), first)
+        docs, n = (np.add.reduceat(b[k].to_numpy(), first) for k in ("docs", "n"))
         head = tuple(k[0].as_py() for k in key)
         if held and held[0] == head:
             docs[0] += held[1]
@@ -196,11 +212,9 @@ def _p(count: str, n: str, v: str) -> str:
 def audit(docs: DataFrame) -> DataFrame:
     """lang, source, part, item, value, rank of ``docs`` (text, lang, source)."""
     shelf = Shelf(lean(docs).sparkSession)
-    rows = docs.select(*(F.coalesce(k, F.lit("")).alias(k) for k in ("lang", "source", "text")), F.xxhash64("doc_id", "text").alias("doc"))
-    spread = rows.select("lang", "source", "doc", F.explode(F.arrow_udf(term_counts, TERMS)("text")).alias("t")).select("lang", "source", "doc", "t.*")
-    # the first key is a number that orders most rows before strings are compared
-    records = spread.select(F.xxhash64("lang", "term").alias("at"), "lang", "term", "source", "doc", "n").repartition("at", F.pmod("doc", F.lit(SALTS)))
-    runs = records.sortWithinPartitions("at", "lang", "term", "source", "doc").select("lang", "term", "source", "n").mapInArrow(run_lengths, "lang string, term string, source string, docs long, n long")
+    rows = docs.select(*(F.coalesce(k, F.lit("")).alias(k) for k in ("lang", "source", "text")), F.hash("doc_id", "text").alias("doc"))
+    records = rows.select("lang", "source", "doc", "text").mapInArrow(counted, RECORDS).repartition("lang", "term", F.pmod("doc", F.lit(SALTS)))
+    runs = records.sortWithinPartitions("term", "lang", "source", "doc").select("lang", "term", "source", "docs", "n").mapInArrow(run_lengths, "lang string, term string, source string, docs long, n long")
     summed = runs.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
     whole = Window.partitionBy("lang", "term")
     kept = shelf.put(summed.withColumn("all_docs", F.sum("docs").over(whole)).withColumn("all_n", F.sum("n").over(whole)).where(f"all_docs >= {LEAST}").select("lang", "term", "source", "n", "all_n"))
