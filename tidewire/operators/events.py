@@ -81,63 +81,16 @@ def conditional_counts(facts: DataFrame, key: str, kinds: dict[str, Column]) ->
     return facts.groupBy(key).agg(*(F.count_if(c).alias(n) for n, c in kinds.items()))
 
 
-def cluster_pairs(items: DataFrame, hours: int = 48, newest: int = 100, bucket: int = 3600) -> DataFrame:
-    """(id, other, rank): items (id, lang, ts) of one language within ``hours`` of each other, the ``newest`` candidates of each.
-
-    No pair is made that isn't kept. Items of a language are numbered by (time, id): numbers within
-    buckets of time, and sums of the buckets before. How many items lie before an
-    item's time plus ``hours`` is its last candidate's number, and the ``newest`` numbers up to that are joined by equality.
-    """
-    wide = hours * 3600
-    base = items.select("id", "lang", F.unix_seconds("ts").alias("at"))
-    points = base.withColumn("kind", F.lit(0)).withColumn("t", F.col("at")).unionByName(base.withColumn("kind", F.lit(1)).withColumn("t", F.col("at") + wide))
-    points = points.withColumn("bucket", F.floor(F.col("t") / bucket))
-    counts = points.groupBy("lang", "bucket").agg(F.sum(1 - F.col("kind")).alias("n"))  # a row a bucket
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    upto = F.sum(1 - F.col("kind")).over(Window.partitionBy("lang", "bucket").orderBy("t", "kind", "id").rowsBetween(Window.unboundedPreceding, 0))
-    placed = points.withColumn("upto", upto).join(counts.select("lang", "bucket", before.alias("before")), ["lang", "bucket"]).withColumn("place", F.col("before") + F.col("upto"))
-    mine = placed.groupBy("lang", "id", "at").agg(F.max(F.when(F.col("kind") == 0, F.col("place"))).alias("own"), F.max(F.when(F.col("kind") == 1, F.col("place"))).alias("last"))
-    first = F.greatest(F.lit(1), F.col("last") - newest + F.when(F.col("own") > F.col("last") - newest, 0).otherwise(1))
-    asked = mine.select("lang", "id", "at", "own", "last", F.explode(F.sequence(first, F.col("last"))).alias("place")).where("place <> own")
-    others = mine.select("lang", F.col("own").alias("place"), F.col("id").alias("other"), F.col("at").alias("other_at"))
-    rows = asked.join(others, ["lang", "place"]).where(F.col("other_at") >= F.col("at") - wide)
-    return rows.select("id", "other", (F.col("last") - F.col("place") + 1 - (F.col("own") > F.col("place")).cast("int")).alias("rank"))
-
-
-def cluster_labels(edges: DataFrame, nodes: DataFrame, settle) -> DataFrame:
-    """(id, cluster): the smallest id that edges (u, v) reach; ``settle`` writes a round's table where it survives lost executors."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    at = nodes.select("id", F.col("id").alias("cluster"))
+def cluster_labels(edges: DataFrame, nodes: DataFrame, scratch) -> DataFrame:
+    """(id, cluster): the smallest id that edges (u, v) reach. Each round's table (``scratch``) is deleted after the next."""
+    edges = scratch.put(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    at = scratch.put(nodes.select("id", F.lit(None).cast("long").alias("old"), F.col("id").alias("cluster")))
     while True:
-        near = both.join(at.select(F.col("id").alias("v"), "cluster"), "v").groupBy("u").agg(F.min("cluster").alias("near"))
-        step = settle(at.join(near, F.col("id") == F.col("u"), "left").select("id", F.col("cluster").alias("old"), F.least("cluster", F.coalesce("near", "cluster")).alias("cluster")))
+        near = edges.join(at.select(F.col("id").alias("v"), "cluster"), "v").groupBy("u").agg(F.min("cluster").alias("near"))
+        step = scratch.put(at.join(near, F.col("id") == F.col("u"), "left").select("id", F.col("cluster").alias("old"), F.least("cluster", F.coalesce("near", "cluster")).alias("cluster")))
         jump = step.select(F.col("id").alias("key"), F.col("cluster").alias("far"))
-        done = settle(step.join(jump, F.col("cluster") == F.col("key"), "left").select("id", "old", F.least("cluster", F.coalesce("far", "cluster")).alias("cluster")))
-        at = done.select("id", "cluster")
+        done = scratch.put(step.join(jump, F.col("cluster") == F.col("key"), "left").select("id", "old", F.least("cluster", F.coalesce("far", "cluster")).alias("cluster")))
+        scratch.drop(at, step)
+        at = done
         if not done.where("old <> cluster").limit(1).count():
-            return at
-
-
-def online_clusters(ordered: DataFrame, threshold: float = 0.75, hours: int = 48) -> DataFrame:
-    """(lang, id, cluster): items in order of arrival, each to the best of those before it (id, at seconds, vector), as a sequence of decisions must.
-
-    Order-faithful and so one task a language; ``cluster_labels`` is the form that scales.
-    """
-
-    def fold(key, rows):
-        import numpy as np
-
-        rows = rows.sort_values(["at", "id"], ignore_index=True)
-        x = np.stack(rows["vector"].map(np.asarray)).astype(float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        label, at = rows["id"].to_numpy().copy(), rows["at"].to_numpy()
-        since = np.searchsorted(at, at - hours * 3600)  # the first item within reach of each
-        for i in range(1, len(rows)):
-            if since[i] < i:
-                s = x[since[i] : i] @ x[i]
-                best = int(s.argmax())
-                if s[best] >= threshold:
-                    label[i] = min(label[i], label[since[i] + best])
-        return rows.assign(cluster=label)[["lang", "id", "cluster"]]
-
-    return ordered.groupBy("lang").applyInPandas(fold, "lang string, id long, cluster long")
+            return at.select("id", "cluster")

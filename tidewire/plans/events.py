@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewire.functions import scores as S
+from tidewire.operators import clustering as C
 from tidewire.operators import events as E
 from tidewire.plans.registry import query
-from tidewire.sources.store import settle
+from tidewire.sources.store import Scratch
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -122,35 +123,51 @@ PAIRS = """i AS (SELECT event_id AS id, event_type AS lang, epoch_us(ts) // 1000
 r AS (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY other_at DESC, other DESC) AS rank FROM p), k AS (SELECT * FROM r WHERE rank <= {n})"""
 
 
-def cosine_pairs(t):
+def vectors_of(t, items):
+    """Items with ``vector``: the embeddings dealt over them by ``id``, all used."""
+    n = t.embeddings.agg(F.count("*").alias("n"))  # one row
+    return items.crossJoin(F.broadcast(n)).withColumn("vec_id", F.col("id") % F.col("n")).drop("n").join(t.embeddings.select("vec_id", F.col("embedding").alias("vector")), "vec_id").drop("vec_id")
+
+
+def cosine_pairs(t, at_least):
     items = t.events.select(F.col("event_id").alias("id"), F.col("event_type").alias("lang"), F.col("ts").cast("timestamp").alias("ts"))
-    pairs = E.cluster_pairs(items).withColumn("v_id", F.col("id") % 500).withColumn("v_other", F.col("other") % 500)
-    v = lambda k, as_: t.embeddings.select(F.col("vec_id").alias(f"v_{k}"), F.col("embedding").alias(as_))
-    # many events share a vector here: each pair of vectors is compared once
-    score = pairs.select("v_id", "v_other").distinct().join(v("id", "a"), "v_id").join(v("other", "b"), "v_other").select("v_id", "v_other", S.cosine(F.col("a"), F.col("b")).alias("score"))
-    return pairs.join(score, ["v_id", "v_other"]).select("id", "other", "rank", "score")
+    return C.window_pairs(vectors_of(t, items), at_least, Scratch(t.spark))
+
+
+SCORES = "s AS (SELECT id, other, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM k, (SELECT count(*) AS n FROM embeddings) JOIN embeddings a ON a.vec_id = id % n JOIN embeddings b ON b.vec_id = other % n)"
 
 
-@query(f"""WITH {PAIRS.format(s=172800, n=100)} SELECT id, other, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS score FROM k JOIN embeddings a ON a.vec_id = id % 500 JOIN embeddings b ON b.vec_id = other % 500 WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.2""")
+@query(f"""WITH {PAIRS.format(s=172800, n=100)}, {SCORES} SELECT id, other, round(score, 5) AS score FROM s WHERE score >= 0.2""")
 def event_cluster_pairs(t):
-    return cosine_pairs(t).where("score >= 0.2").select("id", "other", F.round("score", 5).alias("score"))
+    return cosine_pairs(t, 0.2).select("id", "other", F.round("score", 5).alias("score"))
 
 
 #: Checks ``event_cluster_labels`` on small tables: the walk takes the square of a cluster's size.
-LABELS = f"""WITH RECURSIVE {PAIRS.format(s=172800, n=100)}, e AS (SELECT id AS u, other AS v FROM k JOIN embeddings a ON a.vec_id = id % 500 JOIN embeddings b ON b.vec_id = other % 500 WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.5),
+LABELS = f"""WITH RECURSIVE {PAIRS.format(s=172800, n=100)}, {SCORES}, e AS (SELECT id AS u, other AS v FROM s WHERE score >= 0.5),
 b2 AS (SELECT u, v FROM e UNION SELECT v, u FROM e), w AS (SELECT event_id AS id, event_id AS got FROM events UNION SELECT w.id, b2.v FROM w JOIN b2 ON w.got = b2.u) SELECT id, min(got) AS cluster FROM w GROUP BY id"""
 
 
 @query()
 def event_cluster_labels(t):
-    edges = cosine_pairs(t).where("score >= 0.5").select(F.col("id").alias("u"), F.col("other").alias("v"))
-    return E.cluster_labels(settle(edges), t.events.select(F.col("event_id").alias("id")), settle)
+    edges = cosine_pairs(t, 0.5).select(F.col("id").alias("u"), F.col("other").alias("v"))
+    return E.cluster_labels(edges, t.events.select(F.col("event_id").alias("id")), Scratch(t.spark))
 
 
-@query()
+ARRIVALS = """i AS MATERIALIZED (SELECT event_id AS id, event_type AS lang, epoch_us(ts) // 1000000 AS at, CASE WHEN event_id % 25 = 0 THEN 's' || (user_id % 7) ELSE '' END AS story, CASE WHEN event_id % 10 = 0 THEN ['u' || (user_id % 300)] ELSE [] END AS related, 'u' || (event_id * 7 % 300) AS url,
+row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 1000000, event_id) AS place, embedding::DOUBLE[] AS v FROM events, (SELECT count(*) AS n FROM embeddings) JOIN embeddings ON vec_id = event_id % n),
+c AS (SELECT x.id, y.id AS up, y.place, x.story <> '' AND x.story = y.story AS hard, round(list_cosine_similarity(x.v, y.v) + CASE WHEN list_has_any(x.related, y.related) OR list_has_any(x.related || y.related, [x.url, y.url]) THEN 0.2 ELSE 0 END, 9) AS score
+FROM i x JOIN i y ON x.lang = y.lang AND y.place BETWEEN x.place - 100 AND x.place - 1 AND y.at >= x.at - 172800),
+u AS (SELECT id, up FROM c WHERE hard OR score >= 0.75 QUALIFY row_number() OVER (PARTITION BY id ORDER BY hard DESC, CASE WHEN hard THEN 0 ELSE score END DESC, place DESC) = 1)"""
+
+
+@query(f"WITH RECURSIVE {ARRIVALS}, w AS (SELECT event_id AS id, event_id AS got FROM events UNION ALL SELECT w.id, u.up FROM w JOIN u ON w.got = u.id) SELECT id, min(got) AS cluster FROM w GROUP BY id")
 def event_clusters_online(t):
-    rows = t.events.select(F.col("event_type").alias("lang"), F.col("event_id").alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), (F.col("event_id") % 500).alias("vec_id"))
-    return E.online_clusters(rows.join(t.embeddings.select("vec_id", F.col("embedding").alias("vector")), "vec_id"), 0.5)
+    key = F.col("event_id")
+    text = lambda c: F.concat(F.lit("u"), c.cast("string"))
+    rows = t.events.select(
+        key.alias("id"), F.col("event_type").alias("lang"), F.col("ts").cast("timestamp").alias("ts"), F.when(key % 25 == 0, F.concat(F.lit("s"), (F.col("user_id") % 7).cast("string"))).otherwise("").alias("story"),
+        F.when(key % 10 == 0, F.array(text(F.col("user_id") % 300))).otherwise(F.array().cast("array<string>")).alias("related"), text(key * 7 % 300).alias("url"))
+    return C.arrival_clusters(vectors_of(t, rows))
 
 
 @query("SELECT c_custkey AS id, CASE WHEN contradiction THEN 5 WHEN rel IN ('A', 'B') AND n >= 2 THEN 1 WHEN rel IN ('A', 'B') THEN 2 WHEN rel = 'C' THEN 3 WHEN rel IN ('D', 'E') THEN 4 ELSE 6 END AS grade, rel IN ('D', 'E') AND n <= 1 AS uncertain FROM (SELECT c_custkey, substr('ABCDEF', c_nationkey % 6 + 1, 1) AS rel, c_custkey % 4 AS n, c_custkey % 11 = 0 AS contradiction FROM customer)")

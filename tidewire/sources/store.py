@@ -3,23 +3,60 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import lru_cache
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+@lru_cache(maxsize=4)
+def _own_folder(app: str) -> str:
+    return tempfile.mkdtemp(prefix="tidewire-")
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder that all machines see, ``spark.checkpoint.dir``. Where it is unset, one machine alone gets a temporary folder; a cluster gets an error."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    if not spark.sparkContext._jsc.sc().isLocal():
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return _own_folder(spark.sparkContext.applicationId)
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage through ``spark.checkpoint.dir``. Where it is unset, one machine alone gets a temporary folder; a cluster gets an error."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """Cut the lineage through ``spark.checkpoint.dir``."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and not sc._jsc.sc().isLocal():
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="tidewire-"))
+        sc.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint()
 
 
+class Scratch:
+    """Tables under the shared folder that end their lineage: plans over them start at a scan, and a lost executor costs a read. ``drop`` deletes one; the rest go when the driver ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base, self.made = spark, f"{shared(spark)}/scratch/{uuid.uuid4().hex}", []
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{self.base}/{len(self.made)}"
+        df.write.parquet(path)
+        if not self.made:
+            self._place(self.base, "deleteOnExit")
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.made.append((path, table))
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for path, table in self.made:
+            if any(table is t for t in tables):
+                self._place(path, "delete", True)
+
+    def _place(self, path: str, how: str, *more: bool) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        getattr(place.getFileSystem(self.spark._jsc.hadoopConfiguration()), how)(place, *more)
+
+
 def insert_new(existing: DataFrame, batch: DataFrame, key: str, order: list) -> DataFrame:
     """Rows of the batch to insert: the first of each key by ``order``, without keys that exist (ON CONFLICT DO NOTHING)."""
     first = batch.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_rn = 1").drop("_rn")
