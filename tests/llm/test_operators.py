@@ -183,6 +183,15 @@ def test_sharding_laws(docs):
     assert (spread - 1).sum() <= 15 + 5
 
 
+def test_shards_and_slots_do_not_depend_on_partitions(spark):
+    rng = random.Random(2)
+    rows = [(i, "one hot text" if i % 3 == 0 else f"text {rng.randrange(300)}" if i % 3 == 1 else f"own {i}") for i in range(1000)]
+    seen = []
+    for deal in (lambda d: d.repartition(1), lambda d: d.repartition(7, "text"), lambda d: d.orderBy(F.desc("doc_id"))):
+        seen.append({tuple(r) for r in sharding.shard(deal(spark.createDataFrame(rows, "doc_id long, text string"))).select("doc_id", "shard", "slot").collect()})
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 1000
+
+
 @pytest.mark.parametrize("n", [200, 20000])
 def test_propagation_cuts_fewer_links_than_the_start(spark, n):
     rng = random.Random(4)
@@ -301,49 +310,80 @@ def test_patience_alignment():
     assert linededup.aligned(a, b) == [(0, 1)] and linededup.aligned(a, c) == []
 
 
-def test_blocks_in_another_order_go_if_they_are_long():
+def test_what_the_diff_leaves_out_is_looked_up():
     rng = random.Random(1)
     one, two = ("\n".join(prose(rng, 9) for _ in range(n)) for n in (7, 12))
     a, b = packed_lines(f"{one}\n{two}", f"{two}\n{one}")
-    assert linededup.aligned(a, b) == [(0, 11), (12, 18)]
+    assert linededup.aligned(a, b) == [(0, 11)]
+    assert linededup.aligned(a, b, [(10, 12), (12, 14), (16, 18), (3, 5)]) == [(0, 11), (12, 14), (16, 18)]
 
 
-def holds_run(a, b):
-    """Whether two documents share a run of lines that is a block, by brute force."""
-    x, y = ([" ".join(v.split()) for v in t.split("\n") if v.split()] for t in (a, b))
+def in_shared_blocks(a, b):
+    """Lines of b that are in a run of lines that is a block and that a holds too, by brute force from that definition."""
+    x, y = ([(k, " ".join(v.split())) for k, v in enumerate(t.split("\n")) if v.split()] for t in (a, b))
+    gone = set()
     for i in range(len(x)):
         for j in range(len(y)):
             n = 0
-            while i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n]:
+            while i + n < len(x) and j + n < len(y) and x[i + n][1] == y[j + n][1]:
                 n += 1
-            if n and linededup.is_block(sum(len(v.split()) for v in x[i : i + n]), n):
-                return True
-    return False
+            if n and (i == 0 or j == 0 or x[i - 1][1] != y[j - 1][1]):
+                words = sum(len(v.split()) for _, v in y[j : j + n])
+                if words >= 20 or n >= 2 and words >= 10:
+                    gone |= set(range(y[j][0], y[j + n - 1][0] + 1))
+    return gone
+
+
+def deduplicated_lines(texts):
+    out = {}
+    for i, t in texts.items():
+        gone = set().union(*(in_shared_blocks(u, t) for j, u in texts.items() if j < i))
+        out[i] = "\n".join(v for k, v in enumerate(t.split("\n")) if k not in gone)
+    return out
 
 
-@pytest.mark.parametrize("rare", [64, 2])
-def test_line_dedup_equals_aligning_all_pairs(spark, monkeypatch, rare):
-    monkeypatch.setattr(linededup, "RARE", rare)
+def test_line_dedup_equals_the_definition(spark):
     rng = random.Random(12)
     pool = ["\n".join(prose(rng, rng.randrange(4, 12)) for _ in range(rng.randrange(3, 6))) for _ in range(14)]
+    refrain = [prose(rng, 6), prose(rng, 7)]
     texts = {}
     for i in range(60):
         parts = []
-        for k in sorted(rng.sample(range(14), rng.randrange(0, 5))):
+        for k in rng.choices(range(14), k=rng.randrange(0, 5)):  # in any order, some twice
             parts += [prose(rng, rng.randrange(1, 14)), pool[k], "menu"]
+        if i % 6 == 0:
+            parts += refrain * rng.randrange(1, 5)
+        if i % 10 == 0:
+            parts += [""] * 3 + parts[:3]
         texts[i] = "\n".join([*parts, prose(rng, 5)])
-    want = {}
-    for i in texts:
-        gone = set()
-        for j in range(i):
-            if holds_run(texts[j], texts[i]):
-                for x, y in linededup.aligned(*packed_lines(texts[j], texts[i])):
-                    gone |= set(range(x, y + 1))
-        want[i] = "\n".join(v for k, v in enumerate(texts[i].split("\n")) if k not in gone)
     got = {r["doc_id"]: r["text"] for r in linededup.clean(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)).collect()}
+    want = deduplicated_lines(texts)
     assert got == want and sum(len(texts[i]) - len(want[i]) for i in texts) > 3000
 
 
+@pytest.mark.parametrize("more", [1, 63, 64, 300])
+def test_line_dedup_is_alike_for_any_number_of_holders(spark, more):
+    """Two blocks in swapped order, a refrain between other edges, a passage three times."""
+    rng = random.Random(8)
+    two = ["\n".join(prose(rng, 15) for _ in range(2)) for _ in range(2)]
+    refrain = "\n".join([prose(rng, 12), prose(rng, 12)] * 4)
+    passage = prose(rng, 30)
+    first = f"{two[0]}\nmine\n{two[1]}\n{refrain}\nend\n{passage}"
+    texts = {0: first} | {i: f"{two[1]}\n{two[0]}\nother {i}\n{refrain}\n{i} a\n{passage}\n{i} b\n{passage}\n{i} c\n{passage}" for i in range(1, more + 1)}
+    got = {r["doc_id"]: r["text"] for r in linededup.clean(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {0: first} | {i: f"other {i}\n{i} a\n{i} b\n{i} c" for i in range(1, more + 1)}
+
+
+def test_line_dedup_of_very_long_texts(spark):
+    """Longer than a step of the kernels, with blocks at its borders."""
+    rng = random.Random(2)
+    block = "\n".join(prose(rng, 10) for _ in range(4))
+    fill = lambda n: "\n".join(f"{rng.random()} {rng.random()}" for _ in range(n))
+    texts = {1: fill(40000) + "\n" + block, 2: block + "\n" + fill(40000) + "\n" + block, 3: "a\n" + block}
+    got = {r["doc_id"]: r["n_removed"] for r in linededup.clean(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 8, 3: 4}
+
+
 def test_line_dedup_takes_blocks_from_the_later(spark, docs, empty):
     block = "this line has five words\nshort\nanother line of six words here"
     rows = [(1, f"first own line of five words\n{block}\nend"), (2, f"{block}\nunique second line stays right here"), (3, block), (4, None), (5, ""), (6, "short\nend"), (2, f"{block}\nunique second line stays right here"), (None, block), (7, "this line has five words")]

@@ -6,20 +6,18 @@ successive lines of at least WORDS words, or of at least LINES lines and LEAST w
 single short line is no block, however many documents have it.
 
 Candidates: from each line a run goes on, forwards and backwards, until it is a
-block. Such a run's hash is rare: few documents hold it, unless they share the block. Runs that at
-most RARE documents hold pair each holder with the first one (star-shaped: n holders
-make n - 1 pairs). Every line of a shared block is in a run within that block, whose
-first holder is an earlier document, so each shared block is found. Each pair is aligned once by
-patience diff: lines that stand once in both are matched along a longest increasing
+block. Such a run's hash is rare: few documents hold it, unless they share the block. Each later
+holder of a run is paired with its first one (star-shaped: n holders make n - 1 pairs, however many they are). Every line of a
+shared block is in a run within that block, whose first holder is an earlier document, so each shared block is found.
+
+Each pair is aligned once by patience diff: lines that stand once in both are matched along a longest increasing
 run, matches grow over equal neighbours, and the gaps between are treated alike. Aligned
-runs that are blocks are deleted from the later document. A block of over MOVED words
-that the diff leaves out, for it stands in another order, is aligned by itself.
+runs that are blocks are deleted from the later document. What the diff leaves out, since it is in another order,
+repeated, or made of lines that repeat, is aligned by the runs themselves: each run that brought the pair about is looked up in the
+earlier document and deleted where it stands there. So a line goes if, and only if, it is in a block that an earlier document holds too.
 
-Runs of more than RARE documents take an exact way without pairs: the run's own
-lines are deleted from every holder but the first, which is what aligning it with the
-first would delete. So no document is paired with more than RARE - 1 others by one of its runs.
-Runs with over 1/4096 of all holders (4,096 at most) are joined by broadcast, so no key
-gathers in one task.
+Runs with over 1/4096 of all holders (4,096 at most) are joined by broadcast, so no key gathers in one task; a first
+holder that very many are paired with is a hot key of one join, whose other side has one row for it: adaptive execution splits it.
 
 Line hashes (64 bits, the last six a count of words), not texts, are joined; texts move
 once, to have lines taken out. Python gets batches of bounded bytes (store.lean) or one pair.
@@ -42,7 +40,7 @@ from pyspark.sql import functions as F
 from tidewire.llm import kernels as K
 from tidewire.llm.store import Shelf, lean
 
-WORDS, LINES, LEAST, MOVED, RARE = 20, 2, 10, 50, 64
+WORDS, LINES, LEAST = 20, 2, 10
 #: A run with this part of all holders is joined by broadcast.
 HEAVY = 4096
 #: The bits of a line's hash that count its words, up to this number.
@@ -172,42 +170,43 @@ def blocks(pairs: list[tuple[int, int]], words: list[int]) -> list[tuple[int, in
     return out
 
 
-def aligned(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Ranges (first line, last line) of ``b`` that are aligned with lines of ``a``, as packed hashes."""
+def aligned(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+    """Ranges (first line, last line) of ``b`` that are aligned with lines of ``a``, as packed hashes. anchors: ranges of ``b`` to look up in ``a`` where the diff leaves them out."""
     at_a, at_b = np.flatnonzero(a & K.U(MANY)), np.flatnonzero(b & K.U(MANY))
-    x, y = a[at_a].tolist(), b[at_b].tolist()
-    words = [v & MANY for v in y]
-    if x == y:
-        return [(int(at_b[0]), int(at_b[-1]))] if is_block(sum(words), len(y)) else []
-    found = blocks(patience(x, y), words)
-    gone = np.zeros(len(y), bool)
-    for _, j, n in found:
-        gone[j : j + n] = True
-    # blocks in another order: what stands around a line that is once in a
-    place: dict[int, int] = {}
-    for i, v in enumerate(x):
-        place[v] = -1 if v in place else i
-    j = 0
-    while j < len(y):
-        i, low, high = place.get(y[j], -1), j, j + 1
-        if i >= 0 and not gone[j]:
-            shift = i - j
-            while high < len(y) and high + shift < len(x) and not gone[high] and x[high + shift] == y[high]:
-                high += 1
-            while low > 0 and low + shift > 0 and not gone[low - 1] and x[low - 1 + shift] == y[low - 1]:
-                low -= 1
-            if sum(words[low:high]) > MOVED:
-                found.append((low + shift, low, high - low))
-                gone[low:high] = True
-        j = high
-    return sorted((int(at_b[j]), int(at_b[j + n - 1])) for _, j, n in found)
-
-
-def common(mine: pa.Array, theirs: pa.Array) -> pa.Array:
-    """Ranges of lines of the later document that are aligned with the earlier one, as first and last in turn."""
+    x, y = a[at_a], b[at_b]
+    words = (y & K.U(MANY)).tolist()
+    if len(x) == len(y) and (x == y).all():
+        return [(int(at_b[0]), int(at_b[-1]))] if len(y) and is_block(sum(words), len(y)) else []
+    # lines that only one has match nothing; blocks are told by their places among all
+    of_x, of_y = np.flatnonzero(np.isin(x, y)), np.flatnonzero(np.isin(y, x))
+    pairs = [(int(of_x[i]), int(of_y[j])) for i, j in patience(x[of_x].tolist(), y[of_y].tolist())]
+    found = [(int(at_b[j]), int(at_b[j + n - 1])) for _, j, n in blocks(pairs, words)]
+    gone = np.zeros(len(b) + 1, np.int64)
+    for first, last in found:
+        gone[first] += 1
+        gone[last + 1] -= 1
+    covered = np.concatenate([[0], np.cumsum(np.cumsum(gone[:-1]) > 0)])
+    earlier, known = x.tobytes(), {}
+    for first, last in anchors:
+        if covered[last + 1] - covered[first] == last + 1 - first:
+            continue
+        run = y[np.searchsorted(at_b, first) : np.searchsorted(at_b, last, "right")].tobytes()
+        if run not in known:
+            place = earlier.find(run)
+            while place % 8 and place >= 0:
+                place = earlier.find(run, place + 1)
+            known[run] = place >= 0
+        if known[run]:
+            found.append((first, last))
+    return sorted(found)
+
+
+def common(mine: pa.Array, theirs: pa.Array, runs: pa.Array) -> pa.Array:
+    """Ranges of lines of the later document that are aligned with the earlier one, as first and last in turn. runs: what both hold, likewise."""
     out = []
-    for b, a in zip(mine, theirs, strict=True):
-        ranges = aligned(np.frombuffer(a.as_buffer(), K.U), np.frombuffer(b.as_buffer(), K.U))
+    for b, a, r in zip(mine, theirs, runs, strict=True):
+        r = r.values.to_numpy()
+        ranges = aligned(np.frombuffer(a.as_buffer(), K.U), np.frombuffer(b.as_buffer(), K.U), list(zip(r[::2].tolist(), r[1::2].tolist(), strict=True)))
         out.append([x for r in ranges for x in r])
     return pa.array(out, pa.list_(pa.int32()))
 
@@ -225,15 +224,14 @@ def repeated_lines(docs: DataFrame, shelf: Shelf) -> DataFrame:
     large = held.join(F.broadcast(few), "run")
     small = held.join(F.broadcast(few.select("run")), "run", "left_anti").join(first, "run")
     later = shelf.put(large.unionByName(small).where("doc_id > first"))
-    own = later.where(F.col("n") > RARE).select("doc_id", "fp", F.array("a", "b").alias("ranges"))
-    pairs = later.where(F.col("n") <= RARE).select("doc_id", "fp", "first").distinct()
+    pairs = later.groupBy("doc_id", "fp", "first").agg(F.flatten(F.collect_list(F.array("a", "b"))).alias("runs"))
     # an id's rows with equal texts are one document here
     one = slim.select("doc_id", "fp", "lines").dropDuplicates(["doc_id", "fp"])
     theirs = one.select(F.col("doc_id").alias("first"), F.col("lines").alias("theirs"))
-    both = pairs.join(theirs, "first").join(one.withColumnRenamed("lines", "mine"), ["doc_id", "fp"])
-    found = both.select("doc_id", "fp", F.arrow_udf(common, "array<int>")("mine", "theirs").alias("ranges")).where("size(ranges) > 0")
+    both = pairs.join(one.withColumnRenamed("lines", "mine"), ["doc_id", "fp"]).join(theirs, "first")
+    found = both.select("doc_id", "fp", F.arrow_udf(common, "array<int>")("mine", "theirs", "runs").alias("ranges")).where("size(ranges) > 0")
     spans = F.flatten(F.transform(F.sequence(F.lit(0), F.size("ranges") - 2, F.lit(2)), lambda i: F.sequence(F.get("ranges", i), F.get("ranges", i + 1))))
-    gone = found.unionByName(own).groupBy("doc_id", "fp").agg(F.array_distinct(F.flatten(F.collect_set(spans))).alias("gone"))
+    gone = found.groupBy("doc_id", "fp").agg(F.array_distinct(F.flatten(F.collect_set(spans))).alias("gone"))
     return shelf.keep_only(shelf.put(gone))
 
 

@@ -18,7 +18,7 @@ A hub of at least 1/4096 of all rows is dealt over several keys in joins and buc
 are at most 4,096 such hubs, which bounds what is collected and broadcast. Counts are
 made on the map side first. Null texts have size 1 and checksum 0 and no link of their
 own; empty texts are equal to each other. A null id is hashed as such. Repeated rows are
-equal texts. Fewer rows than shards leave shards empty.
+equal texts. Salts, labels and slots depend on rows alone, not on how they are partitioned, so reruns and tasks that are made again agree. Fewer rows than shards leave shards empty.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ MOST, ROUNDS, FEW = 32768, 12, 0.0005
 
 def _salted(edges: DataFrame, counts: DataFrame, heavy: DataFrame) -> DataFrame:
     """The rows of ``edges`` whose hub is linked, with salt and big (whether the hub is heavy)."""
-    large = edges.join(heavy, "hub").withColumn("salt", F.floor(F.rand(3) * F.col("salts")).cast("int")).withColumn("big", F.lit(True)).drop("salts")
+    large = edges.join(heavy, "hub").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(3)), F.col("salts")).cast("int")).withColumn("big", F.lit(True)).drop("salts")
     small = edges.join(heavy.select("hub"), "hub", "left_anti").join(counts.select("hub"), "hub").withColumn("salt", F.lit(0)).withColumn("big", F.lit(False))
     return large.unionByName(small)
 
