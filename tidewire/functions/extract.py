@@ -34,6 +34,26 @@ def page_text(html: Column) -> tuple[Column, Column]:
     return cascade([(paragraphs(html), 200, "ok"), (T.html_text(html), 100, "partial")])
 
 
+def levels(found: Column) -> tuple[Column, Column, Column]:
+    """Text, status and method from what ``dom.Extractor`` found: the site's own blocks (their least length is the site's), dense text of 200 letters, all running text of 100."""
+    ok = [found["site"].isNotNull(), F.char_length(found["precise"]) >= 200, F.char_length(found["broad"]) >= 100]
+    pick = lambda values, other: F.coalesce(*(F.when(k, v) for k, v in zip(ok, values, strict=True)), other)
+    text = pick([found["site"], found["precise"], found["broad"]], F.lit(None).cast("string"))
+    return text, pick([F.lit("ok"), F.lit("ok"), F.lit("partial")], F.lit("extraction_failed")), pick([F.lit("site"), F.lit("precision"), F.lit("recall")], F.lit("failed_all_levels"))
+
+
+def short_safe(found: Column) -> tuple[Column, Column]:
+    """Text and status of an article from trusted blocks alone, short ones too."""
+    return found["site"], F.when(found["site"].isNull(), "extraction_failed").when(F.char_length(found["site"]) >= 200, "ok").otherwise("partial")
+
+
+def turbo_or_page(turbo: Column, paragraph_blocks: Column, page: Column, least: Column) -> tuple[Column, Column, Column]:
+    """Text, status and reason: the structured text where it is good, else the page's where that is much longer, else the structured one as partial."""
+    reason = candidate_quality(turbo, least, paragraph_blocks)
+    good, better = reason == "ok", fallback_is_better(page, turbo)
+    return F.when(~good & better, page).otherwise(turbo), F.when(good | better, "ok").otherwise("partial"), reason
+
+
 def apply_rules(text: Column, rules: list[tuple[str, str]]) -> Column:
     """Rules in order: strip_tail (pattern to the end), drop_lines_starting, drop_lines_matching, unescape."""
 
@@ -55,10 +75,11 @@ def apply_rules(text: Column, rules: list[tuple[str, str]]) -> Column:
     return reduce(step, rules, text)
 
 
-def without_title(text: Column, title: Column) -> Column:
-    """The text without its first line where that is the title."""
-    same = T.normal(F.substring_index(text, "\n", 1)) == T.normal(title)
-    return F.when(same, F.regexp_replace(text, r"^[^\n]*\n?", "")).otherwise(text)
+def without_title(text: Column, title: Column, lead: bool = False) -> Column:
+    """The text without its first line where that is the title, and with ``lead`` without the line after it too (a page's own lead); null if nothing is left. Such texts lose blank lines."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    same = (F.size(lines) > 0) & (T.normal(F.get(lines, F.lit(0))) == T.normal(title)) & (T.normal(title) != "")
+    return F.when(F.coalesce(same, F.lit(False)), F.nullif(F.trim(F.array_join(F.slice(lines, 3 if lead else 2, 1 << 30), "\n")), F.lit(""))).otherwise(text)
 
 
 def noise(text: Column, markers: tuple[str, ...]) -> Column:

@@ -4,16 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewire.functions import dom
 from tidewire.functions import extract as X
 from tidewire.functions import text as T
 from tidewire.operators.retrieval import ranked
 from tidewire.plans.registry import query
 
 
+#: How the tables' pages mark their articles.
+PAGES = dom.Extractor({"pages": dom.Site(("h1", "p"), roots=("article",), must=True, without=("script", "style", "figure", "noscript", "iframe", "aside", "div.ad"))}, drop=("nav", "div.ad"))
+
+
 @query()
 def extraction_cascade(t):
-    text, status = X.page_text(F.col("html"))
-    return t.pages.select("page_id", text.alias("text"), status.alias("status"))
+    """Every third page is of a site whose marks aren't known."""
+    known = F.when(F.col("page_id") % 3 > 0, "pages")
+    text, status, method = X.levels(F.col("found"))
+    rows = t.pages.select("page_id", PAGES.column(F.col("html"), known).alias("found"))
+    return rows.select("page_id", text.alias("text"), status.alias("status"), method.alias("method"), F.col("found.blocks").alias("blocks"))
+
+
+@query()
+def short_safe_articles(t):
+    text, status = X.short_safe(F.col("found"))
+    return t.pages.select("page_id", PAGES.column(F.col("html"), F.lit("pages")).alias("found")).select("page_id", text.alias("text"), status.alias("status"))
+
+
+@query()
+def turbo_articles(t):
+    """An article's own markup as the structured part, the page as what may replace it."""
+    inner = F.regexp_extract("html", "(?s)<article[^>]*>(.*)</article>", 1)
+    rows = t.pages.select("page_id", dom.structured_blocks(inner, F.lit("")).alias("turbo"), PAGES.column(F.col("html"), F.lit(None).cast("string")).alias("found"))
+    text = F.array_join(F.filter(F.transform("turbo", lambda b: F.when(b["kind"] != "image", b["text"])), lambda x: x.isNotNull()), "\n\n")
+    chosen, status, reason = X.turbo_or_page(text, F.size(F.filter("turbo", lambda b: b["kind"] == "paragraph")), F.col("found.precise"), F.lit(500))
+    return rows.select("page_id", chosen.alias("text"), status.alias("status"), reason.alias("reason"), F.size("turbo").alias("blocks"))
+
+
+@query(r"""WITH c AS (SELECT page_id, regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '(<(script|style)\b[^>]*>).*?</(script|style)>', '\1', 'gs') AS h FROM pages),
+e AS (SELECT page_id, lower(unnest(regexp_extract_all(h, '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS tag FROM c) SELECT page_id, tag, count(*) AS n FROM e GROUP BY page_id, tag""")
+def page_elements(t):
+    return t.pages.select("page_id", F.explode(dom.element_counts(F.col("html"))).alias("e")).select("page_id", "e.*")
 
 
 @query()
