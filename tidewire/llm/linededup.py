@@ -240,7 +240,8 @@ def _cleaned(docs: DataFrame) -> DataFrame:
     gone = repeated_lines(lean(docs), Shelf(docs.sparkSession)).select(F.xxhash64("doc_id", "fp").alias("key_"), F.col("doc_id").alias("id_"), F.col("fp").alias("fp_"), "gone")
     # rows without an id are spread by their texts
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", F.xxhash64("text")).alias("key"), F.xxhash64("text").alias("fp"))
-    joined = rows.join(gone, (F.col("key") == F.col("key_")) & (F.col("row.doc_id") == F.col("id_")) & (F.col("fp") == F.col("fp_")), "left")
+    # one plan at every size: what goes grows with the corpus
+    joined = rows.join(gone.hint("merge"), (F.col("key") == F.col("key_")) & (F.col("row.doc_id") == F.col("id_")) & (F.col("fp") == F.col("fp_")), "left")
     lines = F.split("row.text", "\n", -1)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.get(lines, i))
     cleaned = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
