@@ -23,15 +23,20 @@ def _after(count: Column, rule: Column) -> Column:
     return F.when(count, rule).otherwise(False)
 
 
-def vocabulary(docs: DataFrame, least: int = 2, floor: int = 3) -> DataFrame:
-    """(term, doc_frequency, collection_frequency) of informative terms with at least ``floor`` occurrences.
-
-    Occurrences are summed by (term, document) first, so a common term reaches its
-    final task as one row a partition.
-    """
+def term_counts(docs: DataFrame, least: int = 2) -> DataFrame:
+    """(term, doc_frequency, collection_frequency) of all terms. Occurrences are summed by (term, document) first, so a common term reaches its final task as one row a partition."""
     own = terms(docs, least).groupBy("term", "doc_id").agg(F.count("*").alias("n"))
-    all_ = own.groupBy("term").agg(F.count("*").alias("doc_frequency"), F.sum("n").alias("collection_frequency"))
-    return all_.where(_after(F.col("collection_frequency") >= floor, T.is_informative(F.col("term"))))
+    return own.groupBy("term").agg(F.count("*").alias("doc_frequency"), F.sum("n").alias("collection_frequency"))
+
+
+def vocabulary_of(counts: DataFrame, floor: int = 3) -> DataFrame:
+    """The informative terms with at least ``floor`` occurrences."""
+    return counts.where(_after(F.col("collection_frequency") >= floor, T.is_informative(F.col("term"))))
+
+
+def vocabulary(docs: DataFrame, least: int = 2, floor: int = 3) -> DataFrame:
+    """(term, doc_frequency, collection_frequency) of informative terms with at least ``floor`` occurrences."""
+    return vocabulary_of(term_counts(docs, least), floor)
 
 
 def pairs(docs: DataFrame, least: int = 2) -> DataFrame:
@@ -41,28 +46,52 @@ def pairs(docs: DataFrame, least: int = 2) -> DataFrame:
     return both.select("p.a", "p.b")
 
 
-def collocations(docs: DataFrame, least: int = 2, frequency: int = 5, pmi: float = 3.0) -> DataFrame:
-    """(term_a, term_b, pmi_score, frequency) of neighbours that are seen together more than chance has it (natural logarithm).
+def useful_pair(a: Column, b: Column) -> Column:
+    return (F.translate(a, "ё", "е") != F.translate(b, "ё", "е")) & T.is_informative(a) & T.is_informative(b)
 
-    The rule on terms runs once a distinct term; pairs are joined to the terms that pass, counted, and written once for both of their uses.
+
+def collocations_of(single: DataFrame, paired: DataFrame, frequency: int = 5, pmi: float = 3.0) -> DataFrame:
+    """(term_a, term_b, pmi_score, frequency) from the counts of informative terms (term, n) and of their neighbourhoods (a, b, n): those seen together more than chance has it (natural logarithm).
+
+    Pairs below ``frequency`` count in the total alone: they fall into one row a task before anything is joined or written.
     """
-    single = settle(terms(docs, least).groupBy("term").agg(F.count("*").alias("n")).where(_after(F.col("n") > 0, T.is_informative(F.col("term")))))
+    often = F.col("n") >= frequency
+    cut = settle(paired.groupBy(F.when(often, F.col("a")).alias("a"), F.when(often, F.col("b")).alias("b")).agg(F.sum("n").alias("n")))
+    total = cut.agg(F.sum("n").alias("pairs")).crossJoin(single.agg(F.sum("n").alias("singles")))  # one row
     a, b = (single.select(F.col("term").alias(k), F.col("n").alias(f"n_{k}")) for k in "ab")
-    counted = pairs(docs, least).where(F.translate("a", "ё", "е") != F.translate("b", "ё", "е")).groupBy("a", "b").agg(F.count("*").alias("n"))
-    seen = settle(counted.join(a, "a").join(b, "b"))
-    total = seen.agg(F.sum("n").alias("pairs")).crossJoin(single.agg(F.sum("n").alias("singles")))  # one row
-    rows = seen.where(F.col("n") >= frequency).crossJoin(F.broadcast(total))
+    rows = cut.where("a IS NOT NULL").join(a, "a").join(b, "b").crossJoin(F.broadcast(total))
     score = F.ln((F.col("n") / F.col("pairs")) / ((F.col("n_a") / F.col("singles")) * (F.col("n_b") / F.col("singles"))))
     return rows.withColumn("pmi_score", score).where(F.col("pmi_score") >= pmi).select(F.col("a").alias("term_a"), F.col("b").alias("term_b"), F.round("pmi_score", 4).alias("pmi_score"), F.col("n").alias("frequency"))
 
 
+def collocations(docs: DataFrame, least: int = 2, frequency: int = 5, pmi: float = 3.0) -> DataFrame:
+    """``collocations_of`` the documents. The rule on terms runs once a distinct term and once a distinct pair, not once an occurrence."""
+    single = settle(terms(docs, least).groupBy("term").agg(F.count("*").alias("n")).where(_after(F.col("n") > 0, T.is_informative(F.col("term")))))
+    paired = pairs(docs, least).groupBy("a", "b").agg(F.count("*").alias("n")).where(_after(F.col("n") > 0, useful_pair(F.col("a"), F.col("b"))))
+    return collocations_of(single, paired, frequency, pmi)
+
+
+def postings(docs: DataFrame, least: tuple[int, ...] = (2,), wanted: DataFrame | None = None) -> DataFrame:
+    """(doc_id, term, tf, size_2, ...): a document's terms with their counts, and for each of ``least`` how many of its tokens have so many letters.
+
+    One pass over the texts serves all weights. wanted: the terms (term) that are asked for; others go before they are counted or shuffled.
+    """
+    made = docs.select("doc_id", T.words(F.col("text"), min(least)).alias("w"))
+    long = lambda n: lambda x: F.char_length(x) >= n
+    sizes = [F.size("w" if n == min(least) else F.filter("w", long(n))).alias(f"size_{n}") for n in least]
+    # sizes are columns before the explode: what stands beside it is computed once a row it makes
+    made = made.select("doc_id", "w", *sizes).select("doc_id", *(f"size_{n}" for n in least), F.explode("w").alias("term"))
+    if wanted is not None:
+        made = made.join(wanted.select("term").distinct(), "term", "left_semi")
+    return made.groupBy("doc_id", "term", *(f"size_{n}" for n in least)).agg(F.count("*").alias("tf"))
+
+
 def tfidf(docs: DataFrame, least: int = 2) -> DataFrame:
     """(doc_id, term, weight): share of the document's tokens times ln(documents / document frequency)."""
-    tf = terms(docs, least).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    size = tf.groupBy("doc_id").agg(F.sum("tf").alias("size"))
+    tf = settle(postings(docs, (least,)))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("docs"))
-    return tf.join(size, "doc_id").join(df, "term").crossJoin(F.broadcast(n)).select("doc_id", "term", (F.col("tf") / F.col("size") * F.ln(F.col("docs") / F.col("df"))).alias("weight"))
+    return tf.join(df, "term").crossJoin(F.broadcast(n)).select("doc_id", "term", (F.col("tf") / F.col(f"size_{least}") * F.ln(F.col("docs") / F.col("df"))).alias("weight"))
 
 
 def keywords(docs: DataFrame, count: int = 8, least: int = 4) -> DataFrame:
@@ -71,15 +100,15 @@ def keywords(docs: DataFrame, count: int = 8, least: int = 4) -> DataFrame:
     return tfidf(docs, least).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= count)
 
 
-def sparse_vectors(docs: DataFrame, least: int = 2, digits: int = 8, wanted: DataFrame | None = None) -> DataFrame:
-    """(doc_id, idx, val): token shares summed by hashed index. wanted: the indices (idx) that are asked for; others go before they are shuffled."""
-    w = T.words(F.col("text"), least)
-    # tokens are a column first: what stands beside an explode is computed once a row it makes
-    tf = docs.select("doc_id", w.alias("w")).select("doc_id", F.size("w").alias("size"), F.explode("w").alias("term"))
-    if wanted is not None:
-        tf = tf.withColumn("idx", T.hash_number(F.col("term"), digits)).join(wanted.select("idx").distinct(), "idx", "left_semi")
-    tf = tf.groupBy("doc_id", "term", "size").agg(F.count("*").alias("tf"))
-    return tf.groupBy("doc_id", T.hash_number(F.col("term"), digits).alias("idx")).agg(F.round(F.sum(F.col("tf") / F.col("size")), 6).alias("val"))
+def sparse_vectors(docs: DataFrame, least: int = 2, digits: int = 8) -> DataFrame:
+    """(doc_id, idx, val): token shares summed by hashed index."""
+    return sparse_of(postings(docs, (least,)), least, digits)
+
+
+def sparse_of(posts: DataFrame, least: int = 2, digits: int = 8) -> DataFrame:
+    """Sparse vectors from postings. Each distinct term is hashed once, not each of its places."""
+    idx = posts.select("term").distinct().withColumn("idx", T.hash_number(F.col("term"), digits))
+    return posts.join(idx, "term").groupBy("doc_id", "idx").agg(F.round(F.sum(F.col("tf") / F.col(f"size_{least}")), 6).alias("val"))
 
 
 def sparse_dot(index: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
@@ -90,37 +119,47 @@ def sparse_dot(index: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     return score.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, limit: int, k1: float = 1.2, b: float = 0.75, least: int = 3) -> DataFrame:
-    """(query_id, doc_id, score, rank) for queries (query_id, text). Postings are cut to the queries' terms before they are shuffled."""
-    q = queries.select("query_id", F.explode(F.array_distinct(T.words(F.col("text"), least))).alias("term"))
-    wanted = q.select("term").distinct()
-    tf = terms(docs, least).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    size = docs.select("doc_id", F.size(T.words(F.col("text"), least)).alias("size"))
-    stats = size.agg(F.avg("size").alias("mean"), F.count("*").alias("docs"))
-    tf = tf.join(wanted, "term", "left_semi")
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    rows = tf.join(df, "term").join(size, "doc_id").crossJoin(F.broadcast(stats))
+def query_terms(queries: DataFrame, least: int = 3) -> DataFrame:
+    """(query_id, term): a query's distinct terms."""
+    return queries.select("query_id", F.explode(F.array_distinct(T.words(F.col("text"), least))).alias("term"))
+
+
+def bm25_weights(posts: DataFrame, stats: DataFrame, k1: float = 1.2, b: float = 0.75, least: int = 3) -> DataFrame:
+    """(term, doc_id, w) of postings; stats: one row (mean, docs) of the whole corpus."""
+    df = posts.groupBy("term").agg(F.count("*").alias("df"))
+    rows = posts.join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.ln(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    rows = rows.withColumn("w", idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean"))))
-    score = rows.join(q, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
+    return rows.select("term", "doc_id", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col(f"size_{least}") / F.col("mean")))).alias("w"))
+
+
+def corpus_stats(docs: DataFrame, least: int = 3) -> DataFrame:
+    return docs.select(F.size(T.words(F.col("text"), least)).alias("size")).agg(F.avg("size").alias("mean"), F.count("*").alias("docs"))
+
+
+def best_sums(weights: DataFrame, terms_: DataFrame, limit: int) -> DataFrame:
+    """(query_id, doc_id, score, rank): sums of the weights (term, doc_id, w) of each query's terms, the ``limit`` best; ties to nine digits by id."""
+    score = weights.join(terms_, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
     return score.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit)
 
 
-def autocorrect(words: DataFrame, vocab: DataFrame, similar: float = 0.5, distance: int = 2) -> DataFrame:
-    """(word, corrected, distance) for words (word) that the vocabulary (term, doc_frequency) lacks.
+def bm25(docs: DataFrame, queries: DataFrame, limit: int, k1: float = 1.2, b: float = 0.75, least: int = 3, posts: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank) for queries (query_id, text). Postings are cut to the queries' terms before they are counted. posts: postings that are there already, of all these terms."""
+    q = query_terms(queries, least)
+    tf = settle(postings(docs, (least,), q)) if posts is None else posts.where(F.char_length("term") >= least)
+    return best_sums(bm25_weights(tf, corpus_stats(docs, least), k1, b, least), q, limit)
 
-    Candidates come from an equi join on trigrams, not from pairs of all words with all terms.
-    """
-    unknown = words.select("word").distinct().join(vocab.select(F.col("term").alias("word")), "word", "left_anti")
-    grams = lambda df, c: df.withColumn("grams", T.trigrams(F.col(c))).withColumn("gram", F.explode("grams"))
-    left = grams(unknown, "word").select("word", F.size("grams").alias("n"), "gram")
-    right = grams(vocab, "term").select("term", "doc_frequency", F.size("grams").alias("m"), "gram")
-    both = left.join(right, "gram").groupBy("word", "term", "n", "m", "doc_frequency").agg(F.count("*").alias("shared"))
-    near = both.where(F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")) >= similar).withColumn("distance", F.levenshtein("word", "term").cast("long"))
-    order = Window.partitionBy("word").orderBy("distance", F.desc("doc_frequency"), "term")
-    best = near.withColumn("r", F.row_number().over(order)).where("r = 1")
-    return best.where(F.col("distance") <= distance).select("word", F.col("term").alias("corrected"), "distance")
+
+def lexical_and_sparse(docs: DataFrame, queries: DataFrame, depth: int, more: DataFrame | None = None) -> DataFrame:
+    """(query_id, list, id, rank): the full-text and the sparse list of each query (query_id, text), both from one table of postings. more: further terms (query_id, term) of the sparse list."""
+    q = query_terms(queries)
+    words = q if more is None else q.union(more.select("query_id", "term")).distinct()
+    words = settle(words)
+    posts = settle(postings(docs, (2, 3), words))
+    lexical = best_sums(bm25_weights(posts.join(q.select("term").distinct(), "term", "left_semi"), corpus_stats(docs)), q, depth)
+    index = words.groupBy("query_id", T.hash_number(F.col("term")).alias("idx")).agg(F.count("*").cast("double").alias("val"))
+    sparse = sparse_dot(sparse_of(posts), index, depth)
+    return lexical.select("query_id", F.lit("lexical").alias("list"), F.col("doc_id").alias("id"), "rank").union(sparse.select("query_id", F.lit("sparse").alias("list"), F.col("doc_id").alias("id"), "rank"))
 
 
 def suggestions(vocab: DataFrame, prefix: str, limit: int = 10) -> DataFrame:

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
 from tidewire.operators import corpus as C
+from tidewire.operators import index as X
+from tidewire.operators import matching as M
 from tidewire.plans.registry import query
+from tidewire.sources.store import Scratch
 
 WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 STOP = ", ".join(f"'{x}'" for x in T.STOP_TERMS)
@@ -69,9 +72,9 @@ QUERY_TERMS = "q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(reg
 r AS (SELECT query_id, doc_id, sum(val * w) AS score FROM s JOIN h ON s.idx = h.idx GROUP BY ALL),
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM r) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM o WHERE rank <= 20""")
 def tfidf_sparse_search(t):
-    q = t.benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.words(F.col("text"), 3))).alias("term"))
-    q = q.groupBy("query_id", T.hash_number(F.col("term")).alias("idx")).agg(F.count("*").cast("double").alias("val"))
-    return C.sparse_dot(C.sparse_vectors(t.documents, wanted=q), q, 20).withColumn("score", F.round("score", 6))
+    q = C.query_terms(t.benchmark.select(F.col("item_id").alias("query_id"), "text"))
+    index = q.groupBy("query_id", T.hash_number(F.col("term")).alias("idx")).agg(F.count("*").cast("double").alias("val"))
+    return C.sparse_dot(C.sparse_of(C.postings(t.documents, wanted=q)), index, 20).withColumn("score", F.round("score", 6))
 
 
 BM25 = f"""{QUERY_TERMS}, t AS (SELECT doc_id, unnest(list_filter({WORDS}, lambda w: length(w) >= 3)) AS term FROM documents),
@@ -98,7 +101,34 @@ r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, doc_freq
 def query_autocorrect_candidates(t):
     vocab = C.vocabulary(t.documents).where("term RLIKE '^[a-z]+$' AND char_length(term) >= 5 AND doc_frequency >= 5")
     typos = vocab.where("char_length(term) >= 8").select(F.concat(F.substring("term", 1, 2), F.expr("substring(term, 4)")).alias("word"))
-    return C.autocorrect(typos, vocab)
+    return M.autocorrect(typos, vocab)
+
+
+@query(f"""WITH {VOCABULARY}, k AS (SELECT term FROM v WHERE regexp_full_match(term, '[a-zäöüßéèñóíá]+') AND length(term) >= 6 ORDER BY collection_frequency DESC, term LIMIT 400) SELECT doc_id AS id, term AS pattern FROM documents, k WHERE contains(lower(text), term)""")
+def texts_with_keywords(t):
+    """The 400 commonest longer terms, anywhere in every text."""
+    terms = C.vocabulary(t.documents).where("term RLIKE '^[a-zäöüßéèñóíá]+$' AND char_length(term) >= 6").orderBy(F.desc("collection_frequency"), "term").limit(400)
+    return M.contained(t.documents.select(F.col("doc_id").alias("id"), F.lower("text").alias("text")), terms.select(F.col("term").alias("pattern")))
+
+
+CORRECTED = f"""WITH {VOCABULARY}, a AS (SELECT term, doc_frequency FROM v WHERE length(term) >= 3 AND doc_frequency >= 20), q0 AS (SELECT item_id AS query_id, string_split_regex(trim(text), '\\s+') AS ws FROM benchmark),
+q1 AS (SELECT query_id, unnest(range(len(ws))) AS place, unnest(ws) AS w FROM q0), q AS (SELECT query_id, place, CASE WHEN place % 3 = 0 AND length(w) > 6 THEN substr(w, 1, 2) || substr(w, 4) ELSE w END AS w FROM q1 WHERE w <> ''),
+y AS (SELECT *, CASE WHEN length(w) >= 3 AND regexp_full_match(w, '[A-Za-zА-Яа-яЁё-]+') AND lower(w[1]) = w[1] AND {useful('lower(w)')} THEN lower(w) END AS word FROM q), u AS (SELECT DISTINCT word FROM y WHERE word IS NOT NULL AND word NOT IN (SELECT term FROM a)),
+g AS (SELECT word, list_distinct(list_transform(range(1, length(word) + 1), lambda i: substr('^' || word || '$', i, 3))) AS grams FROM u), h AS (SELECT term, doc_frequency, list_distinct(list_transform(range(1, length(term) + 1), lambda i: substr('^' || term || '$', i, 3))) AS grams FROM a),
+b AS (SELECT word, term, n, m, doc_frequency, count(*) AS shared FROM (SELECT word, len(grams) AS n, unnest(grams) AS gram FROM g) JOIN (SELECT term, doc_frequency, len(grams) AS m, unnest(grams) AS gram FROM h) USING (gram) GROUP BY ALL),
+c AS (SELECT word, term, levenshtein(word, term) AS distance, row_number() OVER (PARTITION BY word ORDER BY levenshtein(word, term), doc_frequency DESC, term) AS r FROM b WHERE shared::DOUBLE / (n + m - shared) >= 0.5), k AS (SELECT word, term FROM c WHERE r = 1 AND distance <= 2)
+SELECT query_id, string_agg(coalesce(term, w), ' ' ORDER BY place) AS corrected, bool_or(term IS NOT NULL) AS was_corrected FROM y LEFT JOIN k USING (word) GROUP BY query_id"""
+
+
+@query(CORRECTED)
+def corrected_queries(t):
+    return M.corrected_queries(spoilt_queries(t), C.vocabulary(t.documents).where("char_length(term) >= 3 AND doc_frequency >= 20"))
+
+
+def spoilt_queries(t):
+    """Every third longer word of a query lacks a letter."""
+    spoilt = "array_join(transform(filter(split(trim(text), '\\\\s+'), w -> w <> ''), (w, i) -> IF(i % 3 = 0 AND char_length(w) > 6, concat(substring(w, 1, 2), substring(w, 4)), w)), ' ')"
+    return t.benchmark.selectExpr("item_id AS query_id", f"{spoilt} AS text")
 
 
 @query(f"WITH {VOCABULARY} SELECT * FROM v WHERE lower(term) LIKE 'th%' ORDER BY doc_frequency DESC, collection_frequency DESC, term LIMIT 10")
@@ -106,12 +136,15 @@ def suggest_prefix(t):
     return C.suggestions(C.vocabulary(t.documents), "th")
 
 
-@query(f"""WITH {COLLOCATIONS}, e AS (SELECT term_a, term_b, round(pmi_score * ln(1 + frequency), 6) AS weight FROM k WHERE (length(term_a) >= 4 OR term_a IN ({SHORT})) AND (length(term_b) >= 4 OR term_b IN ({SHORT}))),
+EXPANDED = f"""WITH {COLLOCATIONS}, e AS (SELECT term_a, term_b, round(pmi_score * ln(1 + frequency), 6) AS weight FROM k WHERE (length(term_a) >= 4 OR term_a IN ({SHORT})) AND (length(term_b) >= 4 OR term_b IN ({SHORT}))),
 q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS tokens FROM benchmark), i AS (SELECT query_id, tokens, unnest(tokens) AS token FROM q),
 f AS (SELECT query_id, tokens, term_a, term_b, weight FROM i JOIN e ON token = term_a UNION ALL SELECT query_id, tokens, term_a, term_b, weight FROM i JOIN e ON token = term_b),
 n AS (SELECT DISTINCT query_id FROM f WHERE list_contains(tokens, term_a) AND list_contains(tokens, term_b)),
 g AS (SELECT DISTINCT query_id, term_a || ' ' || term_b AS phrase, weight FROM f WHERE query_id NOT IN (SELECT query_id FROM n)),
-o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, phrase) AS rank FROM g) SELECT query_id, phrase, weight, rank FROM o WHERE rank <= 3""")
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, phrase) AS rank FROM g) SELECT query_id, phrase, weight, rank FROM o WHERE rank <= 3"""
+
+
+@query(EXPANDED)
 def query_expansion(t):
     return C.expansions(t.benchmark.select(F.col("item_id").alias("query_id"), "text"), C.collocations(t.documents))
 
@@ -169,3 +202,36 @@ FROM (SELECT *, contains(q, 'the')::INT + contains(q, 'und')::INT + contains(q,
 def intent_classify(t):
     name, sure = T.intent(F.col("text"), (("INTENT", ("the", "und", "que")), ("CAPABILITY", ("tion", "der"))))
     return t.conversations.select("conv_id", "turn", name.alias("intent"), sure.cast("double").alias("confidence"))
+
+
+@query(f"WITH {BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM o WHERE rank <= 20")
+def indexed_search(t):
+    """As ``bm25_search``, by block maxima."""
+    made = X.built(t.documents, Scratch(t.spark))
+    return X.search(made, t.benchmark.select(F.col("item_id").alias("query_id"), "text"), 20).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {BM25}, p AS (SELECT o.*, CASE WHEN doc_id % 7 > 0 THEN doc_id % 50 END AS published FROM o), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, published DESC NULLS LAST, doc_id DESC) AS place FROM p)
+SELECT query_id, doc_id, round(score, 6) AS score, place AS rank FROM k WHERE place <= 20""")
+def full_text_by_date(t):
+    """Ties by date: copies of a text have equal scores."""
+    day = F.when(F.col("doc_id") % 7 > 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 50).cast("int")))
+    made = X.built(t.documents, Scratch(t.spark))
+    return X.search(made, t.benchmark.select(F.col("item_id").alias("query_id"), "text"), 20, t.documents.select("doc_id", day.alias("published_at"))).withColumn("score", F.round("score", 6))
+
+
+_ASKED = "FROM (SELECT query_id AS item_id, corrected AS text FROM cq)"
+
+
+@query(f"""WITH cq AS MATERIALIZED ({CORRECTED}), ex AS MATERIALIZED ({EXPANDED.replace("FROM benchmark", _ASKED)}), bm AS MATERIALIZED (WITH {BM25.replace("FROM benchmark", _ASKED)} SELECT query_id, doc_id AS id, rank FROM o WHERE rank <= 20),
+wd AS (SELECT query_id, unnest(list_filter(regexp_extract_all(lower(corrected), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 3)) AS term FROM cq UNION SELECT query_id, unnest(list_filter(regexp_extract_all(lower(phrase), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 3)) FROM ex),
+sp AS (WITH {SPARSE}, h AS (SELECT query_id, CAST('0x' || substr(sha256(term), 1, 8) AS BIGINT) AS idx, count(*)::DOUBLE AS w FROM wd GROUP BY ALL), r AS (SELECT query_id, doc_id AS id, sum(val * w) AS score FROM s JOIN h ON s.idx = h.idx GROUP BY ALL),
+  o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM r) SELECT query_id, id, rank FROM o WHERE rank <= 30),
+un AS (SELECT query_id, 0 AS list, id, rank FROM sp UNION ALL SELECT query_id, 1, id, rank FROM bm), un1 AS (SELECT *, min(list) OVER (PARTITION BY query_id) AS low FROM un QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY list, rank) = 1),
+pl AS (SELECT query_id, id, CASE WHEN list = 0 THEN 'hybrid' WHEN low = 0 THEN 'supplement' ELSE 'fallback' END AS mode, row_number() OVER (PARTITION BY query_id ORDER BY list, rank) AS position FROM un1), xs AS (SELECT query_id, string_agg(phrase, '; ' ORDER BY rank) AS e FROM ex GROUP BY query_id)
+SELECT query_id, corrected, was_corrected, coalesce(e, '') AS expansions, id, position, mode FROM pl JOIN cq USING (query_id) LEFT JOIN xs USING (query_id)""")
+def search_candidates(t):
+    from tidewire.operators import pipelines
+
+    vocab = C.vocabulary(t.documents).where("char_length(term) >= 3 AND doc_frequency >= 20")
+    return pipelines.candidates(t.documents, spoilt_queries(t), vocab, C.collocations(t.documents)).withColumn("expansions", F.array_join("expansions", "; "))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import scores as S
 from tidewire.operators import events as E
+from tidewire.operators import matching as M
 from tidewire.operators import personal as P
 from tidewire.operators.retrieval import ranked
 from tidewire.plans.registry import query
@@ -97,8 +98,9 @@ def alert_candidates(t):
     spikes = E.entity_profiles(t.events.select(F.col("user_id").alias("entity"), F.col("event_type").alias("source"), F.lit(1).alias("n"), "ts"), day).where("current >= 3 AND current > 2 * baseline").select("entity")
     followed = n.join(u, "entity")
     a, p = kind(followed, "alert_news", F.col("entity"), none), kind(followed.join(spikes, "entity", "left_semi"), "spike", F.col("entity"), none)
-    words = n.withColumn("word", F.regexp_extract("props", r"([0-9]+)\}", 1))  # one number a text here, so containment is equality
-    d = kind(words.drop("entity").join(u, "word"), "keyword_match", no_id, F.concat(F.lit('k": '), F.col("word"), F.lit("}")))
+    tracked = u.select("user_id", F.concat(F.lit('k": '), F.col("word"), F.lit("}")).alias("pattern"))
+    found = M.contained(n.select(F.col("news_id").alias("id"), F.col("props").alias("text")), tracked)
+    d = kind(found.withColumnRenamed("id", "news_id").join(tracked, "pattern"), "keyword_match", no_id, F.col("pattern"))
     b = kind(first(n.where("topic = 'error' AND value > 90 AND news_id % 2 = 1")).crossJoin(u.where("c_mktsegment = 'MACHINERY'")), "breaking", no_id, none)
     c = kind(first(n.where("topic = 'purchase'")).crossJoin(u.where("c_mktsegment = 'BUILDING'")), "tracked_topic", no_id, F.col("topic"))
     return P.alerts([a, b, c, d, p])

@@ -51,11 +51,7 @@ l AS (SELECT * FROM a UNION ALL SELECT * FROM b)"""
 def lists_of(t):
     from tidewire.operators import corpus as C
 
-    a = C.bm25(t.documents, t.benchmark.select(F.col("item_id").alias("query_id"), "text"), 20).select("query_id", F.lit("lexical").alias("list"), F.col("doc_id").alias("id"), "rank")
-    q = t.benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.words(F.col("text"), 3))).alias("term"))
-    q = q.groupBy("query_id", T.hash_number(F.col("term")).alias("idx")).agg(F.count("*").cast("double").alias("val"))
-    b = C.sparse_dot(C.sparse_vectors(t.documents, wanted=q), q, 20).select("query_id", F.lit("sparse").alias("list"), F.col("doc_id").alias("id"), "rank")
-    return a.union(b)
+    return C.lexical_and_sparse(t.documents, t.benchmark.select(F.col("item_id").alias("query_id"), "text"), 20)
 
 
 @query(f"""WITH {LISTS}, g AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM l GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS rank FROM g)
