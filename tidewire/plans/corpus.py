@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewire.functions import text as T
 from tidewire.operators import corpus as C
 from tidewire.operators import index as X
+from tidewire.operators import keyphrases as K
 from tidewire.operators import matching as M
 from tidewire.plans.registry import query
 from tidewire.sources.store import Scratch
@@ -235,3 +236,23 @@ def search_candidates(t):
 
     vocab = C.vocabulary(t.documents).where("char_length(term) >= 3 AND doc_frequency >= 20")
     return pipelines.candidates(t.documents, spoilt_queries(t), vocab, C.collocations(t.documents)).withColumn("expansions", F.array_join("expansions", "; "))
+
+
+@query(f"""WITH st AS (SELECT doc_id, unnest(string_split_regex(text, '[.!?\\n]+')) AS s, generate_subscripts(string_split_regex(text, '[.!?\\n]+'), 1) AS p FROM documents WHERE length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) >= 20),
+sw AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS s, w FROM (SELECT doc_id, p, regexp_extract_all(s, '[\\p{{L}}\\p{{N}}]+') AS w FROM st) WHERE len(w) > 0), sn AS (SELECT doc_id, count(*) AS n FROM sw GROUP BY doc_id),
+tk AS MATERIALIZED (SELECT doc_id, s, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word, lower(unnest(w)) AS low, lower(unnest(list_concat([NULL], w[1:len(w) - 1]))) AS l, lower(unnest(list_concat(w[2:], [NULL]))) AS r FROM sw),
+ag AS (SELECT doc_id, low, count(*)::DOUBLE AS tf, sum(s)::DOUBLE AS place, count(DISTINCT s)::DOUBLE AS k, count(*) FILTER (length(word) > 1 AND upper(word) = word AND lower(word) <> word) AS shout,
+  count(*) FILTER (i > 1 AND upper(word[1]) = word[1] AND lower(word[1]) <> word[1] AND NOT (length(word) > 1 AND upper(word) = word)) AS cap, count(DISTINCT l)::DOUBLE / greatest(1, count(l)) AS dl, count(DISTINCT r)::DOUBLE / greatest(1, count(r)) AS dr FROM tk GROUP BY ALL),
+gd AS (SELECT *, avg(tf) OVER d AS mean, stddev_pop(tf) OVER d AS dev, max(tf) OVER d AS most FROM ag WHERE {useful("replace(low, 'ё', 'е')")} WINDOW d AS (PARTITION BY doc_id)),
+wt AS MATERIALIZED (SELECT doc_id, low, ln(ln(3 + place / tf)) * near / (greatest(cap, shout) / (1 + ln(tf)) + (tf / (mean + dev) + k / n) / near) AS w FROM (SELECT gd.*, n, 1 + (dl + dr) * tf / most AS near FROM gd JOIN sn USING (doc_id))),
+x AS MATERIALIZED (SELECT tk.doc_id, s, i, low, w FROM tk JOIN wt USING (doc_id, low)), g AS (SELECT doc_id, low AS phrase, w AS pr, w AS su FROM x UNION ALL SELECT a.doc_id, a.low || ' ' || b.low, a.w * b.w, a.w + b.w FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.s = b.s AND b.i = a.i + 1
+  UNION ALL SELECT a.doc_id, a.low || ' ' || b.low || ' ' || c.low, a.w * b.w * c.w, a.w + b.w + c.w FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.s = b.s AND b.i = a.i + 1 JOIN x c ON a.doc_id = c.doc_id AND a.s = c.s AND c.i = a.i + 2),
+sc AS (SELECT doc_id, phrase, round(max(pr) / ((1 + max(su)) * count(*)), 9) AS score FROM g GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score, phrase) AS rank FROM sc) SELECT doc_id, phrase, round(score, 5) AS score, rank FROM rk WHERE rank <= 8""")
+def keyphrases(t):
+    """Without leaving out alike ones, which SQL can't say; a test does that."""
+    return K.of_documents(t.documents, 8, alike=1.0).withColumn("score", F.round("score", 5))
+
+
+@query()
+def keyphrases_apart(t):
+    return K.of_documents(t.documents, 8, highest=0.15)
