@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from tidewire.functions import dom
 from tidewire.functions import extract as X
 from tidewire.functions import text as T
+from tidewire.operators import batches as B
 from tidewire.operators.retrieval import ranked
 from tidewire.plans.registry import query
+from tidewire.sources.store import Scratch, settle
 
 
 #: How the tables' pages mark their articles.
@@ -70,3 +72,49 @@ def search_log(t):
     # the log holds one ordered list a search; impressions are its elements
     lists = shown.groupBy("search_id").agg(F.array_sort(F.collect_list(F.struct("position", "news_id", "clicked"))).alias("results"))
     return lists.select("search_id", F.posexplode("results").alias("p", "r")).select("search_id", "r.news_id", (F.col("p") + 1).cast("long").alias("position"), "r.clicked")
+
+
+WAITING = """b AS (SELECT doc_id AS id, source, doc_id % 3 > 0 AS waits, CASE WHEN doc_id % 13 = 0 THEN 403 WHEN doc_id % 17 = 0 THEN 500 WHEN doc_id % 19 > 0 THEN 200 END AS code, trim(regexp_replace(regexp_replace(text, '[<>&]', ' ', 'g'), '\\s+', ' ', 'g')) AS t0 FROM documents),
+w AS (SELECT *, regexp_replace(t0, '\\s+([,.:;!?])', '\\1', 'g') AS t FROM b WHERE waits QUALIFY row_number() OVER (PARTITION BY source ORDER BY id DESC) <= 20),
+r AS (SELECT id, source, code, CASE WHEN code = 200 AND length(t) >= 200 THEN t WHEN code = 200 AND length(t) >= 100 THEN t END AS content, CASE WHEN code = 200 THEN CASE WHEN length(t) >= 200 THEN 'ok' WHEN length(t) >= 100 THEN 'partial' ELSE 'extraction_failed' END WHEN code = 403 THEN 'paywall' ELSE 'extraction_failed' END AS status,
+CASE WHEN code = 200 THEN CASE WHEN length(t) >= 200 THEN 'site' WHEN length(t) >= 100 THEN 'recall' ELSE 'failed_all_levels' END ELSE 'http_error' END AS method FROM w)"""
+
+
+def waiting(t):
+    """Documents as articles of which two thirds wait, and their pages as they might be answered."""
+    i = F.col("doc_id")
+    page = F.concat(F.lit("<html><nav>Home</nav><article><p>"), F.regexp_replace("text", "[<>&]", " "), F.lit("</p></article></html>"))
+    articles = t.documents.select(i.alias("id"), "source", F.lit("pages").alias("site"), i.cast("string").alias("url"), F.lit("").alias("title"), i.alias("published"), F.when(i % 3 == 0, "text").alias("content"), F.when(i % 3 == 1, "partial").otherwise("extraction_failed").alias("status"))
+    pages = t.documents.select(i.cast("string").alias("url"), F.when(i % 13 == 0, 403).when(i % 17 == 0, 500).when(i % 19 > 0, 200).alias("code"), page.alias("html"))
+    return articles, B.enriched(B.pending(articles, 20), pages, PAGES)
+
+
+@query(f"WITH {WAITING} SELECT id, source, content, status, method, code AS http_status FROM r")
+def enriched_articles(t):
+    return waiting(t)[1].drop("tags")
+
+
+@query(f"""WITH {WAITING}, m AS (SELECT DISTINCT source FROM b WHERE waits AND id NOT IN (SELECT id FROM r WHERE content IS NOT NULL OR status = 'paywall')), c AS (SELECT source, count(*) AS total, count(content) AS good FROM r GROUP BY source), a AS (SELECT DISTINCT source FROM documents)
+SELECT a.source, coalesce(total, 0) AS items_total, coalesce(good, 0) AS items_enriched, coalesce(total - good, 0) AS items_failed, CASE WHEN total > good THEN 'partial' ELSE 'success' END AS status,
+coalesce(total, 0) > 0 AND (coalesce(good, 0) > 0 OR total = good) AND (a.source LIKE '%1' OR m.source IS NOT NULL) AS followup_needed FROM a LEFT JOIN c ON a.source = c.source LEFT JOIN m ON a.source = m.source""")
+def enrichment_runs(t):
+    articles, done = waiting(t)
+    asked = t.documents.select("source").distinct().withColumn("rerun_requested", F.col("source").endswith("1"))
+    return B.enrichment_runs(articles, settle(done), asked)
+
+
+def measured(batch):
+    """A page's number of elements; pages with a number that 9 divides are taken for broken."""
+    import pyarrow as pa
+
+    ids = batch["page_id"].to_pylist()
+    if bad := [i for i in ids if i % 9 == 0]:
+        raise ValueError(f"page {bad[0]}")
+    return pa.RecordBatch.from_arrays([batch["page_id"], pa.array([sum(1 for x in dom.read(h) if x.tag == "article") for h in batch["html"].to_pylist()], pa.int64())], ["page_id", "n"])
+
+
+@query("SELECT page_id, CASE WHEN page_id % 9 > 0 THEN len(regexp_extract_all(html, '<article[ >]'))::BIGINT END AS n, CASE WHEN page_id % 9 = 0 THEN 'ValueError: page ' || page_id END AS error FROM pages")
+def isolated_batch(t):
+    """Rows that fail stand apart, each with its own error; the others of their batches come through."""
+    good, dead, _ = B.run_batch(t.pages.select("page_id", "html"), measured, "page_id long, n long", "page_id", Scratch(t.spark))
+    return good.withColumn("error", F.lit(None).cast("string")).unionByName(dead.select(F.col("page_id").cast("long").alias("page_id"), F.lit(None).cast("long").alias("n"), "error"))
