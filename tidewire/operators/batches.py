@@ -35,7 +35,7 @@ def isolated(rows: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch],
             yield failed(batch, exc)
             return
         none = pa.nulls(made.num_rows, pa.string())
-        yield pa.RecordBatch.from_arrays([*(made[n] for n in names), none, none], [*names, "failed_key", "error"])
+        yield pa.RecordBatch.from_arrays([*(made[n].cast(t) for n, t in zip(names, types, strict=True)), none, none], [*names, "failed_key", "error"])
 
     def failed(batch: pa.RecordBatch, exc: Exception) -> pa.RecordBatch:
         told = f"{type(exc).__name__}: {exc}"[:500]
