@@ -31,8 +31,11 @@ def centroids(actions: DataFrame, vectors: DataFrame, most: int = 50) -> DataFra
     return mean.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("vector"))
 
 
-def recent_unique(events: DataFrame, most: int = 20, window: int | None = None) -> DataFrame:
-    """(user_id, news_id, rank): each user's most recent different items (user_id, news_id, seq), within the last ``window`` events if set."""
+def recent_unique(events: DataFrame, most: int = 20, window: int | None = None, as_of: Column | None = None, hours: int = 24) -> DataFrame:
+    """(user_id, news_id, rank): each user's most recent different items (user_id, news_id, seq), within the last ``window`` events if set. With ``as_of``, users (ts) without an event in the ``hours`` before have none."""
+    if as_of is not None:
+        active = events.where(F.col("ts") > as_of - F.make_dt_interval(hours=F.lit(hours))).select("user_id").distinct()
+        events = events.join(active, "user_id", "left_semi")
     rows = events if window is None else ranked(events, ["user_id"], [F.desc("seq")], window, "_r").drop("_r")
     last = rows.groupBy("user_id", "news_id").agg(F.max("seq").alias("seq"))
     return ranked(last, ["user_id"], [F.desc("seq")], most)

@@ -104,3 +104,11 @@ def alert_candidates(t):
     b = kind(first(n.where("topic = 'error' AND value > 90 AND news_id % 2 = 1")).crossJoin(u.where("c_mktsegment = 'MACHINERY'")), "breaking", no_id, none)
     c = kind(first(n.where("topic = 'purchase'")).crossJoin(u.where("c_mktsegment = 'BUILDING'")), "tracked_topic", no_id, F.col("topic"))
     return P.alerts([a, b, c, d, p])
+
+
+@query("""WITH m AS (SELECT max(ts) AS e FROM events), a AS (SELECT user_id FROM events, m GROUP BY user_id, e HAVING max(ts) > e - INTERVAL 24 HOUR), w AS (SELECT user_id, event_id % 97 AS news_id, event_id AS seq FROM events WHERE user_id IN (SELECT user_id FROM a) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 30),
+l AS (SELECT user_id, news_id, max(seq) AS seq FROM w GROUP BY ALL) SELECT user_id, news_id, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS rank FROM l QUALIFY rank <= 10""")
+def seen_within_a_day(t):
+    rows = t.events.select("user_id", (F.col("event_id") % 97).alias("news_id"), F.col("event_id").alias("seq"), "ts")
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.max("ts").alias("e"))))  # one row
+    return P.recent_unique(rows, 10, 30, F.col("e")).select("user_id", "news_id", "rank")
