@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import SCHEMA, corpus, docs, empty, words_of  # noqa: F401
-from tidewire.llm import centroids, divergence, simhash
+from tidewire.llm import centroids, divergence, simhash, toxicity
 
 
 def plain_print(text):
@@ -234,3 +234,40 @@ def test_exponion_looks_at_fewer_and_never_errs():
         d[np.arange(len(v)), a] = np.iinfo(np.int64).max
         assert (u**2 >= own * (1 - 1e-9)).all() and (low**2 <= d.min(axis=1) * (1 + 1e-9)).all()
     assert sum(looked) < 0.25 * 12 * 12 * len(v)
+
+
+def readings(token, costs):
+    """(cost, text) of every way to read a token, by the channel as the module's docstring states it."""
+    out = []
+
+    def go(i, x, y, last, cost, text):
+        if i == len(token):
+            out.append((cost + costs[x][y][0], text))
+            return
+        sign = token[i].lower()
+        for letter, price in [(sign, toxicity.KEEP)] if sign.isalpha() else [(c, toxicity.LIKE) for c in toxicity.LOOKALIKES.get(sign, "")]:
+            z = ord(letter) - 96 if "a" <= letter <= "z" else 27
+            go(i + 1, y, z, letter, cost + price + costs[x][y][z], text + letter)
+            if letter == last:
+                go(i + 1, x, y, last, cost + price + toxicity.REPEAT, text)
+        if not sign.isalpha():
+            free = sign in " ._-*~'"
+            go(i + 1, x, y, last, cost + (toxicity.SEPARATOR if free else toxicity.BORDER), text)
+            if y:
+                go(i + 1, y, 0, "", cost + (toxicity.BLANK if free else toxicity.BORDER) + costs[x][y][0], text + " ")
+
+    go(0, 0, 0, "", 0.0, "")
+    return out
+
+
+def test_decoding_equals_enumeration():
+    rng = np.random.default_rng(5)
+    costs = -np.log(rng.dirichlet(np.full(28, 0.3), (28, 28)) + 1e-6)
+    decoder, pick = toxicity.Decoder(costs), random.Random(5)
+    for n in range(1, 8):
+        for _ in range(40):
+            token = "".join(pick.choice("abiloé01!|@$. -'8") for _ in range(n))
+            if any(c.isalpha() for c in token) or n < 4:
+                best = min(readings(token, costs.tolist()), default=(0, ""))
+                cost = {t: c for c, t in sorted(readings(token, costs.tolist()), reverse=True)}
+                assert abs(cost[decoder.decode(token)] - best[0]) < 1e-9

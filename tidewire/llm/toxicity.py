@@ -5,8 +5,8 @@ and repetition (idiiiot). Words that may be disguised are decoded by Viterbi sea
 over a lattice: each sign may stand for itself, for letters it looks like, or for nothing
 (a separator, a repeated letter), at fixed channel costs; a language model of letter
 trigrams says which reading is likely. Its counts cover every text of the corpus: each
-task sums its own table of at most SYMBOLS**3 counts. Other words are as they were. The search keeps the BEAM best
-states a sign (of 28 x 28 pairs of symbols and the last sign read), so it is exact unless the best reading was worse than BEAM others midway;
+task sums its own table of at most SYMBOLS**3 counts. Other words are as they were. The search is exact: it keeps every
+state (the last two symbols and the last letter read), of which few are alive at a sign, for a sign stands for few letters;
 words and runs are decoded whole, at any length.
 
 The score is a logistic regression on the presence of hashed words of the restored text,
@@ -43,7 +43,7 @@ _SYMBOL[128:256] = 27
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c"}
 #: Costs (negative natural logarithms) of the channel: a letter as it is, a look-alike, a repeated letter left out, a separator left out, any other sign left out, a separator read as a blank.
 KEEP, LIKE, REPEAT, SEPARATOR, BORDER, BLANK = 0.05, 1.0, 2.0, 0.5, 10.0, 4.0
-BEAM, LONGEST = 24, 48
+LONGEST = 48
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -90,7 +90,7 @@ def language_model(docs: DataFrame) -> np.ndarray:
 
 
 class Decoder:
-    """Viterbi search with a beam; the state is the last two symbols and the last sign read."""
+    """Viterbi search; the state is the last two symbols and the last letter read."""
 
     def __init__(self, costs: np.ndarray):
         self.costs = costs.tolist()
@@ -123,7 +123,7 @@ class Decoder:
                     total = cost + (BLANK if free else BORDER) + self.costs[x][y][0]
                     if y and total < step.get((y, 0, ""), (math.inf,))[0]:
                         step[y, 0, ""] = (total, (out, " "))
-            best = dict(sorted(step.items(), key=lambda kv: kv[1][0])[:BEAM])
+            best = step
         out = min(((c + self.costs[x][y][0], out) for (x, y, _), (c, out) in best.items()), key=lambda r: r[0], default=(0.0, None))[1]
         letters = []
         while out:
