@@ -104,3 +104,10 @@ def cited(answers: DataFrame, allowed: DataFrame) -> DataFrame:
     ok = allowed.groupBy("answer_id").agg(F.collect_set(F.col("index").cast("int")).alias("allowed"))
     rows = marks.join(ok, "answer_id", "left").withColumn("unknown", F.size(F.array_except("marks", F.coalesce("allowed", F.array().cast("array<int>")))))
     return rows.select("answer_id", F.size("marks").alias("cited"), "unknown", ((F.size("marks") > 0) & (F.col("unknown") == 0)).alias("valid"))
+
+
+def cited_names(answers: DataFrame, allowed: DataFrame) -> DataFrame:
+    """(answer_id, source, valid): the sources that each answer (answer_id, answer) names, and whether they are among those it was given (answer_id, source)."""
+    named = answers.select("answer_id", F.explode(T.cited_sources(F.col("answer"))).alias("source")).withColumn("key", T.source_key(F.col("source")))
+    given = allowed.where("source <> ''").select("answer_id", T.source_key(F.col("source")).alias("key")).distinct().withColumn("_given", F.lit(True))
+    return named.join(given, ["answer_id", "key"], "left").select("answer_id", "source", F.coalesce("_given", F.lit(False)).alias("valid"))

@@ -17,21 +17,27 @@ LABEL = "CASE l_linenumber % 4 WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' WHEN 2 THE
 def answers_of(rows, quantity):
     n = F.col("l_linenumber") % 4
     label = F.when(n == 0, "LOW").when(n == 1, "MEDIUM").when(n == 2, "HIGH").otherwise("TOP")
-    return rows.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("answer_id"), (F.col("l_returnflag") != "R").alias("cited"), (F.col("l_tax") > 0.06).alias("unsupported"), (quantity / 50).alias("groundedness"), label.alias("label"), F.lit("Text").alias("answer"))
+    return rows.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("answer_id"), (F.col("l_returnflag") != "R").alias("cited"), (F.col("l_tax") > 0.06).alias("unsupported"), (quantity / 50).alias("groundedness"), label.alias("label"), F.when(F.col("l_orderkey") % 17 == 0, "Ответ  не транслирует мнение своих разработчиков.").otherwise("Text").alias("answer"))
 
 
-@query("SELECT l_orderkey * 10 + l_linenumber AS answer_id, l_returnflag = 'R' OR l_tax > 0.06 OR l_quantity / 50 < 0.45 AS needs_correction, FALSE AS refused FROM lineitem")
+@query("SELECT l_orderkey * 10 + l_linenumber AS answer_id, l_returnflag = 'R' OR l_tax > 0.06 OR l_quantity / 50 < 0.45 AS needs_correction, l_orderkey % 17 = 0 AS refused FROM lineitem")
 def answer_checks(t):
     return W.checked(answers_of(t.lineitem, F.col("l_quantity"))).select("answer_id", "needs_correction", "refused")
 
 
-@query(f"""WITH a AS (SELECT l_orderkey * 10 + l_linenumber AS answer_id, l_returnflag <> 'R' AS c, l_tax <= 0.06 AS s, l_quantity / 50 AS g, {LABEL} AS label, l_suppkey % 3 AS w, (l_partkey % 51) / 50.0 AS g2 FROM lineitem),
-f AS (SELECT answer_id, max(g) AS g FROM a GROUP BY answer_id), r AS (SELECT answer_id, max(g2) AS g2 FROM a WHERE w > 0 GROUP BY answer_id) SELECT f.answer_id, coalesce(g2 > g, FALSE) AS corrected FROM f LEFT JOIN r ON f.answer_id = r.answer_id""")
+@query("""WITH a AS (SELECT l_orderkey * 10 + l_linenumber AS answer_id, bool_or(l_returnflag <> 'R')::INT AS c, (NOT bool_and(l_tax > 0.06))::INT AS s, max(CAST(floor(l_quantity / 25) AS INT)) AS g, max(l_linenumber % 4) AS w FROM lineitem GROUP BY 1),
+r AS (SELECT l_orderkey * 10 + l_linenumber AS answer_id, bool_or(l_partkey % 3 > 0)::INT AS c, (NOT bool_and(l_suppkey % 4 = 0))::INT AS s, max(CAST(floor((l_partkey % 51) / 25) AS INT)) AS g, max(l_suppkey % 4) AS w FROM lineitem WHERE l_suppkey % 3 > 0 GROUP BY 1)
+SELECT a.answer_id, coalesce(r.c > a.c OR r.c = a.c AND (r.s > a.s OR r.s = a.s AND (r.g > a.g OR r.g = a.g AND r.w > a.w)), FALSE) AS corrected FROM a LEFT JOIN r ON a.answer_id = r.answer_id""")
 def answers_improved(t):
-    def best(rows):  # an id may stand more than once here: its most grounded answer, other things equal
-        return rows.groupBy("answer_id").agg(F.max("groundedness").alias("groundedness")).select("answer_id", F.lit(True).alias("cited"), F.lit(False).alias("unsupported"), "groundedness", F.lit("HIGH").alias("label"))
+    """All four keys differ between the two answers; an id stands more than once in the table, and what its rows say best counts."""
 
-    return W.better(best(answers_of(t.lineitem, F.col("l_quantity"))), best(answers_of(t.lineitem.where("l_suppkey % 3 > 0"), F.col("l_partkey") % 51)))
+    def rows(of, cited, unsupported, grounded, level):
+        label = F.element_at(F.array(*map(F.lit, ("LOW", "MEDIUM", "HIGH", "TOP"))), F.max(level).cast("int") + 1)
+        return of.groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("answer_id")).agg(F.max(cited).alias("cited"), F.min(unsupported).alias("unsupported"), F.max(F.floor(grounded / 25)).cast("double").alias("groundedness"), label.alias("label"))
+
+    c = F.col
+    first = rows(t.lineitem, c("l_returnflag") != "R", c("l_tax") > 0.06, c("l_quantity"), c("l_linenumber") % 4)
+    return W.better(first, rows(t.lineitem.where("l_suppkey % 3 > 0"), c("l_partkey") % 3 > 0, c("l_suppkey") % 4 == 0, c("l_partkey") % 51, c("l_suppkey") % 4))
 
 
 @query("""WITH u AS (SELECT l_orderkey AS answer_id, l_linenumber AS i, l_suppkey AS news_id FROM lineitem), f AS (SELECT answer_id, news_id, min(i) AS i FROM u GROUP BY ALL) SELECT answer_id, news_id, s_name AS source, row_number() OVER (PARTITION BY answer_id ORDER BY i, news_id) AS place FROM f JOIN supplier ON s_suppkey = news_id""")

@@ -140,3 +140,15 @@ def session_windows(t):
 @query("WITH r AS (SELECT event_id, user_id, event_type, ts, row_number() OVER (PARTITION BY user_id, event_type, event_id % 50 ORDER BY ts, event_id) AS rn FROM events) SELECT event_id FROM r WHERE rn = 1")
 def stream_dedupe_batch(t):
     return ranked(t.events.withColumn("url", F.col("event_id") % 50), ["user_id", "event_type", "url"], [F.col("ts"), F.col("event_id")], 1).select("event_id")
+
+
+@query("""WITH c AS (SELECT conv_id * 100 + turn AS answer_id, conv_id % 7 AS a, turn % 4 AS b FROM conversations), n AS (SELECT answer_id, a, b, unnest(list_distinct(['Agency' || a || ' News', 'Daily' || b || ' Post', 'site' || a || '.example'])) AS source FROM c)
+SELECT answer_id, source, source IN ('Agency' || a || ' News', 'site3.example') AS valid FROM n""")
+def cited_names(t):
+    """Answers that name sources beside a mark, in a closing block and by a phrase; two of three were given."""
+    a, b = (F.col("conv_id") % 7).cast("string"), (F.col("turn") % 4).cast("string")
+    key = F.col("conv_id") * 100 + F.col("turn")
+    text = F.concat(F.lit("Something happened (Agency"), a, F.lit(" News, 2024-01-02, [Doc 1]). По данным Daily"), b, F.lit(" Post, more.\nИсточники:\n1. site"), a, F.lit(".example — title\n- Agency"), a, F.lit(" News: \"A title\" https://x.example/y"))
+    answers = t.conversations.select(key.alias("answer_id"), text.alias("answer"))
+    given = t.conversations.select(key.alias("answer_id"), F.explode(F.array(F.concat(F.lit("agency"), a, F.lit("  news")), F.lit("site3.example"))).alias("source"))
+    return X.cited_names(answers, given)
