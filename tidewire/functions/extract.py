@@ -128,3 +128,8 @@ def fallback_is_better(fallback: Column, current: Column) -> Column:
     """Whether a fallback's text is long by itself and much longer than the current one."""
     new, old = (F.char_length(F.coalesce(c, F.lit(""))) for c in (fallback, current))
     return (new >= 500) & (new >= F.greatest(old * 3, old + 400))
+
+
+def summary(lead: Column, content: Column, most: int = 280) -> Column:
+    """An article's lead, or the beginning of its content where that is empty."""
+    return F.coalesce(F.nullif(lead, F.lit("")), F.substring(content, 1, most))

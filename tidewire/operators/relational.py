@@ -51,3 +51,35 @@ def known_until(items: DataFrame) -> DataFrame:
     rows = items.withColumn("_rn", F.row_number().over(newest))
     rows = rows.withColumn("_stop", F.min(F.when(F.col("known"), F.col("_rn"))).over(whole)).withColumn("duplicates", F.count_if("known").over(whole))
     return rows.where(F.col("_stop").isNull() | (F.col("_rn") < F.col("_stop"))).drop("_rn", "_stop")
+
+
+def in_order(ids: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """The rows of listed ids (list_id, ids) in the list's order: (list_id, place, all columns of rows). Ids without a row are left out, and the places of the others stay."""
+    asked = ids.select("list_id", F.posexplode("ids").alias("place", key))
+    return asked.join(rows, key).select("list_id", F.col("place").cast("long").alias("place"), *rows.columns)
+
+
+def with_defaults(rows: DataFrame, dimension: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
+    """Rows with the dimension's columns; what is missing there has its default."""
+    made = rows.join(dimension, key, "left")
+    return made.select(*(F.coalesce(c, F.lit(defaults[c])).alias(c) if c in defaults else F.col(c) for c in made.columns))
+
+
+def updated_from(rows: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rows with ``columns`` set from the changes' row of their key, nulls too; rows without one stay (UPDATE ... FROM)."""
+    new = changes.select(key, *(F.col(c).alias(f"_new_{c}") for c in columns), F.lit(True).alias("_hit"))
+    return rows.join(new, key, "left").select(*(F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns))
+
+
+def repaired(articles: DataFrame, indexed: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What brings an index (key) in line with its articles: keys to index anew, indexed keys that have no article, and the counts (missing, orphaned, total) in one row."""
+    a, b = articles.select(key).distinct(), indexed.select(key).distinct()
+    missing, orphaned = a.join(b, key, "left_anti"), b.join(a, key, "left_anti")
+    counts = missing.agg(F.count("*").alias("missing")).crossJoin(orphaned.agg(F.count("*").alias("orphaned"))).crossJoin(a.agg(F.count("*").alias("total")))  # a row each
+    return missing, orphaned, counts
+
+
+def validated(requests: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """Requests with ``errors``: the names of the rules (conditions that must hold; null doesn't) that each breaks, in order."""
+    broken = F.filter(F.array(*(F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items())), lambda x: x.isNotNull())
+    return requests.withColumn("errors", broken)
