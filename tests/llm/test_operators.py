@@ -559,7 +559,10 @@ def disclosure_by_brute_force(rows):
     return out
 
 
-def test_disclosing_terms_equal_brute_force(spark):
+@pytest.mark.parametrize("prefix", [20, 2])
+def test_disclosing_terms_equal_brute_force(spark, monkeypatch, prefix):
+    """With a prefix of two bits there are many more terms than prefixes."""
+    monkeypatch.setattr(privacy, "PREFIX", prefix)
     rng = random.Random(14)
     names = [f"n{''.join(rng.choice('abcdef') for _ in range(4))}" for _ in range(30)]
     mails = [f"{x}@corp.example" for x in names[:8]]

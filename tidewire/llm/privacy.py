@@ -13,9 +13,11 @@ wherever they stand in any text, but for places inside pattern spans. Sanitised
 replaced by their kind, and other terms generalised to their first letter.
 
 Counts of terms and entities cover every document, and come first. As p(e|t) is at most the entity's documents over the
-term's, most pairs can't reach the threshold, and they are left out before pairs are made. What tasks are told of these counts are
-two tables of fixed size: by hash prefix (PREFIX bits) the least count of a term and the largest of an
-entity, so more terms a prefix only let more pairs through. Places of terms are found likewise by a bitmap of prefixes.
+term's, most pairs can't reach the threshold. A text that holds an entity which could be disclosed gives a row for each of its terms, not for
+each pair: these rows meet the terms' counts, and then the text's entities, and only pairs that the counts of both allow
+come out. So rows are bounded by the words of texts with personal data, and a list of many addresses multiplies only terms that are rare enough for one of
+them. Two tables of fixed size, by hash prefix (PREFIX bits), of the least count of a term and the largest of an entity keep most rows from being made on smaller corpora; with
+more terms than prefixes they let more rows through and no pair. Places of terms are found likewise by a bitmap of prefixes, then by the terms themselves.
 
 Null and empty texts have no spans. Texts are searched whole. Rows that repeat are
 counted as they stand, and all get the same spans; null ids are no obstacle.
@@ -39,6 +41,8 @@ from tidewire.llm.store import lean, settle
 
 NEAR, SUPPORT, THRESHOLD, REMOVE, PREFIX = 8, 3, 0.8, 0.95, 20
 SECRET, SECRET_BITS = 20, 64.0
+#: Disclosing terms up to which they are broadcast (24 bytes each); more are joined by shuffle, where adaptive execution splits a frequent one.
+FEW = 1 << 16
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -175,8 +179,9 @@ def terms_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return row, K.hashes(K.LOWER[data], starts, ends), points[starts] - first, points[ends] - first
 
 
-def _prefix(h: np.ndarray) -> np.ndarray:
-    return (h.view(K.U) >> K.U(64 - PREFIX)).astype(np.int64)
+def _at(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A table's values (a power of two of them) by the prefixes of hashes."""
+    return table[(h.view(K.U) >> K.U(65 - len(table).bit_length())).astype(np.int64)]
 
 
 def _free(spans: list[tuple[str, int, int]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -202,9 +207,9 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def together(most: np.ndarray, least: np.ndarray):
-    """mapInArrow function: (doc_id, fp, e, t, c) for each entity and each term of a text outside its spans that the counts let disclose it; c is the hash of the words around the term's first place.
+    """mapInArrow function: (doc_id, fp, t, c) for each term, outside spans, of a text with an entity that could be disclosed; c is the hash of the words around the term's first place.
 
-    most, least: by prefix, the largest count of documents of which an entity could be disclosed (0: none), and the least count of a term.
+    most, least: by prefix, the largest count of documents of which an entity could be disclosed (0: none), and the least count of a term. They only leave out what no count allows.
     """
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +219,7 @@ def together(most: np.ndarray, least: np.ndarray):
                 for i, value in enumerate(text.to_pylist()):
                     spans = base_spans(value or "")
                     es = np.array(sorted(set(_hashed([entity(value, *s) for s in spans]))) if spans else [], np.int64)
-                    limit = most[_prefix(es)]
+                    limit = _at(most, es)
                     es, limit = es[limit > 0], limit[limit > 0]
                     if not len(es):
                         continue
@@ -226,13 +231,12 @@ def together(most: np.ndarray, least: np.ndarray):
                         c = K.mix(c)
                     free = _free(spans, start, end)
                     t, at = np.unique(h[free], return_index=True)
-                    c, count = c[free][at].view(np.int64), least[_prefix(t)]
+                    c, count = c[free][at].view(np.int64), _at(least, t)
                     t = t.view(np.int64)
-                    for e, up in zip(es.tolist(), limit.tolist(), strict=True):
-                        own = count <= up
-                        if m := int(own.sum()):
-                            ids = pa.array([batch.column(0)[a + i].as_py()] * m, batch.schema.field(0).type)
-                            yield pa.RecordBatch.from_arrays([ids, pa.array([batch.column(1)[a + i].as_py()] * m, pa.int64()), pa.array([e] * m, pa.int64()), pa.array(t[own]), pa.array(c[own])], ["doc_id", "fp", "e", "t", "c"])
+                    own = count <= limit.max()
+                    if m := int(own.sum()):
+                        ids = pa.array([batch.column(0)[a + i].as_py()] * m, batch.schema.field(0).type)
+                        yield pa.RecordBatch.from_arrays([ids, pa.array([batch.column(1)[a + i].as_py()] * m, pa.int64()), pa.array(t[own]), pa.array(c[own])], ["doc_id", "fp", "t", "c"])
 
     return pair
 
@@ -245,7 +249,7 @@ def places(bitmap: np.ndarray):
             for a, b in K.steps(batch.column(2)):
                 text = batch.column(2).slice(a, b - a)
                 row, h, start, end = terms_of(text)
-                keep = bitmap[_prefix(h)]
+                keep = _at(bitmap, h)
                 row, h, start, end = row[keep], h[keep], start[keep], end[keep]
                 free = np.ones(len(row), bool)
                 edges = np.searchsorted(row, np.arange(b - a + 1))
@@ -285,7 +289,10 @@ def disclosing(docs: DataFrame, rows: DataFrame, near: int = NEAR, support: int
     # only an entity of SUPPORT documents has as many texts that a term shares with it
     informs = entity.where((F.col("entity_docs") >= support) & (F.col("entity_docs") < total))
     up = F.col("entity_docs") * F.pow(total / F.col("entity_docs"), F.lit(1 - threshold)) * 1.001
-    whole = _texts(docs).mapInArrow(together(_by_prefix(informs, "e", F.max(up), 0.0), _by_prefix(terms, "t", F.min("df"), np.inf)), f"{_id(docs)}, e bigint, t bigint, c bigint")
+    informs = settle(informs.select("e", up.alias("up")))
+    words = _texts(docs).mapInArrow(together(_by_prefix(informs, "e", F.max("up"), 0.0), _by_prefix(terms, "t", F.min("df"), np.inf)), f"{_id(docs)}, t bigint, c bigint").distinct()
+    held = rows.select(F.col("doc_id").alias("id_"), F.col("fp").alias("fp_"), F.explode("es").alias("e")).distinct().join(informs, "e")
+    whole = words.join(terms, "t").join(held, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("fp") == F.col("fp_"))).where("df <= up")
     both = seen.select("doc_id", "fp", "e", "t", "c", F.lit(False).alias("w")).union(whole.select("doc_id", "fp", "e", "t", "c", F.lit(True)))
     pairs = both.groupBy("e", "t", "w", "c", "doc_id", "fp").agg(F.lit(1).alias("one")).groupBy("e", "t", "w", "c").agg(F.count("*").alias("docs"))
     pairs = pairs.groupBy("e", "t", "w").agg(F.sum("docs").alias("together"), F.count("*").alias("contexts"))
@@ -300,8 +307,9 @@ def detect(docs: DataFrame, **how) -> DataFrame:
     lean(docs)
     rows = settle(docs.select("doc_id", F.xxhash64("text").alias("fp"), F.arrow_udf(find, FOUND)(F.col("text")).alias("f")).select("doc_id", "fp", "f.*"))
     told = settle(disclosing(docs, rows, **how).groupBy("t").agg(F.max("disclosure").alias("disclosure")))
-    # every place of a disclosing term in every text
-    hits = _texts(docs).mapInArrow(places(_by_prefix(told, "t", F.count("*"), 0.0) > 0), f"{_id(docs)}, t bigint, a int, b int").join(told, "t")
+    # every place of a disclosing term in every text; the terms are sent to all tasks where they are few, by count
+    few = F.broadcast(told) if told.count() <= FEW else told
+    hits = _texts(docs).mapInArrow(places(_by_prefix(told, "t", F.count("*"), 0.0) > 0), f"{_id(docs)}, t bigint, a int, b int").join(few, "t")
     terms = hits.groupBy("doc_id", "fp", "a", "b").agg(F.max("disclosure").alias("disclosure")).groupBy("doc_id", "fp").agg(F.array_sort(F.collect_list(F.struct("a", "b", "disclosure"))).alias("terms"))
     right = terms.select(F.col("doc_id").alias("id_"), F.col("fp").alias("fp_"), "terms")
     made = rows.drop("near", "es").join(right, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("fp") == F.col("fp_")), "left").drop("id_", "fp_")
