@@ -140,13 +140,9 @@ def mixed():
     return [(*r, "clash", 7, "clash") for r in rows]
 
 
-@pytest.mark.parametrize(("salts", "flush", "cells", "batch"), [(64, 1 << 18, 1 << 20, 10000), (3, 1, 5, 7)])
-def test_audit_equals_dense_counts(spark, mixed, monkeypatch, salts, flush, cells, batch):
+@pytest.mark.parametrize("batch", [10000, 7])
+def test_audit_equals_dense_counts(spark, mixed, batch):
     """With small batches runs and terms cross their borders."""
-    monkeypatch.setattr(divergence, "SALTS", salts)
-    monkeypatch.setattr(divergence, "FLUSH", flush)
-    monkeypatch.setattr(divergence, "HOLD", flush)
-    monkeypatch.setattr(divergence, "CELLS", cells)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
     try:
         got = divergence.audit(spark.createDataFrame(mixed, AUDITED).repartition(5)).collect()
@@ -163,17 +159,48 @@ def test_audit_of_nothing(spark, empty):  # noqa: F811
     assert Counter(tuple(r) for r in few) == Counter([("en", "x", "pair", "y", 0, 1), ("en", "y", "pair", "x", 0, 1)])
 
 
-def test_runs_that_cross_batches_are_one():
+def test_bounds_of_what_a_scan_holds_change_nothing(monkeypatch):
+    rng = random.Random(6)
+    docs = [(rng.choice(["en", "de"]), rng.choice("abc"), i, " ".join(rng.choice(["x", "Y", "zé", "1 w", "v."]) for _ in range(rng.randrange(9)))) for i in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*docs, strict=True)], pa.schema([("lang", pa.string()), ("source", pa.string()), ("doc", pa.int32()), ("text", pa.string())]))
+    terms = sorted((lang, term, s, rng.randrange(1, 90), 5 + ord(s) % 3, rng.randrange(1, 90)) for lang in ("de", "en") for term in "pqrst" for s in "abcd" if rng.random() < 0.8)
+    kept = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*terms, strict=True)], ["lang", "term", "source", "p", "p0", "q"])
+
+    def made():
+        counts, found = Counter(), Counter()
+        for b in divergence.counted(iter([batch.slice(0, 25), batch.slice(25)])):
+            for r in b.to_pylist():
+                counts[r["lang"], r["term"], r["source"], "docs"] += r["docs"]
+                counts[r["lang"], r["term"], r["source"], "n"] += r["n"]
+        for b in divergence.shared_terms(iter([kept.slice(k, 3) for k in range(0, kept.num_rows, 3)])):
+            for r in b.to_pylist():
+                found[r["lang"], r["part"], r["source"], r["item"]] += r["value"]
+        return counts, found
+
+    before = made()
+    for name, value in (("HOLD", 2), ("FLUSH", 1), ("CELLS", 1)):
+        monkeypatch.setattr(divergence, name, value)
+    assert made() == before and sum(before[0].values()) > 100 and {k[1] for k in before[1]} == {"pair", "term"}
+
+
+@pytest.mark.parametrize("least", [1, 20, 26])
+def test_runs_and_terms_that_cross_batches_are_one(least):
     rng = random.Random(5)
-    rows = sorted((rng.choice("ab"), rng.choice("xyz"), rng.choice("st"), 1, rng.randrange(6)) for _ in range(300))
-    want = defaultdict(lambda: [0, 0])
-    for lang, term, source, _, n in rows:
-        want[lang, term, source][0] += 1
-        want[lang, term, source][1] += n
-    for size in (1, 2, 7, 300):
-        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + size], strict=True)], ["lang", "term", "source", "docs", "n"]) for k in range(0, len(rows), size)]
-        got = [r for b in divergence.run_lengths(iter(batches)) for r in b.to_pylist()]
-        assert [(r["lang"], r["term"], r["source"], r["docs"], r["n"]) for r in got] == [(*k, d, n) for k, (d, n) in sorted(want.items())]
+    rows = sorted((rng.choice("xyz"), rng.choice("ab"), rng.choice("st"), rng.randrange(1, 3), rng.randrange(6)) for _ in range(100))
+    docs, sums, totals = Counter(), Counter(), Counter()
+    for term, lang, source, d, n in rows:
+        docs[lang, term] += d
+        sums[lang, term, source] += n
+        totals[lang, term] += n
+    want = [(*k, n, totals[k[:2]]) for k, n in sorted(sums.items(), key=lambda kv: (kv[0][1], kv[0][0], kv[0][2])) if docs[k[:2]] >= least]
+    assert least == 1 or 0 < len(want) < len(sums)
+    for size in (1, 2, 7, 100):
+        batches = []
+        for k in range(0, len(rows), size):
+            term, lang, source, d, n = zip(*rows[k : k + size], strict=True)
+            batches.append(pa.RecordBatch.from_arrays([pa.array(c) for c in (lang, term, source, d, n)], ["lang", "term", "source", "docs", "n"]))
+        got = [tuple(r.values()) for b in divergence.run_lengths(least)(iter(batches)) for r in b.to_pylist()]
+        assert got == want
 
 
 def plain_clusters(rows, k, rounds, dim):

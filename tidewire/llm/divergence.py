@@ -7,12 +7,12 @@ over all kept terms (part ``pair``); a term marks a source by p - q, q of the la
 (part ``term``, the first TOP). All numbers are exact: decimals of 38 digits where longs could overflow.
 
 Method. A task counts terms by language and source, documents and occurrences, and lets go of what it holds at HOLD entries: a record
-(lang, term, source, document, docs, n), named by the first of its documents. Records are repartitioned by term and a salt of the
-document, so a term that all have lies in SALTS tasks, and sorted within partitions by term, language, source and document (the term
-first: its bytes decide most comparisons). A scan over a sorted partition sees each (lang, term, source) as one run and emits its
-documents and occurrences; runs that salts cut are summed afterwards, from at most SALTS rows each. Kept terms (lang, term, source, p) are few
-beside the corpus; they are sorted by (lang, term, source) and scanned again: for a term that k sources use, the task adds what each pair
-of them shares to sums by pair, which it emits (FLUSH pairs at a time at most), and each source's best terms to a list of TOP.
+(lang, term, source, document, docs, n), named by the first of its documents. So a term that all documents have is no hot key: it has a record for each
+source and HOLD entries of a task, however many documents there are. Records are repartitioned by language and term, and sorted within partitions by term,
+language, source and document (the term first: its bytes decide most comparisons). A scan over a sorted partition sees each
+(lang, term, source) as one run, sums its documents and occurrences, and at a term's end lets the runs of kept terms out: nothing else is shuffled again.
+Kept terms (lang, term, source, p) are few beside the corpus; they are sorted by (lang, term, source) and scanned again: for a term that k sources use, the task
+adds what each pair of them shares to sums by pair, which it emits (FLUSH pairs at a time at most), and each source's best terms to a list of TOP.
 
 Nothing is made dense. With p0 a source's p of a term that it doesn't use (larger than 0), the sum over terms of abs(p_a - p_b) is
 
@@ -29,7 +29,7 @@ An empty table gives no rows. Ties go by the UTF-8 bytes of the item.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +41,8 @@ from tidewire.llm import kernels as K
 from tidewire.llm.store import Shelf, lean
 
 LEAST, UNIT, ADD, TOP = 30, 1_000_000_000, 5, 50
-#: Tasks over which one term's records are dealt; entries that a counting task holds, and pairs whose sums a scan holds, before they are emitted.
-SALTS, HOLD, FLUSH = 64, 1 << 18, 1 << 18
+#: Entries that a counting task holds, and pairs whose sums a scan holds, before they are emitted.
+HOLD, FLUSH = 1 << 18, 1 << 18
 
 _LETTERS = np.full(256, 32, np.uint8)
 _LETTERS[128:] = np.arange(128, 256)
@@ -92,32 +92,44 @@ def _starts(*columns: pa.Array) -> np.ndarray:
     return new
 
 
-def run_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow function over records (lang, term, source, docs, n), a run of equal (lang, term, source) in a row: its sums. A run may span batches."""
-    names = ["lang", "term", "source"]
-    held: tuple | None = None  # the last run, which the next batch may go on with: its key, documents, occurrences
+KEPT = "lang string, term string, source string, n long, all_n long"
 
-    def out(key: list, docs: list, n: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(pa.array(k, pa.string()) for k in key), pa.array(docs, pa.int64()), pa.array(n, pa.int64())], [*names, "docs", "n"])
 
-    for b in batches:
-        if not b.num_rows:
-            continue
-        key = [b[k] for k in names]
-        first = np.flatnonzero(_starts(*key))
+def run_lengths(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """mapInArrow function over records (lang, term, source, docs, n), all of a term in one partition and sorted by term, language and source: the runs (KEPT) of terms in ``least`` documents, with their sums."""
+    names = ["lang", "term", "source", "docs", "n"]
+
+    def runs(b: pa.RecordBatch) -> pa.RecordBatch:
+        """Equal (lang, term, source) summed."""
+        first = np.flatnonzero(_starts(b["term"], b["lang"], b["source"]))
+        at = pa.array(first)
+        return pa.RecordBatch.from_arrays([*(b[k].take(at) for k in names[:3]), *(pa.array(np.add.reduceat(b[k].to_numpy(), first)) for k in names[3:])], names)
+
+    def kept(b: pa.RecordBatch) -> pa.RecordBatch:
+        """The runs of whole terms that have enough documents."""
+        first = np.flatnonzero(_starts(b["term"], b["lang"]))
+        size = np.diff(np.append(first, b.num_rows))
         docs, n = (np.add.reduceat(b[k].to_numpy(), first) for k in ("docs", "n"))
-        head = tuple(k[0].as_py() for k in key)
-        if held and held[0] == head:
-            docs[0] += held[1]
-            n[0] += held[2]
-        elif held:
-            yield out([[k] for k in held[0]], [held[1]], [held[2]])
-        held = (tuple(k[int(first[-1])].as_py() for k in key), int(docs[-1]), int(n[-1]))
-        if len(first) > 1:
-            at = pa.array(first[:-1])
-            yield pa.RecordBatch.from_arrays([*(k.take(at) for k in key), pa.array(docs[:-1]), pa.array(n[:-1])], [*names, "docs", "n"])
-    if held:
-        yield out([[k] for k in held[0]], [held[1]], [held[2]])
+        some = pa.array(np.repeat(docs >= least, size))
+        return pa.RecordBatch.from_arrays([*(b[k].filter(some) for k in names[:3]), b["n"].filter(some), pa.array(np.repeat(n, size)).filter(some)], [*names[:3], "n", "all_n"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.RecordBatch | None = None  # the runs of the last term, which the next batch may go on with
+        for b in batches:
+            if not b.num_rows:
+                continue
+            b = b.select(names)
+            if rest is not None:
+                b = pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
+            b = runs(b)
+            cut = int(np.flatnonzero(_starts(b["term"], b["lang"]))[-1])
+            rest = b.slice(cut)
+            if cut:
+                yield kept(b.slice(0, cut))
+        if rest is not None:
+            yield kept(rest)
+
+    return scan
 
 
 SCANNED = "lang string, part string, source string, item string, value long"
@@ -213,11 +225,8 @@ def audit(docs: DataFrame) -> DataFrame:
     """lang, source, part, item, value, rank of ``docs`` (text, lang, source)."""
     shelf = Shelf(lean(docs).sparkSession)
     rows = docs.select(*(F.coalesce(k, F.lit("")).alias(k) for k in ("lang", "source", "text")), F.hash("doc_id", "text").alias("doc"))
-    records = rows.select("lang", "source", "doc", "text").mapInArrow(counted, RECORDS).repartition("lang", "term", F.pmod("doc", F.lit(SALTS)))
-    runs = records.sortWithinPartitions("term", "lang", "source", "doc").select("lang", "term", "source", "docs", "n").mapInArrow(run_lengths, "lang string, term string, source string, docs long, n long")
-    summed = runs.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
-    whole = Window.partitionBy("lang", "term")
-    kept = shelf.put(summed.withColumn("all_docs", F.sum("docs").over(whole)).withColumn("all_n", F.sum("n").over(whole)).where(f"all_docs >= {LEAST}").select("lang", "term", "source", "n", "all_n"))
+    records = rows.select("lang", "source", "doc", "text").mapInArrow(counted, RECORDS).repartition("lang", "term")
+    kept = shelf.put(records.sortWithinPartitions("term", "lang", "source", "doc").mapInArrow(run_lengths(LEAST), KEPT))
     langs = kept.groupBy("lang", "term").agg(F.max("all_n").alias("n")).groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("lang_n"))
     used = kept.groupBy("lang", "source").agg(F.sum("n").alias("group_n"))
     groups = rows.select("lang", "source").distinct().join(langs, "lang", "left").join(used, ["lang", "source"], "left")
