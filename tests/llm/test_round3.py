@@ -162,7 +162,7 @@ def test_audit_of_nothing(spark, empty):  # noqa: F811
 def test_bounds_of_what_a_scan_holds_change_nothing(monkeypatch):
     rng = random.Random(6)
     docs = [(rng.choice(["en", "de"]), rng.choice("abc"), i, " ".join(rng.choice(["x", "Y", "zé", "1 w", "v."]) for _ in range(rng.randrange(9)))) for i in range(60)]
-    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*docs, strict=True)], pa.schema([("lang", pa.string()), ("source", pa.string()), ("doc", pa.int32()), ("text", pa.string())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*docs, strict=True)], schema=pa.schema([("lang", pa.string()), ("source", pa.string()), ("doc", pa.int32()), ("text", pa.string())]))
     terms = sorted((lang, term, s, rng.randrange(1, 90), 5 + ord(s) % 3, rng.randrange(1, 90)) for lang in ("de", "en") for term in "pqrst" for s in "abcd" if rng.random() < 0.8)
     kept = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*terms, strict=True)], ["lang", "term", "source", "p", "p0", "q"])
 
