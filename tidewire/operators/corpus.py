@@ -40,9 +40,9 @@ def vocabulary(docs: DataFrame, least: int = 2, floor: int = 3) -> DataFrame:
 
 
 def pairs(docs: DataFrame, least: int = 2) -> DataFrame:
-    """(a, b) for neighbouring tokens of a document."""
-    w = T.words(F.col("text"), least)
-    both = docs.select(w.alias("w")).where("size(w) > 1").select(F.explode(F.arrays_zip(F.expr("slice(w, 1, size(w) - 1)").alias("a"), F.expr("slice(w, 2, size(w) - 1)").alias("b"))).alias("p"))
+    """(a, b) for neighbouring tokens of a sentence."""
+    sentences = docs.select(F.explode(F.split("text", r"(?<=[.!?])\s+")).alias("text"))
+    both = sentences.select(T.words(F.col("text"), least).alias("w")).where("size(w) > 1").select(F.explode(F.arrays_zip(F.expr("slice(w, 1, size(w) - 1)").alias("a"), F.expr("slice(w, 2, size(w) - 1)").alias("b"))).alias("p"))
     return both.select("p.a", "p.b")
 
 

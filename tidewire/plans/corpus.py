@@ -32,7 +32,7 @@ def term_vocabulary(t):
     return C.vocabulary(t.documents)
 
 
-COLLOCATIONS = f"""{TERMS}, l AS (SELECT list_filter({WORDS}, lambda w: length(w) >= 2) AS w FROM documents),
+COLLOCATIONS = f"""{TERMS}, l AS (SELECT list_filter({WORDS}, lambda w: length(w) >= 2) AS w FROM (SELECT unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS text FROM documents)),
 p0 AS (SELECT unnest(list_zip(w[1:len(w)-1], w[2:len(w)])) AS p FROM l WHERE len(w) > 1),
 p AS (SELECT p[1] AS a, p[2] AS b, count(*) AS n FROM p0 WHERE p[1] <> p[2] AND {useful('p[1]')} AND {useful('p[2]')} GROUP BY ALL),
 s AS (SELECT term, count(*) AS n FROM t WHERE {useful('term')} GROUP BY term),
