@@ -1,12 +1,12 @@
-"""A full-text index as tables, and top-k search that reads only the parts that can matter.
+"""A full-text index as tables, and top-k search that sums only what can matter.
 
-postings (term, part, doc_id, w): what a term adds to a document's score. Documents are dealt over parts of about PART by hash.
-tops (term, part, most): the largest w of a part, its block maximum. heads (term, doc_id, w): each term's HEAD largest. All are
-written once and read by many searches; a term's rows lie together.
+postings (term, doc_id, w): what a term adds to a document's score. tops (term, most, n): its largest and how many it has. heads (term, doc_id, w): its
+HEAD largest. All are written once and read by many searches; a term's rows lie together.
 
-A search gets its answer in three steps, each a join on terms or parts. Heads alone give scores that the true ones reach or pass, so the k-th of them is a
-bound that no result falls below. A query's parts whose maxima don't add up to it hold no result and go. The postings
-of the parts that are left are summed exactly. The result is that of summing all postings.
+A search has three steps, each a join. Heads alone give scores that the true ones reach or pass, so the k-th of them is a
+bound that no result falls below. A query's terms are ordered by their largest weights: the first ones that don't add up to the bound can't make a result without
+another term, so only documents of the other terms, which are the rarer ones, are candidates; those whose sum so far and the largest weights of the first ones don't reach the bound go. For
+what is left the first terms' weights are looked up by document. The result is that of summing all postings.
 """
 
 from __future__ import annotations
@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 
 from tidewire.operators import corpus as C
 from tidewire.operators.retrieval import ranked
+from tidewire.sources.store import settle
 
-#: Documents of a part, and best postings of a term that are kept apart.
-PART, HEAD = 256, 64
+#: Best postings of a term that are kept apart.
+HEAD = 64
+#: What sums of doubles in another order, and ties, may be below the bound.
+SLACK = 1e-8
 
 
 class Index(NamedTuple):
@@ -29,35 +32,42 @@ class Index(NamedTuple):
     heads: DataFrame
 
 
-def built(docs: DataFrame, scratch, least: int = 3, part: int = PART, head: int = HEAD) -> Index:
+def built(docs: DataFrame, scratch, least: int = 3, head: int = HEAD) -> Index:
     """The index of documents (doc_id, text) with the weights of ``corpus.bm25``."""
     stats = scratch.put(C.corpus_stats(docs, least))
-    n = stats.first()["docs"] or 0
     posts = scratch.put(C.postings(docs, (least,)))
-    parts = max(1, n // part)
-    weights = C.bm25_weights(posts, stats, least=least).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
-    rows = scratch.put(weights.repartition("term", "part").sortWithinPartitions("term", "part"))
+    rows = scratch.put(C.bm25_weights(posts, stats, least=least).repartition("term").sortWithinPartitions("term", "doc_id"))
     scratch.drop(posts)
-    tops = scratch.put(rows.groupBy("term", "part").agg(F.max("w").alias("most"), F.count("*").alias("n")))
+    tops = scratch.put(rows.groupBy("term").agg(F.max("w").alias("most"), F.count("*").alias("n")))
     heads = scratch.put(ranked(rows, ["term"], [F.desc("w"), F.col("doc_id")], head).select("term", "doc_id", "w"))
     return Index(rows, tops, heads)
 
 
-def parts_to_read(index: Index, terms: DataFrame, limit: int) -> DataFrame:
-    """(query_id, term, part) that may hold one of the ``limit`` best of each query (query_id, term)."""
+def marked(index: Index, terms: DataFrame, limit: int) -> DataFrame:
+    """(query_id, term, n, leads, spare, bound) of each query's known terms (query_id, term): whether a term leads to candidates, what all that don't can add at most, and the score that the ``limit`` best reach (null: none is known)."""
     sums = index.heads.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("s"))
     bound = ranked(sums, ["query_id"], [F.desc("s"), F.col("doc_id")], limit).where(F.col("rank") == limit).select("query_id", F.col("s").alias("bound"))
-    held = index.tops.join(terms, "term")
-    could = held.groupBy("query_id", "part").agg(F.sum("most").alias("most")).join(bound, "query_id", "left")
-    # a little below: sums of doubles in another order, and ties
-    open_ = could.where(F.col("bound").isNull() | (F.col("most") >= F.col("bound") - 1e-8)).select("query_id", "part")
-    return held.join(open_, ["query_id", "part"]).select("query_id", "term", "part", "n")
+    own = Window.partitionBy("query_id")
+    upto = F.sum("most").over(own.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0))
+    leads = F.col("bound").isNull() | (F.col("upto") >= F.col("bound") - SLACK)
+    rows = index.tops.join(terms, "term").withColumn("upto", upto).join(bound, "query_id", "left").withColumn("leads", leads)
+    return rows.select("query_id", "term", "n", "leads", F.coalesce(F.max(F.when(~F.col("leads"), F.col("upto"))).over(own), F.lit(0.0)).alias("spare"), "bound")
 
 
-def search(index: Index, queries: DataFrame, limit: int, published: DataFrame | None = None, least: int = 3, wanted: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_id, score, rank) of queries (query_id, text), best first. Ties to nine digits go by id, or with ``published`` (doc_id, published_at) by the newest, those without a date last, then by the largest id. wanted: ``parts_to_read``, where it is there already."""
-    parts = parts_to_read(index, C.query_terms(queries, least), limit) if wanted is None else wanted
-    score = index.postings.join(parts.select("query_id", "term", "part"), ["term", "part"]).groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
+def candidates(index: Index, found: DataFrame) -> DataFrame:
+    """(query_id, doc_id, w): documents that can be results, by the sums of the terms that lead to them. found: ``marked``."""
+    sums = index.postings.join(found.where("leads").select("query_id", "term"), "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("w"))
+    rule = found.groupBy("query_id").agg(F.max("spare").alias("spare"), F.max("bound").alias("bound"))
+    return sums.join(rule, "query_id").where(F.col("bound").isNull() | (F.col("w") + F.col("spare") >= F.col("bound") - SLACK)).select("query_id", "doc_id", "w")
+
+
+def search(index: Index, queries: DataFrame, limit: int, published: DataFrame | None = None, least: int = 3) -> DataFrame:
+    """(query_id, doc_id, score, rank) of queries (query_id, text), best first. Ties to nine digits go by id, or with ``published`` (doc_id, published_at) by the newest, those without a date last, then by the largest id."""
+    found = settle(marked(index, C.query_terms(queries, least), limit))
+    alive = settle(candidates(index, found))
+    asked = alive.select("query_id", "doc_id").join(found.where("NOT leads").select("query_id", "term"), "query_id")
+    rest = index.postings.join(asked, ["term", "doc_id"]).select("query_id", "doc_id", "w")
+    score = alive.unionByName(rest).groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
     value = F.desc(F.round("score", 9))
     if published is None:
         return ranked(score, ["query_id"], [value, F.col("doc_id")], limit)

@@ -207,7 +207,7 @@ def intent_classify(t):
 
 @query(f"WITH {BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM o WHERE rank <= 20")
 def indexed_search(t):
-    """As ``bm25_search``, by block maxima."""
+    """As ``bm25_search``, by the terms that can lead to results."""
     made = X.built(t.documents, Scratch(t.spark))
     return X.search(made, t.benchmark.select(F.col("item_id").alias("query_id"), "text"), 20).withColumn("score", F.round("score", 6))
 
