@@ -10,7 +10,7 @@ from tidewire.operators import index as X
 from tidewire.operators import keyphrases as K
 from tidewire.operators import matching as M
 from tidewire.plans.registry import query
-from tidewire.sources.store import Scratch
+from tidewire.sources.store import Scratch, settle
 
 WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 STOP = ", ".join(f"'{x}'" for x in T.STOP_TERMS)
@@ -100,7 +100,7 @@ b AS (SELECT word, term, n, m, doc_frequency, count(*) AS shared FROM ge JOIN he
 c AS (SELECT word, term, doc_frequency, levenshtein(word, term) AS distance FROM b WHERE shared::DOUBLE / (n + m - shared) >= 0.5),
 r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, doc_frequency DESC, term) AS r FROM c) SELECT word, term AS corrected, distance FROM r WHERE r = 1 AND distance <= 2""")
 def query_autocorrect_candidates(t):
-    vocab = C.vocabulary(t.documents).where("term RLIKE '^[a-z]+$' AND char_length(term) >= 5 AND doc_frequency >= 5")
+    vocab = settle(C.vocabulary(t.documents).where("term RLIKE '^[a-z]+$' AND char_length(term) >= 5 AND doc_frequency >= 5"))
     typos = vocab.where("char_length(term) >= 8").select(F.concat(F.substring("term", 1, 2), F.expr("substring(term, 4)")).alias("word"))
     return M.autocorrect(typos, vocab)
 
