@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,31 +17,101 @@ def ranked(rows: DataFrame, keys: list[str], order: list[Column], limit: int | N
     return made.where(F.col(name) <= limit) if limit else made
 
 
-#: Query vectors are broadcast up to so many numbers (rows times dimensions); above, the join is dealt out in blocks.
+#: Query vectors are sent to all tasks up to so many numbers (rows times dimensions); above, the join is dealt out in blocks.
 BROADCAST_NUMBERS = 4_000_000
+#: Vectors and queries that are multiplied at a time.
+TILE = 1024
+#: What a cosine that is as good after rounding to nine digits may lie below, with room for sums in another order.
+SLACK = 2e-9
+
+
+def _numbers(vector: Column) -> Column:
+    """Whether a vector has numbers alone, so that its cosines are numbers."""
+    return F.coalesce(~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) > 1e150)), F.lit(False))
+
+
+def _tops(ids: pa.Array, vectors: pa.Array, size: int, limit: int):
+    """A function of batches (id, vector) that gives those (query_id, id, score) that can be among a query's ``limit`` nearest of its task; scores as ``scores.cosine`` has them, bit for bit."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow.compute as pc
+
+        def matrix(lists: pa.Array) -> np.ndarray:
+            return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), size)
+
+        def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            made = np.zeros(len(a))
+            for k in range(size):  # in order
+                made += a[:, k] * b[:, k]
+            return made
+
+        def unit(m: np.ndarray, norm: np.ndarray) -> np.ndarray:
+            return np.divide(m, norm[:, None], out=np.zeros_like(m), where=norm[:, None] > 0)
+
+        asked = matrix(vectors)
+        long = np.sqrt(dot(asked, asked))
+        q, best = unit(asked, long), np.full((len(asked), limit), -np.inf)
+        for b in batches:
+            for at in range(0, b.num_rows, TILE):
+                part = b.slice(at, TILE)
+                part = part.take(pc.sort_indices(part["id"], null_placement="at_start"))  # so places are in the order of ids
+                own = matrix(part["vector"])
+                norm = np.sqrt(dot(own, own))
+                v = unit(own, norm)
+                for low in range(0, len(q), TILE):
+                    score = q[low : low + TILE] @ v.T
+                    rows = np.flatnonzero(score.max(1) >= best[low : low + TILE, 0] - SLACK)
+                    if not len(rows):
+                        continue
+                    score, rows = score[rows], rows + low
+                    both = np.concatenate([best[rows], score], 1)
+                    best[rows] = np.sort(np.partition(both, both.shape[1] - limit, 1)[:, -limit:], 1)
+                    i, j = np.nonzero(score >= best[rows, :1] - SLACK)
+                    i = rows[i]
+                    scale = norm[j] * long[i]
+                    exact = np.divide(dot(own[j], asked[i]), scale, out=np.zeros(len(i)), where=scale > 0)
+                    # of copies, whose scores are one value, the first by id are enough
+                    order = np.lexsort((j, exact, i))
+                    i, j, exact = i[order], j[order], exact[order]
+                    new = np.r_[True, (i[1:] != i[:-1]) | (exact[1:] != exact[:-1])]
+                    place = np.arange(len(i))
+                    few = place - np.maximum.accumulate(np.where(new, place, 0)) < limit
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(i[few])), part["id"].take(pa.array(j[few])), pa.array(exact[few])], ["query_id", "id", "score"])
+
+    return near
 
 
 def knn(vectors: DataFrame, queries: DataFrame, limit: int, where: Column | None = None) -> DataFrame:
     """(query_id, id, score, rank): nearest vectors (id, vector) by cosine, the filter applied before ranking.
 
-    A stated query set against all rows, in blocks: the count of the queries is checked, and a set that is too large
-    to broadcast is cut into blocks by hash, one pass over the vectors each. Partial tops
-    by partition are merged, so no query's candidates meet in one task.
+    A stated query set against all rows, in blocks of at most ``BROADCAST_NUMBERS`` numbers, one pass over the vectors each. Matrices
+    of vectors and queries are multiplied, and a task gives only pairs that can be among a query's nearest of its rows (with slack for
+    rounding), with cosines summed in order. Vectors of another size than most queries', or not of numbers alone, go through the plain expression. No query's candidates meet in one task before they are cut.
     """
     base = vectors if where is None else vectors.where(where)
-    numbers = queries.agg(F.sum(F.size("vector"))).first()[0] or 0
-    blocks = max(1, -(-numbers // BROADCAST_NUMBERS))
+    order = [F.desc(F.round("score", 9)), F.col("id")]
+    sizes = queries.where(_numbers(F.col("vector")) & (F.size("vector") > 0)).groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").first()
+    size, rows = sizes or (0, 0)
+    usual = _numbers(F.col("vector")) & (F.size("vector") == size)
+    odd = ~usual | F.col("vector").isNull()
+    asked = lambda own: own.select("query_id", F.col("vector").alias("query"))
     parts = []
+    for pairs in (base.crossJoin(asked(queries.where(odd))), base.where(odd).crossJoin(asked(queries.where(usual)))):
+        scored = pairs.select("query_id", "id", S.cosine(F.col("vector"), F.col("query")).alias("score"), F.spark_partition_id().alias("_part"))
+        parts.append(ranked(scored, ["query_id", "_part"], order, limit).drop("_part", "rank"))
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
+    whole = F.col("vector").cast("array<double>").alias("vector")
+    blocks = -(-rows * size // BROADCAST_NUMBERS)
     for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
-        rows = base.crossJoin(F.broadcast(own.select("query_id", F.col("vector").alias("query")))).select("query_id", "id", S.cosine(F.col("vector"), F.col("query")).alias("score"))
-        order = [F.desc(F.round("score", 9)), F.col("id")]
-        near = ranked(rows.withColumn("_part", F.spark_partition_id()), ["query_id", "_part"], order, limit).drop("_part", "rank")
-        parts.append(ranked(near, ["query_id"], order, limit))
+        held = queries.where(usual & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).select("query_id", whole).toArrow().combine_chunks()
+        if held.num_rows:
+            ids, own = (held[c].combine_chunks() for c in ("query_id", "vector"))
+            parts.append(base.where(usual).select("id", whole).mapInArrow(_tops(ids, own, size, limit), kinds))
     made = parts[0]
     for p in parts[1:]:
-        made = made.union(p)
-    return made
+        made = made.unionByName(p)
+    return ranked(made, ["query_id"], order, limit)
 
 
 def fused(lists: DataFrame, k: int = 60, limit: int | None = None) -> DataFrame:
