@@ -136,3 +136,25 @@ def alerts(candidates: list[DataFrame], cooldown: DataFrame | None = None, most:
     if cooldown is not None:
         rows = rows.join(cooldown, ["user_id", "alert_type", "news_id"], "left_anti")
     return ranked(rows, ["user_id"], [F.desc("score"), F.col("alert_type"), F.col("news_id"), F.col("entity_id"), F.col("topic_id")], most)
+
+
+def dealt_alerts(lists: list[DataFrame], follows: DataFrame, most: int = 50) -> DataFrame:
+    """``alerts`` of all that follow (user_id, alert_type, key) lists (alert_type, key, news_id, entity_id, topic_id, score).
+
+    Where a list is longer than ``most``, nobody is shown more than its best ``most`` in the order of alerts, so the others aren't dealt out: rows grow with the followers alone, not with
+    followers times news. They stay arrays until only the best ``most`` of all are left.
+    """
+    keys = ["alert_type", "key"]
+    item = ["score", "alert_type", "news_id", "entity_id", "topic_id"]
+    rows = lists[0]
+    for r in lists[1:]:
+        rows = rows.unionByName(r)
+    # the best first once sorted; nulls come first, as in ``alerts``
+    best = ranked(rows.dropDuplicates([*keys, *item[2:], "score"]), keys, [F.desc("score"), *(F.col(c) for c in item[1:])], most)
+    heads = best.groupBy(keys).agg(F.collect_list(F.struct((-F.col("score")).alias("worse"), *(F.col(c) for c in item[1:]))).alias("items"))
+    sets = follows.where("key IS NOT NULL").groupBy("user_id").agg(F.array_sort(F.collect_set(F.struct(*keys))).alias("follows"))
+    # who follows the same is shown the same: each set's lists are merged once
+    each = sets.select("follows").distinct().select("follows", F.inline("follows")).join(heads, keys)
+    merged = each.groupBy("follows").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))), 1, most).alias("items"))
+    shown = sets.join(merged, "follows").select("user_id", F.posexplode("items").alias("at", "x"))
+    return shown.select("user_id", *(f"x.{c}" for c in item[1:]), (-F.col("x.worse")).alias("score"), (F.col("at") + 1).cast("long").alias("rank"))

@@ -88,22 +88,22 @@ b AS (SELECT user_id, 'breaking' AS alert_type, news_id, NULL::BIGINT AS entity_
 c AS (SELECT user_id, 'tracked_topic' AS alert_type, news_id, NULL::BIGINT AS entity_id, topic AS topic_id, 0.8 AS score FROM n JOIN u ON c_mktsegment = 'BUILDING' AND topic = 'purchase'), x AS (SELECT * FROM a UNION SELECT * FROM b UNION SELECT * FROM c UNION SELECT * FROM d UNION SELECT * FROM p),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, alert_type, news_id, entity_id NULLS FIRST, topic_id NULLS FIRST) AS rank FROM x) SELECT user_id, alert_type, news_id, entity_id, topic_id, score::DOUBLE AS score, rank FROM r WHERE rank <= 50""")
 def alert_candidates(t):
-    """All five kinds for all customers. Breaking news and tracked topics go to everyone who follows a segment: of such a list, all of one score, nobody is shown more than the first 50, so only these are dealt out."""
+    """All five kinds for all customers. A list (an entity's news, a keyword's, a segment's) has one score, so nobody is shown more than its first 50: only these are dealt out, to whoever follows it."""
     n = t.events.where("ts >= '2024-01-30'").select(F.col("event_id").alias("news_id"), F.col("user_id").alias("entity"), F.col("event_type").alias("topic"), "value", "props")
-    u = t.customer.select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 150).alias("entity"), "c_mktsegment", (F.col("c_custkey") % 100).cast("string").alias("word"))
+    u = t.customer.select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 150).alias("entity"), "c_mktsegment", F.concat(F.lit('k": '), (F.col("c_custkey") % 100).cast("string"), F.lit("}")).alias("word"))
     none, no_id, s = F.lit(None).cast("string"), F.lit(None).cast("long"), P.ALERT_SCORES
-    kind = lambda df, k, e, p: df.select("user_id", F.lit(k).alias("alert_type"), "news_id", e.alias("entity_id"), p.alias("topic_id"), F.lit(s[k]).alias("score"))
-    first = lambda rows: F.broadcast(rows.orderBy("news_id").limit(50).select("news_id", "topic"))  # noqa: E731  50 rows
+    list_ = lambda rows, k, key, e, p: rows.select(F.lit(k).alias("alert_type"), key.cast("string").alias("key"), "news_id", e.alias("entity_id"), p.alias("topic_id"), F.lit(s[k]).alias("score"))
     day = F.lit("2024-01-31").cast("timestamp_ntz")
     spikes = E.entity_profiles(t.events.select(F.col("user_id").alias("entity"), F.col("event_type").alias("source"), F.lit(1).alias("n"), "ts"), day).where("current >= 3 AND current > 2 * baseline").select("entity")
-    followed = n.join(u, "entity")
-    a, p = kind(followed, "alert_news", F.col("entity"), none), kind(followed.join(spikes, "entity", "left_semi"), "spike", F.col("entity"), none)
-    tracked = u.select("user_id", F.concat(F.lit('k": '), F.col("word"), F.lit("}")).alias("pattern"))
-    found = M.contained(n.select(F.col("news_id").alias("id"), F.col("props").alias("text")), tracked)
-    d = kind(found.withColumnRenamed("id", "news_id").join(tracked, "pattern"), "keyword_match", no_id, F.col("pattern"))
-    b = kind(first(n.where("topic = 'error' AND value > 90 AND news_id % 2 = 1")).crossJoin(u.where("c_mktsegment = 'MACHINERY'")), "breaking", no_id, none)
-    c = kind(first(n.where("topic = 'purchase'")).crossJoin(u.where("c_mktsegment = 'BUILDING'")), "tracked_topic", no_id, F.col("topic"))
-    return P.alerts([a, b, c, d, p])
+    entity = F.col("entity")
+    found = M.contained(n.select(F.col("news_id").alias("id"), F.col("props").alias("text")), u.select(F.col("word").alias("pattern"))).withColumnRenamed("id", "news_id")
+    lists = [
+        list_(n, "alert_news", entity, entity, none), list_(n.join(spikes, "entity", "left_semi"), "spike", entity, entity, none), list_(found, "keyword_match", F.col("pattern"), no_id, F.col("pattern")),
+        list_(n.where("topic = 'error' AND value > 90 AND news_id % 2 = 1"), "breaking", F.lit("MACHINERY"), no_id, none), list_(n.where("topic = 'purchase'"), "tracked_topic", F.lit("BUILDING"), no_id, F.col("topic")),
+    ]
+    own = lambda k, key: F.struct(F.lit(k).alias("alert_type"), key.cast("string").alias("key"))
+    follows = u.select("user_id", F.inline(F.array(own("alert_news", entity), own("spike", entity), own("keyword_match", F.col("word")), own("breaking", F.col("c_mktsegment")), own("tracked_topic", F.col("c_mktsegment")))))
+    return P.dealt_alerts(lists, follows)
 
 
 @query("""WITH m AS (SELECT max(ts) AS e FROM events), a AS (SELECT user_id FROM events, m GROUP BY user_id, e HAVING max(ts) > e - INTERVAL 24 HOUR), w AS (SELECT user_id, event_id % 97 AS news_id, event_id AS seq FROM events WHERE user_id IN (SELECT user_id FROM a) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 30),
