@@ -30,3 +30,10 @@ def test_knn_equals_all_pairs(spark, monkeypatch, numbers):
 def test_knn_multiplies_matrices(spark):
     plan = R.knn(spark.createDataFrame([(1, [1.0])], "id long, vector array<double>"), spark.createDataFrame([(1, [1.0])], "query_id long, vector array<double>"), 1)._jdf.queryExecution().toString()
     assert "MapInArrow" in plan
+
+
+def test_ranking_metrics_share_the_step(spark):
+    from tidewire.plans import QUERIES
+
+    plan = QUERIES["ranking_metrics"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan
