@@ -37,3 +37,18 @@ def test_ranking_metrics_share_the_step(spark):
 
     plan = QUERIES["ranking_metrics"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "MapInArrow" in plan
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_expansions_make_collocations_once_and_judge_those_that_a_query_meets(spark):
+    from tidewire.operators import corpus as C
+
+    coll = spark.createDataFrame([("market", "price", 4.0, 9), ("price", "list", 3.5, 8), ("abcd", "efgh", 5.0, 7), ("market", "и", 9.0, 9), ("market", "rare", 9.0, 4)], "term_a string, term_b string, pmi_score double, frequency long")
+    queries = spark.createDataFrame([(1, "Market news"), (2, "price list of today"), (3, None), (4, "list")], "query_id long, text string")
+    made = C.expansions(queries, coll)
+    assert sorted((r["query_id"], r["phrase"], r["rank"]) for r in made.collect()) == [(1, "market price", 1), (4, "price list", 1)]
+    # neither the collocations nor the queries are in the plan any more, however often it reads them
+    assert "LogicalRDD" not in _plan(made) and "LocalRelation" not in _plan(made)

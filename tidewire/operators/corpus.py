@@ -31,7 +31,7 @@ def term_counts(docs: DataFrame, least: int = 2) -> DataFrame:
 
 def vocabulary_of(counts: DataFrame, floor: int = 3) -> DataFrame:
     """The informative terms with at least ``floor`` occurrences."""
-    return counts.where(_after(F.col("collection_frequency") >= floor, T.is_informative(F.col("term"))))
+    return counts.where(_after(F.col("collection_frequency") >= floor, T.is_informative_token(F.col("term"))))
 
 
 def vocabulary(docs: DataFrame, least: int = 2, floor: int = 3) -> DataFrame:
@@ -41,13 +41,14 @@ def vocabulary(docs: DataFrame, least: int = 2, floor: int = 3) -> DataFrame:
 
 def pairs(docs: DataFrame, least: int = 2) -> DataFrame:
     """(a, b) for neighbouring tokens of a sentence."""
-    sentences = docs.select(F.explode(F.split("text", r"(?<=[.!?])\s+")).alias("text"))
+    sentences = docs.select(F.explode(F.split("text", r"[.!?]\s")).alias("text"))  # what else stands between them is no part of a token
     both = sentences.select(T.words(F.col("text"), least).alias("w")).where("size(w) > 1").select(F.explode(F.arrays_zip(F.expr("slice(w, 1, size(w) - 1)").alias("a"), F.expr("slice(w, 2, size(w) - 1)").alias("b"))).alias("p"))
     return both.select("p.a", "p.b")
 
 
 def useful_pair(a: Column, b: Column) -> Column:
-    return (F.translate(a, "ё", "е") != F.translate(b, "ё", "е")) & T.is_informative(a) & T.is_informative(b)
+    """Whether two tokens make a pair that counts."""
+    return (F.translate(a, "ё", "е") != F.translate(b, "ё", "е")) & T.is_informative_token(a) & T.is_informative_token(b)
 
 
 def collocations_of(single: DataFrame, paired: DataFrame, frequency: int = 5, pmi: float = 3.0) -> DataFrame:
@@ -66,7 +67,7 @@ def collocations_of(single: DataFrame, paired: DataFrame, frequency: int = 5, pm
 
 def collocations(docs: DataFrame, least: int = 2, frequency: int = 5, pmi: float = 3.0) -> DataFrame:
     """``collocations_of`` the documents. The rule on terms runs once a distinct term and once a distinct pair, not once an occurrence."""
-    single = settle(terms(docs, least).groupBy("term").agg(F.count("*").alias("n")).where(_after(F.col("n") > 0, T.is_informative(F.col("term")))))
+    single = settle(terms(docs, least).groupBy("term").agg(F.count("*").alias("n")).where(_after(F.col("n") > 0, T.is_informative_token(F.col("term")))))
     paired = pairs(docs, least).groupBy("a", "b").agg(F.count("*").alias("n")).where(_after(F.col("n") > 0, useful_pair(F.col("a"), F.col("b"))))
     return collocations_of(single, paired, frequency, pmi)
 
@@ -74,9 +75,10 @@ def collocations(docs: DataFrame, least: int = 2, frequency: int = 5, pmi: float
 def postings(docs: DataFrame, least: tuple[int, ...] = (2,), wanted: DataFrame | None = None) -> DataFrame:
     """(doc_id, term, tf, size_2, ...): a document's terms with their counts, and for each of ``least`` how many of its tokens have so many letters.
 
-    One pass over the texts serves all weights. wanted: the terms (term) that are asked for; others go before they are counted or shuffled.
+    One pass over the texts serves all weights. wanted: the terms (term) that are asked for; others go before they are counted.
+    Texts are dealt out by document, so its terms are counted where it lies, and sums by document after that are too: texts are shuffled once, postings never.
     """
-    made = docs.select("doc_id", T.words(F.col("text"), min(least)).alias("w"))
+    made = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", T.words(F.col("text"), min(least)).alias("w"))
     long = lambda n: lambda x: F.char_length(x) >= n
     sizes = [F.size("w" if n == min(least) else F.filter("w", long(n))).alias(f"size_{n}") for n in least]
     # sizes are columns before the explode: what stands beside it is computed once a row it makes
@@ -106,9 +108,8 @@ def sparse_vectors(docs: DataFrame, least: int = 2, digits: int = 8) -> DataFram
 
 
 def sparse_of(posts: DataFrame, least: int = 2, digits: int = 8) -> DataFrame:
-    """Sparse vectors from postings. Each distinct term is hashed once, not each of its places."""
-    idx = posts.select("term").distinct().withColumn("idx", T.hash_number(F.col("term"), digits))
-    return posts.join(idx, "term").groupBy("doc_id", "idx").agg(F.round(F.sum(F.col("tf") / F.col(f"size_{least}")), 6).alias("val"))
+    """Sparse vectors from postings. A term is hashed where it lies: that costs less than to shuffle all postings by term and back."""
+    return posts.groupBy("doc_id", T.hash_number(F.col("term"), digits).alias("idx")).agg(F.round(F.sum(F.col("tf") / F.col(f"size_{least}")), 6).alias("val"))
 
 
 def sparse_dot(index: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
@@ -171,16 +172,17 @@ def expansions(queries: DataFrame, coll: DataFrame, most: int = 3, frequency: in
 
     Queries (query_id, text) that hold a known phrase already get none; broad terms don't expand queries of three tokens and more.
     """
-    usable = coll.where((F.col("frequency") >= frequency) & T.is_informative_pair(F.col("term_a"), F.col("term_b")) & T.is_expansion_term(F.col("term_a")) & T.is_expansion_term(F.col("term_b")))
-    usable = usable.withColumn("weight", F.round(F.col("pmi_score") * F.log1p(F.greatest("frequency", F.lit(0))), 6))
     tokens = queries.select("query_id", F.array_distinct(T.words(F.col("text"))).alias("tokens"))
-    hit = tokens.withColumn("token", F.explode("tokens"))
-    # two equi joins in place of one with OR
-    cols = ["query_id", "tokens", "token", "term_a", "term_b", "weight"]
-    found = hit.join(usable, hit.token == usable.term_a).select(*cols).union(hit.join(usable, hit.token == usable.term_b).select(*cols))
+    hit = settle(tokens.withColumn("token", F.explode("tokens")))
+    known = settle(coll.where(F.col("frequency") >= frequency).select("term_a", "term_b", "pmi_score", "frequency"))
+    # two equi joins in place of one with OR. Settled: collocations are made once, and the costly rules run on those that a query meets, not on all
+    cols = ["query_id", "tokens", "token", "term_a", "term_b", "pmi_score", "frequency"]
+    met = settle(hit.join(known, hit.token == known.term_a).select(*cols).union(hit.join(known, hit.token == known.term_b).select(*cols)))
+    usable = T.is_informative_pair(F.col("term_a"), F.col("term_b")) & T.is_expansion_term(F.col("term_a")) & T.is_expansion_term(F.col("term_b"))
+    found = met.where(usable).withColumn("weight", F.round(F.col("pmi_score") * F.log1p(F.greatest("frequency", F.lit(0))), 6))
     both = F.array_contains("tokens", F.col("term_a")) & F.array_contains("tokens", F.col("term_b"))
-    known = found.where(both).select("query_id").distinct()
-    found = found.where(~both & ~((F.size("tokens") >= 3) & F.col("token").isin(*broad))).join(known, "query_id", "left_anti")
+    holding = found.where(both).select("query_id").distinct()
+    found = found.where(~both & ~((F.size("tokens") >= 3) & F.col("token").isin(*broad))).join(holding, "query_id", "left_anti")
     phrases = found.select("query_id", F.concat_ws(" ", "term_a", "term_b").alias("phrase"), "weight").distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("weight"), "phrase")
     return phrases.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most)

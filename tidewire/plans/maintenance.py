@@ -33,7 +33,7 @@ def maintained_vocabulary(t):
 def maintained_collocations(t):
     before, batch = before_and_batch(t)
     signed = N.changes(before, batch, "doc_id")
-    terms = N.merged(C.term_counts(before), N.term_delta(signed), ["term"]).select("term", F.col("collection_frequency").alias("n")).where(C._after(F.col("n") > 0, C.T.is_informative(F.col("term"))))
+    terms = N.merged(C.term_counts(before), N.term_delta(signed), ["term"]).select("term", F.col("collection_frequency").alias("n")).where(C._after(F.col("n") > 0, C.T.is_informative_token(F.col("term"))))
     pairs = N.merged(C.pairs(before).groupBy("a", "b").agg(F.count("*").alias("n")), N.pair_delta(signed), ["a", "b"])
     useful = pairs.where(C._after(F.col("n") > 0, C.useful_pair(F.col("a"), F.col("b"))))
     return N.top_collocations(C.collocations_of(terms, useful))
