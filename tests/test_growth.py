@@ -52,3 +52,20 @@ def test_expansions_make_collocations_once_and_judge_those_that_a_query_meets(sp
     assert sorted((r["query_id"], r["phrase"], r["rank"]) for r in made.collect()) == [(1, "market price", 1), (4, "price list", 1)]
     # neither the collocations nor the queries are in the plan any more, however often it reads them
     assert "LogicalRDD" not in _plan(made) and "LocalRelation" not in _plan(made)
+
+
+def test_rule_on_tokens_is_the_rule_on_terms(spark):
+    """Tokens hold letters and digits in lower case."""
+    from tidewire.functions import text as T
+
+    tokens = ["и", "что", "её", "ее", "ещё", "http", "usr", "123", "١٢", "a1", "ab", "abc", "ai", "ии", "x" * 64, "x" * 65, "1ab", "данные", "über", "日本", "日本語", "ёлка", "апрель", "", None]
+    rows = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", T.is_informative_token(F.col("t")).alias("a"), T.is_informative(F.col("t")).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in rows), rows
+
+
+def test_pairs_are_judged_by_a_cheap_rule(spark):
+    from tidewire.operators import corpus as C
+
+    docs = spark.createDataFrame([(1, "Oil price. oil  price!\n\nPrice a.b oil? x 5 price... Gas\tprice"), (2, None), (3, "")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in C.pairs(docs).collect()) == [("gas", "price"), ("oil", "price"), ("oil", "price"), ("price", "oil")]
+    assert "regexp_replace" not in _plan(C.pairs(docs).where(C.useful_pair(F.col("a"), F.col("b"))))
