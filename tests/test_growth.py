@@ -69,3 +69,30 @@ def test_pairs_are_judged_by_a_cheap_rule(spark):
     docs = spark.createDataFrame([(1, "Oil price. oil  price!\n\nPrice a.b oil? x 5 price... Gas\tprice"), (2, None), (3, "")], "doc_id long, text string")
     assert sorted(tuple(r) for r in C.pairs(docs).collect()) == [("gas", "price"), ("oil", "price"), ("oil", "price"), ("price", "oil")]
     assert "regexp_replace" not in _plan(C.pairs(docs).where(C.useful_pair(F.col("a"), F.col("b"))))
+
+
+def test_places_are_found_without_vectors(spark):
+    """What is written between has no vectors, which weigh most."""
+    from tidewire.operators import clustering as K
+    from tidewire.sources.store import Scratch
+
+    scratch = Scratch(spark)
+    items = spark.createDataFrame([(i, "en", 1700000000 + i, [1.0, float(i % 3)]) for i in range(12)], "id long, lang string, t long, vector array<float>").withColumn("ts", F.timestamp_seconds("t"))
+    pairs = K.window_pairs(items, 0.99, scratch, newest=5, block=4)
+    assert {(r["id"], r["other"]) for r in pairs.collect()} == {(i, j) for i in range(12) for j in [x for x in range(11, -1, -1) if x != i][:5] if i % 3 == j % 3}
+    assert scratch.made and all("vector" not in t.columns for _, t in scratch.made)
+
+
+def test_labels_shrink_edges(spark):
+    """Long paths, stars and single nodes; after a round, edges within a cluster are gone."""
+    from tidewire.operators import events as E
+    from tidewire.sources.store import Scratch
+
+    rng = random.Random(3)
+    path = rng.sample(range(40), 40)
+    edges = [*zip(path, path[1:], strict=False), *((100, i) for i in range(101, 120)), (200, 199), (200, 201), (200, 200), (201, 200)]
+    scratch = Scratch(spark)
+    nodes = [*range(40), *range(100, 120), 199, 200, 201, 300]
+    made = E.cluster_labels(spark.createDataFrame(edges, "u long, v long"), spark.createDataFrame([(n,) for n in nodes], "id long"), scratch)
+    assert {r["id"]: r["cluster"] for r in made.collect()} == {n: 0 if n < 40 else 100 if n < 120 else 199 if n < 300 else 300 for n in nodes}
+    assert len([t for _, t in scratch.made if t.columns == ["u", "v"]]) > 1
