@@ -96,3 +96,41 @@ def test_labels_shrink_edges(spark):
     made = E.cluster_labels(spark.createDataFrame(edges, "u long, v long"), spark.createDataFrame([(n,) for n in nodes], "id long"), scratch)
     assert {r["id"]: r["cluster"] for r in made.collect()} == {n: 0 if n < 40 else 100 if n < 120 else 199 if n < 300 else 300 for n in nodes}
     assert len([t for _, t in scratch.made if t.columns == ["u", "v"]]) > 1
+
+
+def test_page_functions_bound_batches(spark):
+    """Python gets pages and texts in batches of few bytes, however many rows there are."""
+    from tidewire.plans import QUERIES
+    from tidewire.sources.store import BATCH
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for query in ("short_safe_articles", "turbo_articles", "keyphrases"):
+        spark.conf.unset(name)
+        try:
+            QUERIES[query](spark, "/root/testdata/sf0.001")
+            assert int(spark.conf.get(name).rstrip("b")) == BATCH
+        finally:
+            spark.conf.unset(name)
+    spark.conf.set(name, "1000")  # a caller's own bound stays
+    try:
+        QUERIES["turbo_articles"](spark, "/root/testdata/sf0.001")
+        assert spark.conf.get(name).rstrip("b") == "1000"
+    finally:
+        spark.conf.unset(name)
+
+
+def test_keyphrases_judge_the_best_alone(monkeypatch):
+    """Phrases are rounded, joined and compared only as far as the best need it, with the result of judging all."""
+    from tidewire.operators import keyphrases as K
+
+    rng = random.Random(2)
+    text = ". ".join(" ".join(rng.choice(["oil", "oils", "Market", "market", "price", "prices", "RATE", "12"]) + "x" * rng.randrange(3) for _ in range(9)) for _ in range(60))
+    every = K.keyphrases(text, 10**6, alike=1.0)
+    kept = []
+    for p, s in every:
+        if not any(K.too_alike(p, q, 0.8) for q, _ in kept):
+            kept.append((p, s))
+    joined = []
+    monkeypatch.setattr(K, "round", lambda s, n: joined.append(s) or round(s, n), raising=False)
+    assert K.keyphrases(text, 5, alike=1.0) == every[:5] and len(joined) < len(every) / 4
+    assert K.keyphrases(text, 5, alike=0.8) == kept[:5] and K.keyphrases(text, 200, alike=0.8) == kept[:200]
