@@ -10,20 +10,21 @@ s the mean number of its sentences (from 0), k of all n sentences, and l and r t
 over words that are informative. A phrase of up to MOST such words that follow each other in a sentence has
 product(weights) / ((1 + sum(weights)) * its own occurrences). Phrases too much like a better one are left out.
 
-Every text is worked out within its row: one pass of Arrow batches, no shuffle, in time linear in its words.
+Every text is worked out within its row: one pass of Arrow batches over texts dealt out evenly, in arrays of word numbers; only the best phrases are made.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from functools import lru_cache
 from math import log, sqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
+from tidewire.sources.store import lean
 
 MOST, ALIKE = 3, 0.9
 KIND = "array<struct<phrase: string, score: double>>"
@@ -36,43 +37,71 @@ def informative(word: str) -> bool:
     return w not in T.STOP_TERMS and w not in T.CODE_TERMS and not w.isnumeric() and (len(w) >= 3 or w in T.SHORT_TERMS) and len(w) <= 64 and any(c.isalpha() for c in w)
 
 
-def word_weights(sentences: list[list[str]]) -> dict[str, float]:
-    """The weight of each informative word (lower case) of sentences (words as written)."""
-    tf, capital, shout, held, total = Counter(), Counter(), Counter(), defaultdict(set), Counter()
-    left, right, n_left, n_right = defaultdict(set), defaultdict(set), Counter(), Counter()
-    for s, words in enumerate(sentences):
-        low = [w.lower() for w in words]
-        for i, (word, w) in enumerate(zip(words, low, strict=True)):
-            tf[w] += 1
-            total[w] += s
-            held[w].add(s)
-            shout[w] += len(word) > 1 and word.isupper()
-            capital[w] += i > 0 and word[0].isupper() and not (len(word) > 1 and word.isupper())
-            if i:
-                left[w].add(low[i - 1])
-                n_left[w] += 1
-            if i + 1 < len(low):
-                right[w].add(low[i + 1])
-                n_right[w] += 1
-    good = [w for w in tf if informative(w)]
+@lru_cache(maxsize=1)
+def _patterns():
+    import regex
+
+    return regex.compile(r"[.!?\n]+"), regex.compile(r"[\p{L}\p{N}]+")
+
+
+def _coded(sentences: list[list[str]]) -> tuple[list[str], list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The different words as written and in lower case, and for each place its word as written, its word in lower case (numbers of these lists) and its sentence."""
+    written: dict[str, int] = {}
+    as_written = np.array([written.setdefault(w, len(written)) for words in sentences for w in words], np.int64)
+    low: dict[str, int] = {}
+    of = np.array([low.setdefault(w.lower(), len(low)) for w in written], np.int64)
+    return list(written), list(low), as_written, of[as_written], np.repeat(np.arange(len(sentences)), [len(words) for words in sentences])
+
+
+def _different(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """For each number below ``size``, how many different b stand with it as a."""
+    return np.bincount(np.unique(a * (int(b.max()) + 1) + b) // (int(b.max()) + 1), minlength=size) if len(a) else np.zeros(size, np.int64)
+
+
+def _weights(written: list[str], low: list[str], as_written: np.ndarray, ids: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """The weight of each word in lower case; no number for one that isn't informative."""
+    size = len(low)
+    out = np.full(size, np.nan)
+    good = [i for i, w in enumerate(low) if informative(w)]
     if not good:
-        return {}
-    mean = sum(tf[w] for w in good) / len(good)
-    spread_of = sqrt(sum((tf[w] - mean) ** 2 for w in good) / len(good))
-    most = max(tf[w] for w in good)
-    out = {}
-    for w in good:
-        near = 1 + (len(left[w]) / max(1, n_left[w]) + len(right[w]) / max(1, n_right[w])) * tf[w] / most
-        case = max(capital[w], shout[w]) / (1 + log(tf[w]))
-        often, spread = tf[w] / (mean + spread_of), len(held[w]) / len(sentences)
-        out[w] = log(log(3 + total[w] / tf[w])) * near / (case + (often + spread) / near)
+        return out
+    count = lambda part: np.bincount(part, minlength=size)
+    shouts = np.array([len(w) > 1 and w.isupper() for w in written])[as_written]
+    capitals = np.array([w[0].isupper() and not (len(w) > 1 and w.isupper()) for w in written])[as_written]
+    after = place[1:] == place[:-1]  # whether a word follows in its sentence
+    left, right = ids[:-1][after], ids[1:][after]
+    tf, shout, capital = count(ids), count(ids[shouts]), count(ids[1:][after & capitals[1:]])
+    total, held = np.bincount(ids, place, size).astype(np.int64), _different(ids, place, size)
+    lefts, rights, n_left, n_right = _different(right, left, size), _different(left, right, size), count(right), count(left)
+    often = tf[good].tolist()
+    mean = sum(often) / len(good)
+    spread_of = sqrt(sum((k - mean) ** 2 for k in often) / len(good))
+    most = max(often)
+    case = np.maximum(capital, shout)
+    for w, t, s, h, c, dl, nl, dr, nr in zip(good, often, *(x[good].tolist() for x in (total, held, case, lefts, n_left, rights, n_right)), strict=True):
+        near = 1 + (dl / max(1, nl) + dr / max(1, nr)) * t / most
+        out[w] = log(log(3 + s / t)) * near / (c / (1 + log(t)) + (t / (mean + spread_of) + h / n) / near)
     return out
 
 
+def word_weights(sentences: list[list[str]]) -> dict[str, float]:
+    """The weight of each informative word (lower case) of sentences (words as written)."""
+    written, low, as_written, ids, place = _coded(sentences)
+    weight = _weights(written, low, as_written, ids, place, len(sentences))
+    return {w: x for w, x in zip(low, weight.tolist(), strict=True) if x == x}
+
+
 def _distance(a: str, b: str, most: int) -> int:
     """Edit distance, or any number over ``most`` where it is larger."""
     if abs(len(a) - len(b)) > most:
         return most + 1
+    # what both begin and end with costs nothing
+    low = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    a, b = a[low:], b[low:]
+    high = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b), strict=False)) if x != y), min(len(a), len(b)))
+    a, b = a[: len(a) - high], b[: len(b) - high]
+    if not a or not b or not most:
+        return max(len(a), len(b))
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         before, row[0] = row[0], i
@@ -92,31 +121,56 @@ def too_alike(a: str, b: str, alike: float) -> bool:
 
 def keyphrases(text: str, count: int, most: int = MOST, alike: float = ALIKE, highest: float | None = None) -> list[tuple[str, float]]:
     """The ``count`` best phrases of a text with their scores, best first (to nine digits, then by letters). highest: the worst score that is still good."""
-    import regex
-
-    sentences = [w for s in regex.split(r"[.!?\n]+", text) if (w := regex.findall(r"[\p{L}\p{N}]+", s))]
-    weight = word_weights(sentences)
-    seen: Counter = Counter()
-    for words in sentences:
-        low = [w.lower() for w in words]
-        for i in range(len(low)):
-            for n in range(1, most + 1):
-                if i + n > len(low) or low[i + n - 1] not in weight:
-                    break
-                seen[tuple(low[i : i + n])] += 1
-    scored = []
-    for words, tf in seen.items():
-        product, total = 1.0, 0.0
-        for w in words:
-            product, total = product * weight[w], total + weight[w]
-        scored.append((round(product / ((1 + total) * tf), 9), " ".join(words)))
-    out: list[tuple[str, float]] = []
-    for score, phrase in sorted(scored):
-        if len(out) == count or highest is not None and score > highest:
+    ends, words_of = _patterns()
+    sentences = [w for s in ends.split(text) if (w := words_of.findall(s))]
+    written, low, as_written, ids, place = _coded(sentences)
+    if not low:
+        return []
+    weight = _weights(written, low, as_written, ids, place, len(sentences))
+    words, scores = _phrases(ids, place, weight, most)
+    order = np.argsort(scores, kind="stable")
+    some = 4 * count
+    while True:
+        # scores to nine digits and words only of the best; as many more as are left out for being alike
+        few = order[:some]
+        cut = scores[few[-1]] if some < len(order) else np.inf
+        near = order[: np.searchsorted(scores[order], cut + 2e-9, "right")] if some < len(order) else order
+        best = sorted((round(s, 9), " ".join(low[w] for w in ws if w >= 0)) for s, ws in zip(scores[near].tolist(), words[near].tolist(), strict=True))
+        out: list[tuple[str, float]] = []
+        for score, phrase in best:
+            if len(out) == count or highest is not None and score > highest:
+                return out
+            if some < len(order) and score > round(cut, 9):
+                break
+            if alike >= 1 or not any(too_alike(phrase, p, alike) for p, _ in out):
+                out.append((phrase, score))
+        if len(out) == count or some >= len(order):
+            return out
+        some *= 8
+
+
+def _phrases(ids: np.ndarray, place: np.ndarray, weight: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different phrases, as rows of ``most`` words (-1: none), and their scores."""
+    good = ~np.isnan(weight[ids])
+    start, key, rows, scores = np.flatnonzero(good), ids, [], []
+    for n in range(1, most + 1):
+        if n > 1:  # those of a word less that a good word of the same sentence follows
+            start = start[start + n - 1 < len(ids)]
+            start = start[good[start + n - 1] & (place[start] == place[start + n - 1])]
+        if not len(start):
             break
-        if alike >= 1 or not any(too_alike(phrase, p, alike) for p, _ in out):
-            out.append((phrase, score))
-    return out
+        # a phrase's key is the number of the phrase without its last word, and that word
+        _, first, number, tf = np.unique(key[start] * len(weight) + ids[start + n - 1] if n > 1 else ids[start], return_index=True, return_inverse=True, return_counts=True)
+        key = np.zeros(len(ids), np.int64)
+        key[start] = number
+        held = np.full((len(first), most), -1)
+        product, total = np.ones(len(first)), np.zeros(len(first))
+        for k in range(n):
+            held[:, k] = ids[start[first] + k]
+            product, total = product * weight[held[:, k]], total + weight[held[:, k]]
+        rows.append(held)
+        scores.append(product / ((1 + total) * tf))
+    return (np.concatenate(rows), np.concatenate(scores)) if rows else (np.zeros((0, most), np.int64), np.zeros(0))
 
 
 def column(text: Column, count: int = 8, most: int = MOST, alike: float = ALIKE, highest: float | None = None) -> Column:
@@ -126,10 +180,12 @@ def column(text: Column, count: int = 8, most: int = MOST, alike: float = ALIKE,
         rows = [[{"phrase": p, "score": s} for p, s in keyphrases(t, count, most, alike, highest)] if t and len(" ".join(t.split())) >= 20 else [] for t in text.to_pylist()]
         return pa.array(rows, pa.list_(pa.struct([("phrase", pa.string()), ("score", pa.float64())])))
 
+    lean()
     return F.arrow_udf(found, KIND)(text)
 
 
 def of_documents(docs: DataFrame, count: int = 8, **how) -> DataFrame:
-    """(doc_id, phrase, score, rank) of documents (doc_id, text)."""
-    rows = docs.select("doc_id", F.posexplode(column(F.col("text"), count, **how)).alias("at", "k"))
+    """(doc_id, phrase, score, rank) of documents (doc_id, text). Texts are dealt out first: a small file has few parts, and a text is much work."""
+    even = docs.select("doc_id", "text").repartition(4 * docs.sparkSession.sparkContext.defaultParallelism)
+    rows = even.select("doc_id", F.posexplode(column(F.col("text"), count, **how)).alias("at", "k"))
     return rows.select("doc_id", "k.phrase", "k.score", (F.col("at") + 1).cast("long").alias("rank"))
