@@ -134,3 +134,16 @@ def test_keyphrases_judge_the_best_alone(monkeypatch):
     monkeypatch.setattr(K, "round", lambda s, n: joined.append(s) or round(s, n), raising=False)
     assert K.keyphrases(text, 5, alike=1.0) == every[:5] and len(joined) < len(every) / 4
     assert K.keyphrases(text, 5, alike=0.8) == kept[:5] and K.keyphrases(text, 200, alike=0.8) == kept[:200]
+
+
+def test_rerank_split_sorts_twice(spark):
+    """One shuffle by query, and no sort for the count of its hits."""
+    from tidewire.operators import retrieval as R
+
+    rows = [(1, n, s, float((n * 7 + s) % 5)) for n in range(4) for s in range(3)] + [(2, 1, 0, 1.0), (2, 1, 1, 2.0), (2, 2, 0, None)]
+    made = R.rerank_split(spark.createDataFrame(rows, "query_id long, news_id long, seq int, score double"), 3)
+    got = {(r["query_id"], r["news_id"], r["seq"]) for r in made.where("to_rerank").collect()}
+    best = sorted((min((-x[3], x[2], n) for x in rows if x[0] == 1 and x[1] == n) for n in range(4)))[:3]
+    assert got == {(1, n, s) for _, s, n in best} | {(2, 1, 0), (2, 1, 1), (2, 2, 0)}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 2 and plan.count("Exchange hashpartitioning") == 1

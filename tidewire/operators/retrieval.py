@@ -137,9 +137,11 @@ def normalised(hits: DataFrame) -> DataFrame:
 
 def rerank_split(hits: DataFrame, most: int) -> DataFrame:
     """Which hits go to the reranker: all if there are at most ``most``; else the best of each article, ``most`` of them. The others keep 0.5."""
-    w = Window.partitionBy("query_id")
-    rows = hits.withColumn("_n", F.count("*").over(w)).withColumn("_first", F.row_number().over(Window.partitionBy("query_id", "news_id").orderBy(F.desc("score"), "seq")) == 1)
-    place = F.row_number().over(Window.partitionBy("query_id", "_first").orderBy(F.desc("score"), "seq"))
+    order = [F.desc("score"), F.col("seq")]
+    rows = hits.repartition("query_id").withColumn("_first", F.row_number().over(Window.partitionBy("query_id", "news_id").orderBy(*order)) == 1)
+    place = F.row_number().over(Window.partitionBy("query_id", "_first").orderBy(*order))
+    # all of a query's hits, in the order of their places: so the count needs no sort of its own
+    rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy("query_id").orderBy("_first", *order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     return rows.withColumn("to_rerank", (F.col("_n") <= most) | (F.col("_first") & (place <= most))).drop("_n", "_first")
 
 
