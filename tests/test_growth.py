@@ -147,3 +147,12 @@ def test_rerank_split_sorts_twice(spark):
     assert got == {(1, n, s) for _, s, n in best} | {(2, 1, 0), (2, 1, 1), (2, 2, 0)}
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 2 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_sparse_vectors_shuffle_texts_alone(spark):
+    from tidewire.operators import corpus as C
+
+    made = C.sparse_vectors(spark.createDataFrame([(1, "oil oil gas"), (2, None)], "doc_id long, text string"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert sorted(r["val"] for r in made.collect()) == [0.333333, 0.666667]
