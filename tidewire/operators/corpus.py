@@ -78,7 +78,8 @@ def postings(docs: DataFrame, least: tuple[int, ...] = (2,), wanted: DataFrame |
     One pass over the texts serves all weights. wanted: the terms (term) that are asked for; others go before they are counted.
     Texts are dealt out by document, so its terms are counted where it lies, and sums by document after that are too: texts are shuffled once, postings never.
     """
-    made = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", T.words(F.col("text"), min(least)).alias("w"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, else few bytes of text, which are much work, would be merged into few tasks
+    made = docs.select("doc_id", "text").repartition(tasks, "doc_id").select("doc_id", T.words(F.col("text"), min(least)).alias("w"))
     long = lambda n: lambda x: F.char_length(x) >= n
     sizes = [F.size("w" if n == min(least) else F.filter("w", long(n))).alias(f"size_{n}") for n in least]
     # sizes are columns before the explode: what stands beside it is computed once a row it makes
