@@ -7,6 +7,8 @@ counts made anew, row by row: they are sums, and keys whose counts are 0 go.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,19 @@ def term_delta(signed: DataFrame, least: int = 2) -> DataFrame:
     return own.groupBy("term").agg(F.sum("sign").cast("long").alias("doc_frequency"), F.sum(F.col("sign") * F.col("n")).alias("collection_frequency"))
 
 
+def term_rows(rows: DataFrame, least: int = 2) -> DataFrame:
+    """(term, n) of documents (doc_id, text, and sign where they are changes): what each occurrence adds, for ``merged`` to sum in one shuffle."""
+    sign = F.col("sign") if "sign" in rows.columns else F.lit(1)
+    return rows.select(sign.cast("long").alias("n"), F.explode(T.words(F.col("text"), least)).alias("term")).select("term", "n")
+
+
+def pair_rows(rows: DataFrame, least: int = 2) -> DataFrame:
+    """(a, b, n) of useful pairs of neighbours, as ``term_rows``."""
+    signs = (1, -1) if "sign" in rows.columns else (None,)
+    parts = [C.pairs(rows if s is None else rows.where(F.col("sign") == s), least).withColumn("n", F.lit(s or 1).cast("long")) for s in signs]
+    return reduce(DataFrame.unionByName, parts).where(C.useful_pair(F.col("a"), F.col("b")))
+
+
 def pair_delta(signed: DataFrame, least: int = 2) -> DataFrame:
     """(a, b, n): neighbours that changed documents add."""
     parts = [C.pairs(signed.where(F.col("sign") == s), least).groupBy("a", "b").agg((F.count("*") * s).alias("n")) for s in (1, -1)]

@@ -8,6 +8,7 @@ from tidewire.operators import corpus as C
 from tidewire.operators import maintenance as N
 from tidewire.plans.corpus import COLLOCATIONS, EDGES, VOCABULARY
 from tidewire.plans.registry import query
+from tidewire.sources.store import settle
 
 #: Documents before the batch: those with an id that 7 divides aren't there yet, and every fifth other one is still its second half. The batch inserts, edits, and deletes every eleventh.
 AFTER = "(SELECT * FROM documents WHERE doc_id % 11 <> 0)"
@@ -33,10 +34,10 @@ def maintained_vocabulary(t):
 def maintained_collocations(t):
     before, batch = before_and_batch(t)
     signed = N.changes(before, batch, "doc_id")
-    terms = N.merged(C.term_counts(before), N.term_delta(signed), ["term"]).select("term", F.col("collection_frequency").alias("n")).where(C._after(F.col("n") > 0, C.T.is_informative_token(F.col("term"))))
-    pairs = N.merged(C.pairs(before).groupBy("a", "b").agg(F.count("*").alias("n")), N.pair_delta(signed), ["a", "b"])
-    useful = pairs.where(C._after(F.col("n") > 0, C.useful_pair(F.col("a"), F.col("b"))))
-    return N.top_collocations(C.collocations_of(terms, useful))
+    # occurrences of the tables before and of the changes are summed together: one shuffle in place of one for each and one for their sum
+    terms = N.merged(N.term_rows(before), N.term_rows(signed), ["term"]).where(C._after(F.col("n") > 0, C.T.is_informative_token(F.col("term"))))
+    pairs = N.merged(N.pair_rows(before), N.pair_rows(signed), ["a", "b"]).where("n > 0")
+    return N.top_collocations(C.collocations_of(settle(terms), pairs))
 
 
 @query(f"WITH {EDGES.replace('FROM lineitem', 'FROM lineitem WHERE l_orderkey % 11 <> 0')} SELECT * FROM e")
