@@ -5,11 +5,15 @@ Documents are (doc_id, text). Counts combine on the map side before they are shu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
-from tidewire.sources.store import settle
+from tidewire.sources.store import lean, settle
 
 
 def terms(docs: DataFrame, least: int = 1, keep=None) -> DataFrame:
@@ -127,41 +131,136 @@ def query_terms(queries: DataFrame, least: int = 3) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(T.words(F.col("text"), least))).alias("term"))
 
 
+def bm25_idf(df: Column, docs: Column) -> Column:
+    """What a term weighs that stands in ``df`` of ``docs`` documents."""
+    return F.ln(1 + (docs - df + 0.5) / (df + 0.5))
+
+
+def bm25_share(tf: Column, size: Column, mean: Column, k1: float = 1.2, b: float = 0.75) -> Column:
+    """What of it a document gets that has the term ``tf`` times."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / mean))
+
+
 def bm25_weights(posts: DataFrame, stats: DataFrame, k1: float = 1.2, b: float = 0.75, least: int = 3) -> DataFrame:
     """(term, doc_id, w) of postings; stats: one row (mean, docs) of the whole corpus."""
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
     rows = posts.join(df, "term").crossJoin(F.broadcast(stats))
-    idf = F.ln(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return rows.select("term", "doc_id", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col(f"size_{least}") / F.col("mean")))).alias("w"))
+    return rows.select("term", "doc_id", (bm25_idf(F.col("df"), F.col("docs")) * bm25_share(F.col("tf"), F.col(f"size_{least}"), F.col("mean"), k1, b)).alias("w"))
 
 
 def corpus_stats(docs: DataFrame, least: int = 3) -> DataFrame:
     return docs.select(F.size(T.words(F.col("text"), least)).alias("size")).agg(F.avg("size").alias("mean"), F.count("*").alias("docs"))
 
 
-def best_sums(weights: DataFrame, terms_: DataFrame, limit: int) -> DataFrame:
-    """(query_id, doc_id, score, rank): sums of the weights (term, doc_id, w) of each query's terms, the ``limit`` best; ties to nine digits by id."""
-    score = weights.join(terms_, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
+def by_document(posts: DataFrame) -> DataFrame:
+    """The postings, each document's in one task: sums by query and document need no further shuffle."""
+    return posts.repartition(int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+
+
+def best_documents(sums: DataFrame, limit: int) -> DataFrame:
+    """(query_id, doc_id, score, rank): the ``limit`` best of (query_id, doc_id, score); ties to nine digits by id. Each task gives its own best alone."""
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
-    return score.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit)
+    return sums.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit)
+
+
+#: Numbers (keys times queries) up to which queries are a matrix that each task has; above, rows are joined.
+MATRIX = 4_000_000
+#: Documents whose scores are compared at a time.
+ROWS = 512
+#: What a score that is as good after rounding to nine digits may lie below, with room for sums in another order.
+SLACK = 2e-9
+
+
+def best_products(posts: DataFrame, asked: DataFrame, key: str, limit: int) -> DataFrame:
+    """(query_id, doc_id, score, rank): the best sums of x * weight over the keys that a document (doc_id, key, x) shares with a query (query_id, key, weight > 0).
+
+    Documents are dealt out whole. Where queries make a small matrix (their numbers are counted), a task multiplies each document with it and gives only what can be
+    among a query's best of its documents; no pair of a query and a document is a row before that. More queries are joined.
+    """
+    size = asked.agg(F.countDistinct(key).alias("keys"), F.countDistinct("query_id").alias("queries")).first()
+    if size["keys"] * size["queries"] > MATRIX:
+        score = by_document(posts).join(asked, key).groupBy("query_id", "doc_id").agg(F.sum(F.col("x") * F.col("weight")).alias("score"))
+        return best_documents(score, limit)
+    held = asked.where(F.col(key).isNotNull()).select("query_id", key, "weight").toArrow().combine_chunks()
+    queries, keys = (held[c].combine_chunks().dictionary_encode() if held.num_rows else pa.array([], held.schema.field(c).type).dictionary_encode() for c in ("query_id", key))
+    numbers = posts.sparkSession.createDataFrame(pa.table({key: keys.dictionary, "_k": pa.array(range(len(keys.dictionary)), pa.int32())}))
+    rows = by_document(posts.join(F.broadcast(numbers), key).select("doc_id", "_k", "x")).sortWithinPartitions("doc_id", "_k")
+    kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, doc_id {posts.schema['doc_id'].dataType.simpleString()}, score double"
+    lean(posts.sparkSession)
+    return best_documents(rows.mapInArrow(_products(queries, keys, held["weight"].to_numpy(), limit), kinds), limit)
+
+
+def _products(queries: pa.DictionaryArray, keys: pa.DictionaryArray, weights, limit: int):
+    """A function of batches (doc_id, _k, x), a document's rows together, that gives (query_id, doc_id, score) that can be among a query's ``limit`` best."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow.compute as pc
+
+        matrix = np.zeros((len(keys.dictionary), len(queries.dictionary)))
+        matrix[keys.indices.to_numpy(), queries.indices.to_numpy()] = weights
+        best, rest = np.full((matrix.shape[1], limit), -np.inf), None
+        for b in chain(batches, [None]):
+            # a document may go on in the next batch
+            parts = [*([rest] if rest is not None else []), *([pa.table(b)] if b is not None else [])]
+            if not sum(p.num_rows for p in parts):
+                continue
+            table = pa.concat_tables(parts).combine_chunks()
+            runs = pc.run_end_encode(table["doc_id"].chunk(0))
+            ends = runs.run_ends.to_numpy()
+            docs = ends[:-1] if b is not None else ends
+            rest = table.slice(int(docs[-1]) if len(docs) else 0)
+            k, x = table["_k"].to_numpy(), table["x"].to_numpy()
+            for low in range(0, len(docs), ROWS):
+                some = docs[low : low + ROWS]
+                score = np.empty((len(some), matrix.shape[1]))
+                at = int(docs[low - 1]) if low else 0
+                for i, end in enumerate(some.tolist()):
+                    own = matrix[k[at:end]]
+                    score[i] = x[at:end] @ own
+                    # a query that shares no key has no row; a shared key may add nothing (x is rounded)
+                    score[i, score[i] == 0 if x[at:end].all() else ~own.any(0)] = -np.inf
+                    at = end
+                both = np.concatenate([best, score.T], 1)
+                best = np.sort(np.partition(both, both.shape[1] - limit, 1)[:, -limit:], 1)
+                q, j = np.nonzero((score.T >= best[:, :1] - SLACK) & (score.T > -np.inf))
+                yield pa.RecordBatch.from_arrays([queries.dictionary.take(pa.array(q)), runs.values.take(pa.array(j + low)), pa.array(score[j, q])], ["query_id", "doc_id", "score"])
+
+    return found
+
+
+def best_bm25(posts: DataFrame, terms_: DataFrame, stats: DataFrame, limit: int, k1: float = 1.2, b: float = 0.75, least: int = 3) -> DataFrame:
+    """(query_id, doc_id, score, rank): the best sums of the weights of each query's terms (query_id, term). A weight is what is known of the term times what is known of the posting."""
+    df, stats = posts.groupBy("term").agg(F.count("*").alias("df")), settle(stats)
+    asked = settle(terms_.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", bm25_idf(F.col("df"), F.col("docs")).alias("weight")))
+    x = bm25_share(F.col("tf"), F.col(f"size_{least}"), F.col("mean"), k1, b)
+    return best_products(posts.crossJoin(F.broadcast(stats)).select("doc_id", "term", x.alias("x")), asked, "term", limit)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, limit: int, k1: float = 1.2, b: float = 0.75, least: int = 3, posts: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank) for queries (query_id, text). Postings are cut to the queries' terms before they are counted. posts: postings that are there already, of all these terms."""
-    q = query_terms(queries, least)
+    q = settle(query_terms(queries, least))
     tf = settle(postings(docs, (least,), q)) if posts is None else posts.where(F.char_length("term") >= least)
-    return best_sums(bm25_weights(tf, corpus_stats(docs, least), k1, b, least), q, limit)
+    return best_bm25(tf, q, corpus_stats(docs, least), limit, k1, b, least)
+
+
+def best_sparse(posts: DataFrame, index: DataFrame, limit: int, least: int = 2, digits: int = 8) -> DataFrame:
+    """``sparse_dot`` of the postings' sparse vectors and queries (query_id, idx, val), which are few beside them: vectors are made and compared where their document lies."""
+    # a term of these postings is hashed once
+    idx = settle(posts.select("term").distinct().select("term", T.hash_number(F.col("term"), digits).alias("idx")))
+    own = by_document(posts.join(idx, "term")).groupBy("doc_id", "idx").agg(F.round(F.sum(F.col("tf") / F.col(f"size_{least}")), 6).alias("x"))
+    return best_products(own, settle(index.select("query_id", "idx", F.col("val").alias("weight"))), "idx", limit)
 
 
 def lexical_and_sparse(docs: DataFrame, queries: DataFrame, depth: int, more: DataFrame | None = None) -> DataFrame:
     """(query_id, list, id, rank): the full-text and the sparse list of each query (query_id, text), both from one table of postings. more: further terms (query_id, term) of the sparse list."""
     q = query_terms(queries)
     words = q if more is None else q.union(more.select("query_id", "term")).distinct()
-    words = settle(words)
+    q, words = settle(q), settle(words)
     posts = settle(postings(docs, (2, 3), words))
-    lexical = best_sums(bm25_weights(posts.join(q.select("term").distinct(), "term", "left_semi"), corpus_stats(docs)), q, depth)
+    lexical = best_bm25(posts.where(F.char_length("term") >= 3), q, corpus_stats(docs), depth)
     index = words.groupBy("query_id", T.hash_number(F.col("term")).alias("idx")).agg(F.count("*").cast("double").alias("val"))
-    sparse = sparse_dot(sparse_of(posts), index, depth)
+    sparse = best_sparse(posts, index, depth)
     return lexical.select("query_id", F.lit("lexical").alias("list"), F.col("doc_id").alias("id"), "rank").union(sparse.select("query_id", F.lit("sparse").alias("list"), F.col("doc_id").alias("id"), "rank"))
 
 
