@@ -73,9 +73,9 @@ QUERY_TERMS = "q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(reg
 r AS (SELECT query_id, doc_id, sum(val * w) AS score FROM s JOIN h ON s.idx = h.idx GROUP BY ALL),
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM r) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM o WHERE rank <= 20""")
 def tfidf_sparse_search(t):
-    q = C.query_terms(t.benchmark.select(F.col("item_id").alias("query_id"), "text"))
+    q = settle(C.query_terms(t.benchmark.select(F.col("item_id").alias("query_id"), "text")))
     index = q.groupBy("query_id", T.hash_number(F.col("term")).alias("idx")).agg(F.count("*").cast("double").alias("val"))
-    return C.sparse_dot(C.sparse_of(C.postings(t.documents, wanted=q)), index, 20).withColumn("score", F.round("score", 6))
+    return C.best_sparse(settle(C.postings(t.documents, wanted=q)), index, 20).withColumn("score", F.round("score", 6))
 
 
 BM25 = f"""{QUERY_TERMS}, t AS (SELECT doc_id, unnest(list_filter({WORDS}, lambda w: length(w) >= 3)) AS term FROM documents),
