@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import scores as S
+from tidewire.sources.store import settle
 
 
 def ranked(rows: DataFrame, keys: list[str], order: list[Column], limit: int | None = None, name: str = "rank") -> DataFrame:
@@ -173,7 +174,8 @@ def filtered(chunks: DataFrame, language=None, start=None, end=None, sources=Non
 
 
 def ir_metrics(judged: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, precision_at_k, reciprocal_rank, ndcg, diversity) from (query_id, rank, relevance, source)."""
+    """(query_id, precision_at_k, reciprocal_rank, ndcg, diversity) from (query_id, rank, relevance, source), which are written once, for they are read twice."""
+    judged = settle(judged)
     top = judged.where(F.col("rank") <= k)
     gain = (F.pow(F.lit(2.0), "relevance") - 1) / F.log2(F.col("rank") + 1)
     ideal = ranked(judged, ["query_id"], [F.desc("relevance"), F.col("rank")], k, "ideal_rank").groupBy("query_id").agg(F.sum((F.pow(F.lit(2.0), "relevance") - 1) / F.log2(F.col("ideal_rank") + 1)).alias("ideal"))
