@@ -127,8 +127,8 @@ def corrected_queries(t):
 
 
 def spoilt_queries(t):
-    """Every third longer word of a query lacks a letter."""
-    spoilt = "array_join(transform(filter(split(trim(text), '\\\\s+'), w -> w <> ''), (w, i) -> IF(i % 3 = 0 AND char_length(w) > 6, concat(substring(w, 1, 2), substring(w, 4)), w)), ' ')"
+    """Every third longer word of a query lacks a letter. Places count what stands before a leading line break, as in the SQL."""
+    spoilt = "array_join(filter(transform(split(trim(text), '\\\\s+'), (w, i) -> IF(i % 3 = 0 AND char_length(w) > 6, concat(substring(w, 1, 2), substring(w, 4)), w)), w -> w <> ''), ' ')"
     return t.benchmark.selectExpr("item_id AS query_id", f"{spoilt} AS text")
 
 
