@@ -6,9 +6,14 @@ Documents are (doc_id, text). Counts combine on the map side before they are shu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+from hashlib import sha256
 from itertools import chain
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,21 +82,68 @@ def collocations(docs: DataFrame, least: int = 2, frequency: int = 5, pmi: float
     return collocations_of(single, paired, frequency, pmi)
 
 
+def _dealt(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in lower case, dealt out by document and each document's rows together. Texts are much work for few bytes: the number of tasks is stated, else they would be merged into few."""
+    lean(docs.sparkSession)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.select("doc_id", F.lower("text").alias("text")).repartition(tasks, "doc_id").sortWithinPartitions("doc_id")
+
+
+class Counts(NamedTuple):
+    """Terms of a batch's documents: numbers of documents (``docs``) and of terms (``terms``), how often the term stands there, and how many tokens of so many letters each document has."""
+
+    docs: pa.Array
+    terms: pa.Array
+    doc: np.ndarray
+    term: np.ndarray
+    tf: np.ndarray
+    sizes: list[np.ndarray]
+
+
+def _counted(batches: Iterator[pa.RecordBatch], least: tuple[int, ...]) -> Iterator[Counts]:
+    """The counts of batches (doc_id, text in lower case), a document's rows together: all tokens of a batch are found and counted at once, by arrays."""
+    rest = None
+    for b in chain(batches, [None]):
+        # a document may go on in the next batch
+        parts = [*([rest] if rest is not None else []), *([pa.table(b)] if b is not None else [])]
+        if not sum(p.num_rows for p in parts):
+            continue
+        table = pa.concat_tables(parts).combine_chunks()
+        runs = pc.run_end_encode(table["doc_id"].chunk(0))
+        ends = runs.run_ends.to_numpy()
+        ends = ends[:-1] if b is not None else ends
+        done = int(ends[-1]) if len(ends) else 0
+        rest = table.slice(done)
+        if not done:
+            continue
+        words = pc.split_pattern_regex(table["text"].chunk(0).slice(0, done), r"[^\p{L}\p{N}]+")
+        held = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))  # each row's document
+        doc = np.repeat(held, pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
+        words = words.flatten()
+        letters = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+        sizes = [np.bincount(doc[letters >= n], minlength=len(ends)) for n in least]
+        keep = letters >= min(least)
+        coded = words.filter(pa.array(keep)).dictionary_encode()
+        key, tf = np.unique(doc[keep] * max(1, len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        doc, term = np.divmod(key, max(1, len(coded.dictionary)))
+        yield Counts(runs.values.slice(0, len(ends)), coded.dictionary, doc, term, tf, sizes)
+
+
 def postings(docs: DataFrame, least: tuple[int, ...] = (2,), wanted: DataFrame | None = None) -> DataFrame:
-    """(doc_id, term, tf, size_2, ...): a document's terms with their counts, and for each of ``least`` how many of its tokens have so many letters.
+    """(doc_id, term, size_2, ..., tf): a document's terms with their counts, and for each of ``least`` how many of its tokens have so many letters.
 
-    One pass over the texts serves all weights. wanted: the terms (term) that are asked for; others go before they are counted.
-    Texts are dealt out by document, so its terms are counted where it lies, and sums by document after that are too: texts are shuffled once, postings never.
+    One pass over the texts serves all weights. wanted: the terms (term) that are asked for.
+    Texts are dealt out by document, so its terms are counted where it lies: texts are shuffled once, postings never.
     """
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, else few bytes of text, which are much work, would be merged into few tasks
-    made = docs.select("doc_id", "text").repartition(tasks, "doc_id").select("doc_id", T.words(F.col("text"), min(least)).alias("w"))
-    long = lambda n: lambda x: F.char_length(x) >= n
-    sizes = [F.size("w" if n == min(least) else F.filter("w", long(n))).alias(f"size_{n}") for n in least]
-    # sizes are columns before the explode: what stands beside it is computed once a row it makes
-    made = made.select("doc_id", "w", *sizes).select("doc_id", *(f"size_{n}" for n in least), F.explode("w").alias("term"))
-    if wanted is not None:
-        made = made.join(wanted.select("term").distinct(), "term", "left_semi")
-    return made.groupBy("doc_id", "term", *(f"size_{n}" for n in least)).agg(F.count("*").alias("tf"))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in _counted(batches, least):
+            yield pa.RecordBatch.from_arrays([c.docs.take(pa.array(c.doc)), c.terms.take(pa.array(c.term)), *(pa.array(n[c.doc], pa.int32()) for n in c.sizes), pa.array(c.tf, pa.int64())], names)
+
+    names = ["doc_id", "term", *(f"size_{n}" for n in least), "tf"]
+    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, term string, {', '.join(f'size_{n} int' for n in least)}, tf long"
+    made = _dealt(docs).mapInArrow(found, kinds)
+    return made if wanted is None else made.join(wanted.select("term").distinct(), "term", "left_semi")
 
 
 def tfidf(docs: DataFrame, least: int = 2) -> DataFrame:
@@ -109,13 +161,27 @@ def keywords(docs: DataFrame, count: int = 8, least: int = 4) -> DataFrame:
 
 
 def sparse_vectors(docs: DataFrame, least: int = 2, digits: int = 8) -> DataFrame:
-    """(doc_id, idx, val): token shares summed by hashed index."""
-    return sparse_of(postings(docs, (least,)), least, digits)
+    """(doc_id, idx, val): token shares summed by hashed index. A term is hashed once a batch, where its documents lie."""
 
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in _counted(batches, (least,)):
+            hashed = np.array([int(sha256(w.encode()).hexdigest()[:digits], 16) for w in c.terms.to_pylist()], np.int64)
+            idx, code = np.unique(hashed, return_inverse=True)
+            key, place = np.unique(c.doc * max(1, len(idx)) + code[c.term], return_inverse=True)
+            doc, code = np.divmod(key, max(1, len(idx)))
+            val = rounded(np.bincount(place, c.tf / c.sizes[0][c.doc], len(key)), 6)
+            yield pa.RecordBatch.from_arrays([c.docs.take(pa.array(doc)), pa.array(idx[code]), pa.array(val)], ["doc_id", "idx", "val"])
+
+    return _dealt(docs).mapInArrow(found, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, idx long, val double")
 
-def sparse_of(posts: DataFrame, least: int = 2, digits: int = 8) -> DataFrame:
-    """Sparse vectors from postings. A term is hashed where it lies: that costs less than to shuffle all postings by term and back."""
-    return posts.groupBy("doc_id", T.hash_number(F.col("term"), digits).alias("idx")).agg(F.round(F.sum(F.col("tf") / F.col(f"size_{least}")), 6).alias("val"))
+
+def rounded(values: np.ndarray, digits: int) -> np.ndarray:
+    """Shares rounded as ``round`` of Spark does: halves of the shortest decimal go up. Only what lies near a half is looked at by itself."""
+    scaled = values * 10.0**digits
+    out = np.floor(scaled + 0.5) / 10.0**digits
+    for i in np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6):
+        out[i] = float(Decimal(repr(float(values[i]))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+    return out
 
 
 def sparse_dot(index: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
@@ -194,9 +260,6 @@ def _products(queries: pa.DictionaryArray, keys: pa.DictionaryArray, weights, li
     """A function of batches (doc_id, _k, x), a document's rows together, that gives (query_id, doc_id, score) that can be among a query's ``limit`` best."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-        import pyarrow.compute as pc
-
         matrix = np.zeros((len(keys.dictionary), len(queries.dictionary)))
         matrix[keys.indices.to_numpy(), queries.indices.to_numpy()] = weights
         best, rest = np.full((matrix.shape[1], limit), -np.inf), None
