@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
 from tidewire.operators import corpus as C
+from tidewire.sources.store import Scratch
 
 TEXTS = ["Oil oil, ÖL-öl!  x1 a bb ccc", "", None, "... !!", "ΣΑΣ İstanbul ǅ ﬁ ß ё Ё е\u0301 ४२ Ⅷ ½ 日本語 \U0001d400\U0001f600 a_b", "one two three four five six seven", "рынок Рынок нефти и нефть"]
 
@@ -56,3 +57,22 @@ def test_rounded_is_round(spark):
     values = [1 / 128, 1 / 64, 3 / 128, 0.0000005, 0.0000015, 1 / 3, 2 / 3, 1.0, 5 / 8192, 0.1234565, 1e-9] + [i / (2 * 10**6) for i in range(1, 4000, 7)]
     want = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(F.round("v", 6)).collect()]
     assert C.rounded(np.array(values), 6).tolist() == want
+
+
+def test_keywords_look_up_only_what_can_be_best(spark, monkeypatch):
+    """Whatever number of terms is known to all tasks, the result is that of weighing all postings; ties and documents of few terms too."""
+    docs = _docs(spark, 60).union(spark.createDataFrame([(900 + i, "same words in copies of texts, word1 word2") for i in range(5)], "doc_id long, text string"))
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("doc_id").orderBy(F.desc(F.round("weight", 9)), "term")
+    want = C.tfidf(docs, 4).withColumn("rank", F.row_number().over(order)).where("rank <= 3")
+    key = lambda df: sorted((r["doc_id"], r["rank"], r["term"], round(r["weight"], 9)) for r in df.collect())
+    want = key(want)
+    for known in (0, 5, 10**6):
+        monkeypatch.setattr(C, "KNOWN", known)
+        assert key(C.keywords(docs, 3)) == want
+    lists = Scratch(spark).put(C.term_lists(docs, 4))
+    all_ = lists.select(F.explode("terms").alias("term"))
+    df = all_.groupBy("term").agg(F.count("*").alias("df")).toArrow().combine_chunks()
+    some = lists.mapInArrow(C._promising(df["term"].combine_chunks(), df["df"].to_numpy(), 1, docs.count(), 3), "doc_id long, size int, term string, tf long")
+    assert some.count() < all_.count() / 2

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
 from hashlib import sha256
-from itertools import chain
+from itertools import accumulate, chain
 from typing import NamedTuple
 
 import numpy as np
@@ -154,10 +154,61 @@ def tfidf(docs: DataFrame, least: int = 2) -> DataFrame:
     return tf.join(df, "term").crossJoin(F.broadcast(n)).select("doc_id", "term", (F.col("tf") / F.col(f"size_{least}") * F.ln(F.col("docs") / F.col("df"))).alias("weight"))
 
 
+#: Commonest terms whose numbers of documents every task has; the documents of others are looked up by a join.
+KNOWN = 250_000
+
+
+def term_lists(docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, size, terms, tfs): one row a document, its terms with their counts and how many tokens it has."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in _counted(batches, (least,)):
+            ends = pa.array(np.searchsorted(c.doc, np.arange(len(c.docs) + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([c.docs, pa.array(c.sizes[0], pa.int32()), pa.ListArray.from_arrays(ends, c.terms.take(pa.array(c.term))), pa.ListArray.from_arrays(ends, pa.array(c.tf, pa.int64()))], ["doc_id", "size", "terms", "tfs"])
+
+    return _dealt(docs).mapInArrow(found, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, size int, terms array<string>, tfs array<long>")
+
+
 def keywords(docs: DataFrame, count: int = 8, least: int = 4) -> DataFrame:
-    """The ``count`` terms of most tf-idf weight by document, ties by term."""
+    """The ``count`` terms of most tf-idf weight by document, ties by term.
+
+    Every task knows the KNOWN commonest terms, and of all others between which bounds their weights lie: only terms that can be among a document's best meet
+    their number of documents by a join.
+    """
+    spark = docs.sparkSession
+    lists = settle(term_lists(docs, least))
+    df = settle(lists.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")))
+    often = sorted(df.groupBy("df").agg(F.count("*").alias("terms")).collect(), reverse=True)  # a row for each number of documents
+    cut = next((r["df"] + 1 for r, upto in zip(often, accumulate(r["terms"] for r in often), strict=True) if upto > KNOWN), 1)
+    known, n = df.where(F.col("df") >= cut).toArrow().combine_chunks(), docs.count()
+    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, size int, term string, tf long"
+    some = lists.mapInArrow(_promising(known["term"].combine_chunks(), known["df"].to_numpy(), cut, n, count), kinds)
+    rows = some.join(df, "term").select("doc_id", "term", (F.col("tf") / F.col("size") * F.ln(F.lit(n) / F.col("df"))).alias("weight"))
     order = Window.partitionBy("doc_id").orderBy(F.desc(F.round("weight", 9)), "term")
-    return tfidf(docs, least).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= count)
+    return rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= count)
+
+
+def _promising(terms: pa.Array, df: np.ndarray, cut: int, n: int, count: int):
+    """A function of batches (doc_id, size, terms, tfs) that gives (doc_id, size, term, tf) of the terms that can be among a document's ``count`` best: known ones (terms, df), and others, which fewer than ``cut`` of the n documents have."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b["terms"]
+            number = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            words, tf = lists.flatten(), b["tfs"].flatten()
+            doc, first = np.repeat(np.arange(len(lists)), number), np.cumsum(number) - number
+            at = pc.fill_null(pc.index_in(words, terms), -1).to_numpy(zero_copy_only=False)
+            share = tf.to_numpy(zero_copy_only=False) / b["size"].to_numpy(zero_copy_only=False)[doc]
+            idf = np.log(n / np.append(df, max(1, cut - 1)))
+            low = share * idf[at]
+            high = np.where(at >= 0, low, share * np.log(n))
+            order = np.lexsort((-low, doc))
+            bound = np.full(len(lists), -np.inf)
+            bound[number >= count] = low[order[(first + count - 1)[number >= count]]]
+            keep = np.flatnonzero(high >= bound[doc] - SLACK)
+            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(doc[keep])), b["size"].take(pa.array(doc[keep])), words.take(pa.array(keep)), tf.take(pa.array(keep))], ["doc_id", "size", "term", "tf"])
+
+    return found
 
 
 def sparse_vectors(docs: DataFrame, least: int = 2, digits: int = 8) -> DataFrame:
