@@ -47,3 +47,16 @@ def test_edges(spark):
     got = K.of_documents(spark.createDataFrame(rows, "doc_id int, text string"), 3).groupBy("doc_id").agg(F.count("*").alias("n")).collect()
     assert {r["doc_id"]: r["n"] for r in got} == {6: 3, 7: 6}
     assert K.of_documents(spark.createDataFrame([], "doc_id int, text string")).count() == 0
+
+
+def test_texts_of_a_batch_are_worked_out_at_once(monkeypatch):
+    """Texts together give what each gives alone: no word, sentence or phrase goes over from one to the next."""
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    made = [". ".join(" ".join(rng.choice(["oil", "Oil", "Market", "market", "price", "RATE", "12", "и", "the", "Нефть"]) + "x" * rng.randrange(2) for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 12))) for _ in range(40)]
+    texts = ["", "... !!", made[0], "no end", "Oil", *made, made[0], "12 34", ""]
+    alone = [K.keyphrases(t, 6) for t in texts]
+    calls, weights = [], K._weights
+    monkeypatch.setattr(K, "_weights", lambda *a: calls.append(1) or weights(*a))
+    assert K.of_texts(pa.array(texts), 6) == alone and len(calls) == 1 and sum(map(len, alone)) > 100
