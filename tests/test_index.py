@@ -55,3 +55,37 @@ def test_search_with_candidates_explains_itself(spark):
     assert {(r["corrected"], r["was_corrected"], tuple(r["expansions"])) for r in found.collect()} == {("exchange market", True, ("market price",))}
     got = P.search(articles, queries.withColumnRenamed("text", "query"), found=found, clusters=spark.createDataFrame([(0, 1), (4, 1)], "id long, cluster long")).orderBy("rank").collect()
     assert got[0]["news_id"] == 3 and len(got) == 4 and got[0]["explanation"].startswith("retrieval=hybrid | expansion=market price")
+
+
+def test_index_is_shuffled_as_lists_and_searched_where_documents_lie(spark, monkeypatch):
+    """A row of postings is a term of a batch; blocks of a term go on; no pair of a query and a document is a row before it can be a result."""
+    monkeypatch.setattr(X, "BLOCK", 5)
+    rng = random.Random(9)
+    words = [f"word{i}" for i in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=rng.randrange(1, 20)))) for i in range(90)] + [(90, ""), (91, None), (92, "a b c")], "doc_id long, text string").repartition(3)
+    queries = spark.createDataFrame([(1, "word1 word2 word3"), (2, "word4"), (3, "nothing"), (4, "word5 word6 word7 word8")], "query_id long, text string")
+    lists = C.term_postings(docs, 3)
+    assert lists.count() < C.postings(docs, (3,)).count() / 2
+    index = X.built(docs, Scratch(spark), head=4)
+    stats = C.corpus_stats(docs)
+    weights = C.bm25_weights(C.postings(docs, (3,)), stats)
+    key = lambda df, c: sorted((r["term"], r["doc_id"], round(r[c], 9)) for r in df.collect())
+    opened = X.opened(index.postings).join(index.tops, "term")
+    assert key(opened.withColumn("w", F.col("idf") * F.col("share")), "w") == key(weights, "w")
+    tops = {r["term"]: (r["n"], round(r["most"], 9)) for r in index.tops.collect()}
+    assert tops == {r["term"]: (r["n"], round(r["most"], 9)) for r in weights.groupBy("term").agg(F.count("*").alias("n"), F.max("w").alias("most")).collect()}
+    for r in index.postings.collect():
+        assert len(r["docs"]) == min(5, r["n"] - 5 * r["block"]) and r["shares"] == sorted(r["shares"], reverse=True)
+    found = X.search(index, queries, 6)
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+    best = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 7)) for r in df.collect())
+    assert best(found) == best(C.bm25(docs, queries, 6))
+    monkeypatch.setattr(C, "MATRIX", 1)
+    assert best(X.search(index, queries, 6)) == best(found)
+
+
+def test_index_of_nothing(spark):
+    queries = spark.createDataFrame([(1, "word")], "query_id long, text string")
+    for rows in ([], [(1, None)], [(1, ""), (2, "a b")]):
+        index = X.built(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark))
+        assert X.search(index, queries, 3).count() == 0 and index.tops.count() == 0

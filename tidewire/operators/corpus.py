@@ -146,6 +146,20 @@ def postings(docs: DataFrame, least: tuple[int, ...] = (2,), wanted: DataFrame |
     return made if wanted is None else made.join(wanted.select("term").distinct(), "term", "left_semi")
 
 
+def term_postings(docs: DataFrame, least: int) -> DataFrame:
+    """(term, total, docs, tfs, sizes): the documents of a batch that have a term, how often each has it and how many tokens it has; total is the sum of tfs. A row a batch and term."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in _counted(batches, (least,)):
+            order = np.argsort(c.term, kind="stable")
+            ends = pa.array(np.searchsorted(c.term[order], np.arange(len(c.terms) + 1)), pa.int32())
+            lists = (c.docs.take(pa.array(c.doc[order])), pa.array(c.tf[order], pa.int64()), pa.array(c.sizes[0][c.doc[order]], pa.int32()))
+            total = pa.array(np.bincount(c.term, c.tf, len(c.terms)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([c.terms, total, *(pa.ListArray.from_arrays(ends, x) for x in lists)], ["term", "total", "docs", "tfs", "sizes"])
+
+    return _dealt(docs).mapInArrow(found, f"term string, total long, docs array<{docs.schema['doc_id'].dataType.simpleString()}>, tfs array<long>, sizes array<int>")
+
+
 def tfidf(docs: DataFrame, least: int = 2) -> DataFrame:
     """(doc_id, term, weight): share of the document's tokens times ln(documents / document frequency)."""
     tf = settle(postings(docs, (least,)))
@@ -289,26 +303,32 @@ SLACK = 2e-9
 
 
 def best_products(posts: DataFrame, asked: DataFrame, key: str, limit: int) -> DataFrame:
-    """(query_id, doc_id, score, rank): the best sums of x * weight over the keys that a document (doc_id, key, x) shares with a query (query_id, key, weight > 0).
+    """(query_id, doc_id, score, rank): the best sums of x * weight over the keys that a document (doc_id, key, x) shares with a query (query_id, key, weight > 0)."""
+    return best_documents(products(posts, asked, key, limit), limit)
+
+
+def products(posts: DataFrame, asked: DataFrame, key: str, limit: int, bounds: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score): sums as for ``best_products``, all that can be among a query's ``limit`` best to nine digits, with all ties. bounds (query_id, bound): what the ``limit`` best reach, where known.
 
     Documents are dealt out whole. Where queries make a small matrix (their numbers are counted), a task multiplies each document with it and gives only what can be
     among a query's best of its documents; no pair of a query and a document is a row before that. More queries are joined.
     """
     size = asked.agg(F.countDistinct(key).alias("keys"), F.countDistinct("query_id").alias("queries")).first()
     if size["keys"] * size["queries"] > MATRIX:
-        score = by_document(posts).join(asked, key).groupBy("query_id", "doc_id").agg(F.sum(F.col("x") * F.col("weight")).alias("score"))
-        return best_documents(score, limit)
+        return by_document(posts).join(asked, key).groupBy("query_id", "doc_id").agg(F.sum(F.col("x") * F.col("weight")).alias("score"))
     held = asked.where(F.col(key).isNotNull()).select("query_id", key, "weight").toArrow().combine_chunks()
     queries, keys = (held[c].combine_chunks().dictionary_encode() if held.num_rows else pa.array([], held.schema.field(c).type).dictionary_encode() for c in ("query_id", key))
     numbers = posts.sparkSession.createDataFrame(pa.table({key: keys.dictionary, "_k": pa.array(range(len(keys.dictionary)), pa.int32())}))
     rows = by_document(posts.join(F.broadcast(numbers), key).select("doc_id", "_k", "x")).sortWithinPartitions("doc_id", "_k")
     kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, doc_id {posts.schema['doc_id'].dataType.simpleString()}, score double"
     lean(posts.sparkSession)
-    return best_documents(rows.mapInArrow(_products(queries, keys, held["weight"].to_numpy(), limit), kinds), limit)
+    known = {} if bounds is None else {r["query_id"]: r["bound"] for r in bounds.collect()}  # a row a query
+    floor = np.array([known.get(q, -np.inf) for q in queries.dictionary.to_pylist()])
+    return rows.mapInArrow(_products(queries, keys, held["weight"].to_numpy(), limit, floor), kinds)
 
 
-def _products(queries: pa.DictionaryArray, keys: pa.DictionaryArray, weights, limit: int):
-    """A function of batches (doc_id, _k, x), a document's rows together, that gives (query_id, doc_id, score) that can be among a query's ``limit`` best."""
+def _products(queries: pa.DictionaryArray, keys: pa.DictionaryArray, weights, limit: int, floor: np.ndarray):
+    """A function of batches (doc_id, _k, x), a document's rows together, that gives (query_id, doc_id, score) that can be among a query's ``limit`` best, which reach its ``floor``."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = np.zeros((len(keys.dictionary), len(queries.dictionary)))
@@ -337,7 +357,7 @@ def _products(queries: pa.DictionaryArray, keys: pa.DictionaryArray, weights, li
                     at = end
                 both = np.concatenate([best, score.T], 1)
                 best = np.sort(np.partition(both, both.shape[1] - limit, 1)[:, -limit:], 1)
-                q, j = np.nonzero((score.T >= best[:, :1] - SLACK) & (score.T > -np.inf))
+                q, j = np.nonzero((score.T >= np.maximum(best[:, 0], floor)[:, None] - SLACK) & (score.T > -np.inf))
                 yield pa.RecordBatch.from_arrays([queries.dictionary.take(pa.array(q)), runs.values.take(pa.array(j + low)), pa.array(score[j, q])], ["query_id", "doc_id", "score"])
 
     return found
