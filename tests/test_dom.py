@@ -122,3 +122,16 @@ def test_titles_and_candidates(spark):
     text, status, reason = X.turbo_or_page(F.col("t"), F.col("n"), F.col("p"), F.lit(500))
     got = [tuple(r) for r in df.select(F.length(text), status, reason).collect()]
     assert got == [(548, "ok", "ok"), (600, "ok", "turbo_too_short"), (5, "partial", "turbo_too_short"), (552, "partial", "punctuation_only_paragraph"), (548, "partial", "not_enough_turbo_paragraph_blocks")]
+
+
+def test_few_pages_of_a_batch_are_objects_at_a_time(spark, monkeypatch):
+    """Whatever the batch, with the results of taking it whole; an empty one too."""
+    import pyarrow as pa
+
+    pages = [f"<article><h1>T{i}</h1><p>{'Text of some length. ' * 9}{i}</p></article>" for i in range(11)] + [None, ""]
+    html, site = pa.array(pages), pa.array([None] * len(pages), pa.string())
+    whole, seen = dom.Extractor()(html, site), []
+    monkeypatch.setattr(dom, "PART", 4)
+    work = lambda h, s: seen.append(len(h)) or dom.Extractor()(h, s)
+    assert dom._parted(work, html, site).equals(whole) and seen == [4, 4, 4, 1]
+    assert len(dom._parted(work, html.slice(0, 0), site.slice(0, 0))) == 0
