@@ -76,3 +76,11 @@ def test_keywords_look_up_only_what_can_be_best(spark, monkeypatch):
     df = all_.groupBy("term").agg(F.count("*").alias("df")).toArrow().combine_chunks()
     some = lists.mapInArrow(C._promising(df["term"].combine_chunks(), df["df"].to_numpy(), 1, docs.count(), 3), "doc_id long, size int, term string, tf long")
     assert some.count() < all_.count() / 2
+
+
+def test_process_articles_shuffles_no_postings(spark):
+    """What its keywords shuffle is what can be best, not every term of every document."""
+    from tidewire.plans import QUERIES
+
+    plan = QUERIES["process_articles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "found(doc_id" in plan and "tf#" in plan and "size_4" not in plan
