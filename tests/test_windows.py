@@ -11,6 +11,7 @@ import pytest
 
 from tests.test_clustering import SCHEMA, items
 from tidewire.operators import clustering
+from tidewire.operators import events as E
 from tidewire.plans import QUERIES, SQL
 from tidewire.sources.store import Scratch
 
@@ -31,8 +32,25 @@ def test_every_candidate_of_a_window_is_compared(spark, block):
     assert {(r["id"], r["other"]): round(r["score"], 6) for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("block", [16, clustering.WIDE])
+def test_links_reach_what_pairs_reach(spark, block):
+    rows = items(400, 8)
+    for at_least in (0.7, 0.97):
+        links = clustering.window_links(spark.createDataFrame(rows, SCHEMA).repartition(3), at_least, Scratch(spark), block=block)
+        got = E.cluster_labels(links.selectExpr("id AS u", "other AS v"), spark.createDataFrame([(r[0],) for r in rows], "id long"), Scratch(spark))
+        label = {r[0]: r[0] for r in rows}
+        for u, v in pairs(rows, at_least):
+            a, b = sorted((label[u], label[v]))
+            label = {k: a if x == b else x for k, x in label.items()}
+        assert {r["id"]: r["cluster"] for r in got.collect()} == label
+
+
+def test_no_links(spark):
+    assert clustering.window_links(spark.createDataFrame([], SCHEMA), 0.5, Scratch(spark)).count() == 0
+
+
 def test_equal_vectors_are_few_rows_at_once(monkeypatch):
-    """All pairs leave a task in small batches."""
+    """All pairs leave a task in small batches; links are one an item."""
     n = 600
     monkeypatch.setattr(clustering, "PAIRS", 1000)
     vector = pa.array([[1.0, 2.0]] * n, pa.list_(pa.float32()))
@@ -42,6 +60,8 @@ def test_equal_vectors_are_few_rows_at_once(monkeypatch):
     made = list(clustering._pairs(0.5, True)(iter([asked, held])))
     assert max(len(b) for b in made) <= 1000
     assert {(u, v) for b in made for u, v in zip(b["id"].to_pylist(), b["other"].to_pylist(), strict=True)} == {(u, v) for u in range(n) for v in range(n) if u != v} and sum(map(len, made)) == n * (n - 1)
+    (links,) = clustering._reached(0.5)(iter([held, asked]))
+    assert links.to_pydict() == {"id": list(range(1, n)), "other": [0] * (n - 1)}
 
 
 def test_queries_compare_older_items_than_the_newest_hundred(spark, tmp_path):
