@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
+from tidewire.functions.dom import CONTROLS
 
 
 def paragraphs(html: Column) -> Column:
@@ -42,9 +43,11 @@ def levels(found: Column) -> tuple[Column, Column, Column]:
     return text, pick([F.lit("ok"), F.lit("ok"), F.lit("partial")], F.lit("extraction_failed")), pick([F.lit("site"), F.lit("precision"), F.lit("recall")], F.lit("failed_all_levels"))
 
 
-def short_safe(found: Column) -> tuple[Column, Column]:
-    """Text and status of an article from trusted blocks alone, short ones too."""
-    return found["site"], F.when(found["site"].isNull(), "extraction_failed").when(F.char_length(found["site"]) >= 200, "ok").otherwise("partial")
+def short_safe(found: Column, least: int = 40, markers: tuple[str, ...] = CONTROLS) -> tuple[Column, Column]:
+    """Text and status of an article from trusted blocks alone, short ones too: one block or more, ``least`` letters, no phrase of a page's controls; below 200 letters it is partial."""
+    text = found["site"]
+    good = F.coalesce((found["blocks"] >= 1) & (F.char_length(text) >= least) & (noise(text, tuple(m.lower() for m in markers)) == 0), F.lit(False))
+    return F.when(good, text), F.when(~good, "extraction_failed").when(F.char_length(text) >= 200, "ok").otherwise("partial")
 
 
 def turbo_or_page(turbo: Column, paragraph_blocks: Column, page: Column, least: Column) -> tuple[Column, Column, Column]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tidewire.functions import dom
@@ -26,10 +28,14 @@ def extraction_cascade(t):
     return rows.select("page_id", text.alias("text"), status.alias("status"), method.alias("method"), F.col("found.blocks").alias("blocks"))
 
 
+#: The same for short articles: running text and quotes alone, each letter once, and no block with a phrase of a page's controls.
+SHORT_PAGES = dom.Extractor({"pages": replace(PAGES.sites["pages"], blocks=("p", "blockquote"), noise=dom.CONTROLS, least=dom.SHORT["ria"].least, once=True)}, drop=(*PAGES.drop, *PAGES.sites["pages"].without))
+
+
 @query()
 def short_safe_articles(t):
     text, status = X.short_safe(F.col("found"))
-    return t.pages.select("page_id", PAGES.column(F.col("html"), F.lit("pages")).alias("found")).select("page_id", text.alias("text"), status.alias("status"))
+    return t.pages.select("page_id", SHORT_PAGES.column(F.col("html"), F.lit("pages")).alias("found")).select("page_id", text.alias("text"), status.alias("status"))
 
 
 @query()
